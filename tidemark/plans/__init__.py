@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("tables", "series")
+MODULES = ("tables", "series", "forecasts", "records")
 
 
 def _load() -> None:

@@ -128,7 +128,7 @@ def step_durations(steps: DataFrame) -> DataFrame:
     grouped = steps.groupBy("model_run_id", "step_name").agg(
         F.min(F.when(status == "running", at)).alias("started_at"),
         F.max(F.when(status == "done", at)).alias("finished_at"),
-        F.max_by(status, at).alias("status"),
+        F.max_by(status, F.struct(at, status != "running")).alias("status"),
     )
     spent = F.timestamp_diff("MICROSECOND", F.col("started_at"), F.col("finished_at")) / 1e6
     return grouped.withColumn("duration_seconds", spent)
