@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import col, numeric_columns, require
 from tidemark.functions.frequency import bucket_start, parse_frequency
-from tidemark.operators.keys import attach
+from tidemark.operators.keys import ROWS_PER_GROUP, attach, largest_group
 from tidemark.operators.stats import iqr_bounds, percent, quantiles
 
 AGGREGATES: dict[str, Callable[[Column], Column]] = {
@@ -166,29 +166,42 @@ def missing_summary(df: DataFrame, columns: Sequence[str] | None = None, only_mi
     return out
 
 
+DESCRIBED_QUANTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+
+
 def describe(df: DataFrame, columns: Sequence[str] | None = None, strategy: str = "auto") -> DataFrame:
-    """Count, nulls, mean, sample deviation, minimum, quartiles and maximum per numeric column."""
+    """Count, nulls, mean, sample deviation, minimum, quartiles and maximum per numeric column.
+
+    One pass for all columns while exact percentiles fit one task; otherwise the
+    quartiles of each column come from a distributed sort.
+    """
     names = list(columns or numeric_columns(df))
-    parts = []
-    for name in names:
-        stats = df.agg(
-            F.count(col(name)).alias("count"),
-            F.count_if(col(name).isNull()).alias("null_count"),
-            F.avg(col(name)).alias("mean"),
-            F.stddev_samp(col(name)).alias("std"),
-            F.min(col(name)).cast("double").alias("min"),
-            F.max(col(name)).cast("double").alias("max"),
-        )
-        quartiles = quantiles(df, name, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, strategy=strategy)
-        parts.append(
-            attach(stats.withColumn("column_name", F.lit(name)), quartiles, [], ["q25", "q50", "q75"]).select(
-                "column_name", "count", "null_count", "mean", "std", "min", "q25", "q50", "q75", "max"
-            )
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    if strategy == "auto":
+        strategy = "keyed" if largest_group(df) <= ROWS_PER_GROUP else "banded"
+    aggregates = []
+    for i, name in enumerate(names):
+        c = col(name).cast("double")
+        fields = [
+            F.lit(name).alias("column_name"),
+            F.count(c).alias("count"),
+            F.count_if(c.isNull()).alias("null_count"),
+            F.avg(c).alias("mean"),
+            F.stddev_samp(c).alias("std"),
+            F.min(c).alias("min"),
+            F.max(c).alias("max"),
+        ]
+        if strategy == "keyed":
+            fields.append(F.percentile(c, list(DESCRIBED_QUANTILES.values())).alias("quartiles"))
+        aggregates.append(F.struct(*fields).alias(f"d{i}"))
+    stats = df.agg(*aggregates)
+    if strategy != "keyed":
+        for i, name in enumerate(names):
+            found = quantiles(df, name, DESCRIBED_QUANTILES, strategy=strategy)
+            row = found.select(F.array(*DESCRIBED_QUANTILES).alias("q")).scalar()
+            stats = stats.withColumn(f"d{i}", F.struct(f"d{i}.*", row.alias("quartiles")))
+    rows = stats.select(F.explode(F.array(*[f"d{i}" for i in range(len(names))])).alias("d")).select("d.*")
+    parts = [F.get("quartiles", F.lit(i)).alias(out) for i, out in enumerate(DESCRIBED_QUANTILES)]
+    return rows.select("column_name", "count", "null_count", "mean", "std", "min", *parts, "max")
 
 
 def preview_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -211,9 +224,13 @@ def preview_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 
 def target_stats(df: DataFrame, target: str, keys: Sequence[str] = ()) -> DataFrame:
     """One pass: counts, mean, deviation, range, shares of zeros and negatives."""
+    return df.groupBy(*[col(k) for k in keys]).agg(*target_stat_columns(target))
+
+
+def target_stat_columns(target: str) -> list[Column]:
     v = col(target).try_cast("double")
     n = F.count(v)
-    stats = [
+    return [
         n.alias("count"),
         F.count_if(v.isNull()).alias("missing"),
         F.round(percent(F.count_if(v.isNull()), F.count(F.lit(1))), 2).alias("missing_pct"),
@@ -224,7 +241,6 @@ def target_stats(df: DataFrame, target: str, keys: Sequence[str] = ()) -> DataFr
         F.round(percent(F.count_if(v == 0), n), 2).alias("zeros_pct"),
         F.round(percent(F.count_if(v < 0), n), 2).alias("negative_pct"),
     ]
-    return df.groupBy(*[col(k) for k in keys]).agg(*stats)
 
 
 def iqr_outliers(
@@ -271,10 +287,14 @@ def zscore_outliers(df: DataFrame, target: str, keys: Sequence[str] = (), limit:
 
 def skewness(df: DataFrame, target: str, keys: Sequence[str] = (), min_values: int = 4) -> DataFrame:
     """Population skewness m3 / m2^1.5; 0 for a constant, null below four values."""
+    return df.groupBy(*[col(k) for k in keys]).agg(skewness_column(target, min_values))
+
+
+def skewness_column(target: str, min_values: int = 4) -> Column:
     v = col(target).try_cast("double")
     constant = F.coalesce(F.var_pop(v), F.lit(0.0)) == 0
     made = F.when(F.count(v) >= min_values, F.when(constant, 0.0).otherwise(F.skewness(v)))
-    return df.groupBy(*[col(k) for k in keys]).agg(F.round(made, 4).alias("skewness"))
+    return F.round(made, 4).alias("skewness")
 
 
 def value_counts(df: DataFrame, column: str, top_n: int = 20) -> DataFrame:
@@ -313,8 +333,19 @@ def date_range(df: DataFrame, datetime_column: str, keys: Sequence[str] = ()) ->
 
 def data_age(df: DataFrame, datetime_column: str, as_of: Column, keys: Sequence[str] = ()) -> DataFrame:
     """Whole days from the last row to ``as_of`` and the last date."""
-    last = F.max(col(datetime_column).try_cast("timestamp_ntz"))
-    return df.groupBy(*[col(k) for k in keys]).agg(
-        F.floor(F.timestamp_diff("SECOND", last, as_of.cast("timestamp_ntz")) / 86400).cast("int").alias("data_age_days"),
+    last = last_times(df, datetime_column, keys)
+    return last.select(*[col(k) for k in keys], *age_columns(F.col("last_time"), as_of))
+
+
+def last_times(df: DataFrame, datetime_column: str, keys: Sequence[str] = ()) -> DataFrame:
+    last = F.max(col(datetime_column).try_cast("timestamp_ntz")).alias("last_time")
+    return df.groupBy(*[col(k) for k in keys]).agg(last)
+
+
+def age_columns(last: Column, as_of: Column) -> list[Column]:
+    """Row expressions on a maximum that was already taken; ``as_of`` may be a scalar subquery."""
+    seconds = F.timestamp_diff("SECOND", last, as_of.cast("timestamp_ntz"))
+    return [
+        F.floor(seconds / 86400).cast("int").alias("data_age_days"),
         F.to_date(last).alias("last_data_date"),
-    )
+    ]

@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import col, is_numeric, is_temporal, numeric_columns, require
 from tidemark.functions.frequency import frequency_code
 from tidemark.operators.aggregate import (
-    data_age,
+    age_columns,
     date_range,
     duplicate_count,
     group_stats,
     iqr_outliers,
     missing_summary,
-    skewness,
-    target_stats,
+    skewness_column,
+    target_stat_columns,
     zscore_outliers,
 )
 from tidemark.operators.keys import attach, key_columns
@@ -32,8 +32,6 @@ TARGET_NAMES = ("value", "sales", "revenue", "price", "amount", "count", "target
 
 SAMPLED_VALUES = 10
 
-ISSUE_TYPE = "array<struct<id:string,severity:string,message:string>>"
-
 
 def _parses(df: DataFrame, name: str) -> bool:
     """Whether every one of the first non-null values reads as a time."""
@@ -175,9 +173,10 @@ def data_quality(df: DataFrame, datetime_column: str, target: str, as_of: Column
         F.coalesce(F.stddev_samp(v), F.when(F.count(v) > 0, F.lit(0.0))).alias("std"),
         F.min(v).alias("min"),
         F.max(v).alias("max"),
+        F.max(col(datetime_column).try_cast("timestamp_ntz")).alias("__last"),
     )
-    out = attach(stats, zscore_outliers(df, target, keys), keys, ["outliers_count", "outliers_pct"])
-    return attach(out, data_age(df, datetime_column, as_of, keys), keys, ["data_age_days", "last_data_date"])
+    aged = stats.select("*", *age_columns(F.col("__last"), as_of)).drop("__last")
+    return attach(aged, zscore_outliers(df, target, keys), keys, ["outliers_count", "outliers_pct"])
 
 
 def series_profile(
@@ -249,25 +248,23 @@ def wizard_analysis(
     Gaps are taken within a series and duplicates within (time, keys).
     """
     require(df, datetime_column, target, *keys)
-    out = df.agg(F.count(F.lit(1)).alias("n_rows"))
-    out = out.withColumn("n_columns", F.lit(len(df.columns)))
-    stats = target_stats(df, target)
-    out = attach(out, stats, [], stats.columns)
+    # First pass: everything that is a plain aggregate of the rows.
+    ts = col(datetime_column).try_cast("timestamp_ntz")
+    first = df.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.max(ts).alias("__last"), *target_stat_columns(target), skewness_column(target)
+    )
+    age = age_columns(F.col("__last"), as_of)[0]
+    out = first.withColumn("n_columns", F.lit(len(df.columns))).withColumn("data_age_days", age).drop("__last")
     # Below eleven values the shares stay 0, like an analysis that skipped outliers.
     fences = iqr_outliers(df, target, (), 11, strategy=strategy)
     out = attach(out, fences, [], ["lower", "upper", "outliers", "outliers_pct"])
-    out = attach(out, skewness(df, target), [], ["skewness"])
     gaps = frequency_gaps(df, datetime_column, keys, tiebreak, strategy, bands)
-    gap_n = F.sum("frequency_gaps")
-    # Without keys this is one row; with keys the shares are taken over all series.
-    intervals = df.where(col(datetime_column).isNotNull()).agg(
-        (F.count(F.lit(1)) - (F.count_distinct(F.struct(*key_columns(keys))) if keys else F.lit(1))).alias("intervals")
+    total = gaps.agg(
+        F.coalesce(F.sum("frequency_gaps"), F.lit(0)).alias("frequency_gaps"), F.sum("intervals").alias("intervals")
     )
-    gap_row = attach(gaps.agg(F.coalesce(gap_n, F.lit(0)).alias("frequency_gaps")), intervals, [], ["intervals"])
-    gap_row = gap_row.withColumn("frequency_gap_pct", F.round(percent(F.col("frequency_gaps"), F.col("intervals")), 2))
-    out = attach(out, gap_row, [], ["frequency_gaps", "frequency_gap_pct"])
+    shares = total.withColumn("frequency_gap_pct", F.round(percent(F.col("frequency_gaps"), F.col("intervals")), 2))
+    out = attach(out, shares, [], ["frequency_gaps", "frequency_gap_pct"])
     out = attach(out, duplicate_count(df, datetime_column, keys), [], ["n_duplicates"])
-    out = attach(out, data_age(df, datetime_column, as_of), [], ["data_age_days"])
     if keys:
         sizes = group_stats(df, keys)
         out = attach(out, sizes, [], sizes.columns)

@@ -33,8 +33,8 @@ class KeyedSequence:
         self.keys, self.order_by = list(keys), list(order_by)
         self.df = df
 
-    def _window(self) -> WindowSpec:
-        order = [col(c).asc_nulls_first() for c in self.order_by]
+    def _window(self, backwards: bool = False) -> WindowSpec:
+        order = [col(c).desc_nulls_last() if backwards else col(c).asc_nulls_first() for c in self.order_by]
         parts = [col(k) for k in self.keys] or [F.lit(1)]
         return Window.partitionBy(*parts).orderBy(*order)
 
@@ -52,9 +52,8 @@ class KeyedSequence:
 
     def neighbours(self, columns: Sequence[str]) -> DataFrame:
         """Add ``__prev_i`` and ``__next_i``: nearest non-null (value, position) each way."""
-        w = self._window()
-        df = self.df.withColumn("__pos", F.row_number().over(w).cast("long"))
-        return df.withColumns(_in_group_neighbours(columns, w))
+        df = self.df.withColumn("__pos", F.row_number().over(self._window()).cast("long"))
+        return df.withColumns(_in_group_neighbours(columns, self._window(), self._window(backwards=True)))
 
 
 class BandedSequence:
@@ -223,14 +222,14 @@ class BandedSequence:
         down = Window.partitionBy("__last_key").orderBy("__band").rowsBetween(
             Window.unboundedPreceding, Window.currentRow
         )
-        up = Window.partitionBy("__first_key").orderBy("__band").rowsBetween(
-            Window.currentRow, Window.unboundedFollowing
+        up = Window.partitionBy("__first_key").orderBy(F.col("__band").desc()).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow
         )
         in_order = Window.orderBy("__band")
         runs = carried.withColumns(
             {
                 **{f"__run_tail_{i}": F.last(f"__tail_{i}", True).over(down) for i in range(len(columns))},
-                **{f"__run_head_{i}": F.first(f"__head_{i}", True).over(up) for i in range(len(columns))},
+                **{f"__run_head_{i}": F.last(f"__head_{i}", True).over(up) for i in range(len(columns))},
                 "__before_key": F.lag("__last_key").over(in_order),
                 "__after_key": F.lead("__first_key").over(in_order),
             }
@@ -242,11 +241,12 @@ class BandedSequence:
             *[F.lag(f"__run_tail_{i}").over(in_order).alias(f"__in_{i}") for i in range(len(columns))],
             *[F.lead(f"__run_head_{i}").over(in_order).alias(f"__out_{i}") for i in range(len(columns))],
         )
-        w = Window.partitionBy("__band", *[col(k) for k in self.keys]).orderBy("__row")
+        group = Window.partitionBy("__band", *[col(k) for k in self.keys])
+        onwards, backwards = group.orderBy("__row"), group.orderBy(F.col("__row").desc())
         local = (
             placed.join(F.broadcast(borders), "__band", "left")
             .withColumn("__pos", F.col("__g"))
-            .withColumns(_in_group_neighbours(columns, w))
+            .withColumns(_in_group_neighbours(columns, onwards, backwards))
         )
         filled = local.withColumns(
             {
@@ -270,16 +270,22 @@ class BandedSequence:
         return filled.select(*[col(c) for c in self.columns], "__pos", *found)
 
 
-def _in_group_neighbours(columns: Sequence[str], w: WindowSpec) -> dict[str, Column]:
-    back = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+def _in_group_neighbours(
+    columns: Sequence[str], onwards: WindowSpec, backwards: WindowSpec
+) -> dict[str, Column]:
+    """Running last non-null value in both orders.
+
+    The later neighbour is the last one seen going backwards: a frame that runs to the
+    end of its group would be evaluated anew for every row.
+    """
     out: dict[str, Column] = {}
-    for i, name in enumerate(columns):
-        seen = F.when(
-            col(name).isNotNull(), F.struct(col(name).alias("v"), F.col("__pos").alias("g"))
-        )
-        out[f"__prev_{i}"] = F.last(seen, True).over(back)
-        out[f"__next_{i}"] = F.first(seen, True).over(ahead)
+    for side, w in (("prev", onwards), ("next", backwards)):
+        running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        for i, name in enumerate(columns):
+            seen = F.when(
+                col(name).isNotNull(), F.struct(col(name).alias("v"), F.col("__pos").alias("g"))
+            )
+            out[f"__{side}_{i}"] = F.last(seen, True).over(running)
     return out
 
 
@@ -313,10 +319,10 @@ def row_at(
     keys: Sequence[str] = (),
     strategy: str = "auto",
 ) -> DataFrame:
-    """One row per key with the values at given 0-based ranks of sorted ``value``.
+    """One row per key with ``n`` rows and the values at given 0-based ranks of sorted ``value``.
 
     ``positions`` maps an output name to a function of the key's row count. The input
-    must hold no null values.
+    must hold no null values; equal values may swap places, which changes nothing.
     """
     ranked = sequence(df.select(*[col(k) for k in keys], col(value)), value, keys, strategy).with_index(
         "__idx", "__total"
@@ -325,4 +331,4 @@ def row_at(
         F.max(F.when(F.col("__idx") == make(F.col("__total")), col(value))).alias(name)
         for name, make in positions.items()
     ]
-    return ranked.groupBy(*[col(k) for k in keys]).agg(*wanted)
+    return ranked.groupBy(*[col(k) for k in keys]).agg(F.max("__total").alias("n"), *wanted)

@@ -91,6 +91,7 @@ def frequency_gaps(df: DataFrame, datetime_column: str, keys: Sequence[str] = ()
     total, common = F.sum("__n"), F.max("__n")
     return counted.groupBy(*by).agg(
         mode.alias("mode_seconds"),
+        total.alias("intervals"),
         (total - common).alias("frequency_gaps"),
         F.round(percent(total - common, total), 2).alias("frequency_gap_pct"),
     )

@@ -8,11 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import col
-from tidemark.operators.keys import ROWS_PER_GROUP, attach, largest_group
+from tidemark.operators.keys import ROWS_PER_GROUP, largest_group
 from tidemark.operators.sequence import row_at
 
-QUARTILES = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
-
 
 def _floor_position(q: float, n: Column) -> Column:
     return F.floor(F.lit(q) * (n - 1)).cast("long")
@@ -39,33 +37,32 @@ def quantiles(
     )
     by = [col(k) for k in keys]
     if method == "approx":
-        return present.groupBy(*by).agg(
-            *[F.percentile_approx("__v", q, 10_000).alias(name) for name, q in probabilities.items()]
+        found = present.groupBy(*by).agg(
+            F.percentile_approx("__v", list(probabilities.values()), 10_000).alias("__q")
         )
+        return found.select(*by, *[F.get("__q", F.lit(i)).alias(name) for i, name in enumerate(probabilities)])
     if strategy == "auto":
         strategy = "keyed" if largest_group(present, keys) <= ROWS_PER_GROUP else "banded"
     if method == "linear" and strategy == "keyed":
-        return present.groupBy(*by).agg(
-            *[F.percentile("__v", q).alias(name) for name, q in probabilities.items()]
-        )
-    # Rows of one value are interchangeable, so any order among equal values will do.
+        # One call for all probabilities keeps one table of values per group, not several.
+        found = present.groupBy(*by).agg(F.percentile("__v", list(probabilities.values())).alias("__q"))
+        return found.select(*by, *[F.get("__q", F.lit(i)).alias(name) for i, name in enumerate(probabilities)])
     if method == "nearest":
         wanted = {
             name: (lambda n, q=q: F.round(F.lit(q) * (n - 1)).cast("long"))
             for name, q in probabilities.items()
         }
-        return row_at(present, "__v", wanted, keys, strategy)
+        return row_at(present, "__v", wanted, keys, strategy).select(*by, *probabilities)
     if method != "linear":
         raise ValueError(f"unknown quantile method {method!r}")
-    wanted = {"__n": lambda n: n - 1}
+    wanted = {}
     for name, q in probabilities.items():
         wanted[f"__lo_{name}"] = lambda n, q=q: _floor_position(q, n)
         wanted[f"__hi_{name}"] = lambda n, q=q: F.least(_floor_position(q, n) + 1, n - 1)
-    counted = present.groupBy(*by).agg(F.count(F.lit(1)).alias("__count"))
-    ranked = attach(row_at(present, "__v", wanted, keys, strategy), counted, keys, ["__count"])
+    ranked = row_at(present, "__v", wanted, keys, strategy)
     out = []
     for name, q in probabilities.items():
-        exact = F.lit(q) * (F.col("__count") - 1)
+        exact = F.lit(q) * (F.col("n") - 1)
         weight = exact - F.floor(exact)
         low, high = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
         out.append((low * (1 - weight) + high * weight).alias(name))

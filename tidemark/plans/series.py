@@ -147,7 +147,7 @@ m AS (SELECT series, arg_max(delta, n * 1e9 - delta) AS mode_seconds, max(n) AS
 SELECT series, CAST(mode_seconds AS DOUBLE) AS mode_seconds, CAST(total - top AS BIGINT) AS frequency_gaps,
        round(CAST(total - top AS DOUBLE) * 100.0 / CAST(total AS DOUBLE), 2)::DOUBLE AS frequency_gap_pct FROM m""")
 def _(spark, sf):
-    return win.frequency_gaps(order_panel(spark, sf), "ds", ["series"], strategy="keyed")
+    return win.frequency_gaps(order_panel(spark, sf), "ds", ["series"], strategy="keyed").drop("intervals")
 
 
 @query("win_07_holdout_split", f"""
