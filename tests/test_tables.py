@@ -269,3 +269,14 @@ def test_roles_and_identifiers(spark):
     for bad in ("a;b", "1x", 'a"b', "a.b.c"):
         with pytest.raises(ValueError):
             quoted_table(bad)
+
+
+def test_constant_columns_have_no_correlation(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0), (None, 4.0)], "a double, b double")
+    got = {(r["column_a"], r["column_b"]): r["corr"] for r in agg.correlation_matrix(df).collect()}
+    assert got[("a", "b")] is None and got[("b", "b")] == pytest.approx(1.0)
+    assert agg.correlation_with(df, "a").first()["abs_corr"] is None
+    flat = spark.createDataFrame([(5.0,)] * 6, "v double")
+    assert agg.skewness(flat, "v").first()[0] == 0.0
+    assert agg.zscore_outliers(flat, "v").first()["outliers_count"] == 0
+    assert agg.iqr_outliers(flat, "v").first()["outliers"] == 0

@@ -11,6 +11,7 @@ from tidemark.functions.columns import col, is_non_negative_name
 from tidemark.models.evaluate import improvement_pct, mae, mape, rmse
 from tidemark.operators.keys import attach, key_columns
 from tidemark.operators.sequence import sequence
+from tidemark.operators.stats import correlation
 
 # Name fragments for which a negative forecast is suspicious.
 SANITY_NAMES = ("count", "quantity", "volume", "sales", "revenue", "price")
@@ -44,8 +45,8 @@ def residual_analysis(
         n.alias("n"), F.avg(r).alias("mean_residual"), F.stddev_pop(r).alias("std_residual"), trending.alias("has_trend")
     )
     pairs = ordered.over({"__before": lambda w: F.lag("residual").over(w)}, lookback=1)
-    correlation = F.when(n > 1, F.corr(r, F.col("__before"))).otherwise(F.lit(0.0))
-    lagged = pairs.groupBy(*by).agg(correlation.alias("autocorr_lag1"))
+    autocorrelation = F.when(n > 1, correlation(r, F.col("__before"))).otherwise(F.lit(0.0))
+    lagged = pairs.groupBy(*by).agg(autocorrelation.alias("autocorr_lag1"))
     out = attach(stats, lagged, keys, ["autocorr_lag1"])
     random = F.coalesce(F.abs("autocorr_lag1") < 0.2, F.lit(False)) & ~F.col("has_trend")
     return out.withColumn("is_random", random)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import col, numeric_columns, require
 from tidemark.functions.frequency import bucket_start, parse_frequency
 from tidemark.operators.keys import ROWS_PER_GROUP, attach, largest_group
-from tidemark.operators.stats import iqr_bounds, percent, quantiles
+from tidemark.operators.stats import correlation, iqr_bounds, percent, quantiles
 
 AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "mean": F.avg,
@@ -307,7 +307,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     """Pairwise-complete Pearson for every ordered pair, all pairs in one aggregation."""
     names = list(columns or numeric_columns(df))
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    made = df.agg(*[F.corr(col(a), col(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    made = df.agg(*[correlation(col(a), col(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     cells = []
     for i, (a, b) in enumerate(pairs):
         for x, y in {(a, b), (b, a)}:
@@ -318,7 +318,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
 def correlation_with(df: DataFrame, target: str, columns: Sequence[str] | None = None, top_n: int = 10) -> DataFrame:
     """Columns with the largest absolute correlation to the target."""
     names = [c for c in (columns or numeric_columns(df)) if c != target]
-    made = df.agg(*[F.abs(F.corr(col(target), col(c))).alias(f"c{i}") for i, c in enumerate(names)])
+    made = df.agg(*[F.abs(correlation(col(target), col(c))).alias(f"c{i}") for i, c in enumerate(names)])
     cells = [F.struct(F.lit(c).alias("column_name"), F.col(f"c{i}").alias("abs_corr")) for i, c in enumerate(names)]
     rows = made.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
     return rows.orderBy(F.col("abs_corr").desc_nulls_last(), "column_name").limit(top_n)

@@ -12,7 +12,7 @@ from tidemark.functions.columns import col
 from tidemark.functions.frequency import parse_frequency
 from tidemark.operators.keys import attach, key_columns
 from tidemark.operators.sequence import sequence
-from tidemark.operators.stats import percent
+from tidemark.operators.stats import correlation, percent
 
 # Candidate seasonal lags by frequency and the threshold they must pass.
 SEASONAL_LAGS = {
@@ -275,7 +275,7 @@ def residual_autocorrelation(df: DataFrame, residual: str, order_by: Order, keys
     """Lag-1 Pearson of the residuals; 0 for a single row, null when undefined."""
     made = {"__before": lag_feature(residual, 1)}
     rows = sequence(df, order_by, keys, strategy, bands).over(made, lookback=1)
-    value = F.when(F.count(F.lit(1)) > 1, F.corr(col(residual), F.col("__before"))).otherwise(F.lit(0.0))
+    value = F.when(F.count(F.lit(1)) > 1, correlation(col(residual), F.col("__before"))).otherwise(F.lit(0.0))
     return rows.groupBy(*key_columns(keys)).agg(value.alias("autocorr_lag1"))
 
 

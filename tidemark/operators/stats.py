@@ -91,3 +91,13 @@ def iqr_bounds(
 def percent(part: Column, whole: Column) -> Column:
     """100 * part / whole, 0.0 for an empty whole."""
     return F.coalesce(F.try_divide(part * 100.0, whole.cast("double")), F.lit(0.0))
+
+
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson over the pairs without a null; null when either side is constant.
+
+    ``corr`` itself raises on a constant side when ANSI mode is on.
+    """
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
