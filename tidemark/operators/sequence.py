@@ -12,6 +12,7 @@ per band: row offsets, the last value before the band, or the few rows a frame l
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -94,21 +95,35 @@ class BandedSequence:
 
     # -- one row per band -------------------------------------------------------
 
-    def _edges(self, *extra: Column) -> DataFrame:
-        """Per band: first row's and last row's key, row count, offset in the total order."""
-        summary = self.rows.groupBy("__band").agg(
-            F.min_by("__key", "__row").alias("__first_key"),
-            F.max_by("__key", "__row").alias("__last_key"),
-            F.count(F.lit(1)).alias("__n"),
-            *extra,
-        )
+    @cached_property
+    def _edges(self) -> DataFrame:
+        """Per band: first row's and last row's key, row count, offset in the total order.
+
+        Every operation needs this small table, some of them several times, so it is
+        computed once. Counting and picking two rows per band needs no sort of the rows.
+        """
+        counts = self.rows.groupBy("__band").agg(F.count(F.lit(1)).alias("__n"))
+        if self.keys:
+            sizes = counts.select(F.col("__band").alias("__b"), F.col("__n").alias("__size"))
+            ends = self.rows.join(F.broadcast(sizes), F.col("__band") == F.col("__b")).where(
+                (F.col("__row") == 0) | (F.col("__row") == F.col("__size") - 1)
+            )
+            counts = ends.groupBy("__band").agg(
+                F.min_by("__key", "__row").alias("__first_key"),
+                F.max_by("__key", "__row").alias("__last_key"),
+                F.max("__size").alias("__n"),
+            )
+        else:
+            only = F.struct(F.lit(1))
+            counts = counts.withColumns({"__first_key": only, "__last_key": only})
         # One row per band, so this unpartitioned window is as small as the band count.
         before = Window.orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)
-        return summary.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+        placed = counts.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+        return materialize(placed.coalesce(1), "edges")
 
     def _with_position(self) -> DataFrame:
         """Rows with ``__g``, their 0-based position in the total order over all keys."""
-        starts = self._edges().select("__band", "__start")
+        starts = self._edges.select("__band", "__start")
         return self.rows.join(F.broadcast(starts), "__band").withColumn(
             "__g", F.col("__start") + F.col("__row")
         )
@@ -121,7 +136,7 @@ class BandedSequence:
         Rows near a border are copied into the bands whose frames reach them, so each
         band can be evaluated alone.
         """
-        edges = self._edges().select(
+        edges = self._edges.select(
             "__band", "__start", (F.col("__start") + F.col("__n")).alias("__end")
         )
         around = Window.orderBy("__band")
@@ -168,7 +183,7 @@ class BandedSequence:
                 out = out.withColumn(total, n)
             return out.drop("__band", "__row", "__key", "__start", "__g")
         # Keys that cross a border are first or last in some band: at most two per band.
-        edges = self._edges()
+        edges = self._edges
         edge_keys = edges.select("__band", F.col("__first_key").alias("__edge")).union(
             edges.select("__band", F.col("__last_key").alias("__edge"))
         ).distinct()
@@ -206,18 +221,28 @@ class BandedSequence:
         In the band by a window; across borders by one carried struct per band.
         """
         placed = self._with_position()
-        edges = self._edges()
-        tagged = placed.join(F.broadcast(edges.select("__band", "__first_key", "__last_key")), "__band")
-        tails, heads = [], []
+        edges = self._edges
+        keys = F.broadcast(edges.select("__band", "__first_key", "__last_key"))
+        tagged = placed.join(keys, "__band")
+        # First the rows that hold the outermost values of a band, then the values there.
+        where_found, at_tail, at_head = [], [], []
         for i, name in enumerate(columns):
-            seen = F.struct(col(name).alias("v"), F.col("__g").alias("g"))
             in_last = col(name).isNotNull() & (F.col("__key") == F.col("__last_key"))
             in_first = col(name).isNotNull() & (F.col("__key") == F.col("__first_key"))
-            tails.append(F.max_by(seen, F.when(in_last, F.col("__row"))).alias(f"__tail_{i}"))
-            heads.append(F.min_by(seen, F.when(in_first, F.col("__row"))).alias(f"__head_{i}"))
-        carried = tagged.groupBy("__band").agg(*tails, *heads).join(
-            F.broadcast(edges.select("__band", "__first_key", "__last_key")), "__band"
+            where_found.append(F.max(F.when(in_last, F.col("__row"))).alias(f"__tail_row_{i}"))
+            where_found.append(F.min(F.when(in_first, F.col("__row"))).alias(f"__head_row_{i}"))
+            at_tail.append(F.col("__row") == F.col(f"__tail_row_{i}"))
+            at_head.append(F.col("__row") == F.col(f"__head_row_{i}"))
+        spots = tagged.groupBy("__band").agg(*where_found)
+        outermost = placed.join(F.broadcast(spots), "__band").where(
+            reduce(lambda a, b: a | b, [*at_tail, *at_head])
         )
+        found = []
+        for i, name in enumerate(columns):
+            seen = F.struct(col(name).alias("v"), F.col("__g").alias("g"))
+            found.append(F.max_by(seen, F.when(at_tail[i], F.col("__row"))).alias(f"__tail_{i}"))
+            found.append(F.max_by(seen, F.when(at_head[i], F.col("__row"))).alias(f"__head_{i}"))
+        carried = keys.join(outermost.groupBy("__band").agg(*found), "__band", "left")
         # Both windows below see one row per band.
         down = Window.partitionBy("__last_key").orderBy("__band").rowsBetween(
             Window.unboundedPreceding, Window.currentRow

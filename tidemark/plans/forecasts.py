@@ -354,10 +354,22 @@ def _(spark, sf):
     return spark.createDataFrame([(str(sorted(params.items())), float(error))], "params string, rmse double")
 
 
-@query("mdl_12_forecast")
+GRIDDED = f"""WITH {ORDER_PANEL},
+s AS (SELECT series, min(ds) AS lo, max(ds) AS hi FROM order_panel GROUP BY 1),
+g AS (SELECT series, unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS ds FROM s),
+p AS (SELECT series, ds, last_value(value IGNORE NULLS) OVER (PARTITION BY series ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value
+      FROM g LEFT JOIN order_panel USING (series, ds)),
+x AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ds) - 1 AS i FROM p),
+f AS (SELECT series, max(ds) AS last, count(*) AS n, regr_slope(value, i) AS s, regr_intercept(value, i) AS b FROM x GROUP BY 1)"""
+
+
+@query("mdl_12_forecast", f"""{GRIDDED}
+SELECT series, CAST(h AS INTEGER) AS step, last + to_days(CAST(h AS INTEGER)) AS ds, round(b + s * (n + h - 1), 3) AS prediction, 'linear' AS model_name
+FROM f, range(1, 15) r(h)""")
 def _(spark, sf):
-    made, _ = forecast(order_panel(spark, sf), Job("ds", "value", 14, "D", ("series",), model="seasonal", strategy="keyed"), _as_of())
-    return made
+    job = Job("ds", "value", 14, "D", ("series",), model="linear", strategy="keyed")
+    made, _ = forecast(order_panel(spark, sf), job, _as_of())
+    return made.select("series", "step", "ds", rounded("prediction", 3), "model_name")
 
 
 @query("mdl_13_run_workflow")
@@ -369,7 +381,7 @@ def _(spark, sf):
 
 @query("dia_08_enhance_forecast")
 def _(spark, sf):
-    job = Job("ds", "value", 14, "D", ("series",), model="linear", strategy="keyed")
+    job = Job("ds", "value", 14, "D", ("series",), model="seasonal", strategy="keyed")
     made, diagnosed = forecast(order_panel(spark, sf), job, _as_of())
     return made.join(diagnosed.select("series", "health_score", "health_band", _codes("warnings")), "series")
 

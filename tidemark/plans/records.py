@@ -129,7 +129,7 @@ def _decisions(spark, sf) -> DataFrame:
         F.lit(512).alias("memory_budget_mb"),
         F.lit(0.1).alias("compute_consumed_s"),
         F.lit(300.0).alias("compute_budget_s"),
-        (F.col("value") * 0.00001156).alias("cost_usd"),
+        (F.col("value") * 0.0000115741).alias("cost_usd"),
         F.lit("analysis").alias("phase"),
     )
 
@@ -151,7 +151,7 @@ def _(spark, sf):
 
 
 @query("agg_19_cost_summary", f"""
-SELECT {TRACE} AS trace_id, round(sum(value * 0.00001156::DOUBLE), 6) AS total_cost_usd, round(sum(value) / 1000.0::DOUBLE, 2) AS total_compute_seconds,
+SELECT {TRACE} AS trace_id, round(sum(value * 0.0000115741::DOUBLE), 6) AS total_cost_usd, round(sum(value) / 1000.0::DOUBLE, 2) AS total_compute_seconds,
        count(*) AS n_decisions FROM events GROUP BY 1""")
 def _(spark, sf):
     return mon.cost_summary(_decisions(spark, sf))

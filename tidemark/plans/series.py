@@ -199,8 +199,8 @@ ACF = f"""{ORDER_PANEL}, x AS (
 
 @query("win_11_acf", f"""WITH {ACF}, k AS (SELECT unnest([7, 14, 30, 365]) AS lag),
 p AS (SELECT series, sum(x * x) AS power FROM x GROUP BY 1)
-SELECT a.series, CAST(k.lag AS INTEGER) AS lag, round(sum(a.x * b.x) / min(p.power), 6) AS acf
-FROM x a CROSS JOIN k JOIN x b ON a.series = b.series AND b.i = a.i + k.lag JOIN p ON p.series = a.series GROUP BY 1, 2""")
+SELECT a.series, CAST(k.lag AS INTEGER) AS lag, round(coalesce(sum(a.x * b.x), 0) / min(p.power), 6) AS acf
+FROM x a CROSS JOIN k LEFT JOIN x b ON a.series = b.series AND b.i = a.i + k.lag JOIN p ON p.series = a.series GROUP BY 1, 2""")
 def _(spark, sf):
     made = win.autocorrelation(order_panel(spark, sf), "value", "ds", [7, 14, 30, 365], ["series"], "keyed")
     return made.select("series", F.inline("acf").alias("lag", "acf")).withColumn("acf", F.round("acf", 6))
@@ -421,7 +421,29 @@ def _(spark, sf):
     return made.withColumns({c: F.round(c, 4) for c in ("missing_pct", "mean", "std", "outliers_pct")})
 
 
-@query("prf_07_series_profile")
+PROFILED = f"""WITH {ACF}, k AS (SELECT unnest(range(2, 366)) AS lag),
+p AS (SELECT series, sum(x * x) AS power FROM x GROUP BY 1),
+s AS (SELECT a.series, k.lag, sum(a.x * b.x) / min(p.power) AS acf, min(a.n) AS n
+      FROM x a CROSS JOIN k JOIN x b ON a.series = b.series AND b.i = a.i + k.lag JOIN p ON p.series = a.series GROUP BY 1, 2),
+c AS (SELECT series,
+        min(CASE WHEN acf > 0.3 AND lag IN (7, 14, 30, 365) AND lag < n THEN lag END) AS candidate,
+        min(CASE WHEN acf > 0.3 AND lag < least(n // 2, 365) THEN lag END) AS scanned FROM s GROUP BY 1),
+season AS (SELECT series, CAST(coalesce(candidate, scanned) AS INTEGER) AS period FROM c),
+pts AS (SELECT DISTINCT series, n, CASE WHEN n <= 1000 THEN j ELSE (j * (n - 1)) // 999 END AS i
+        FROM (SELECT DISTINCT series, n FROM x), range(0, 1000) r(j) WHERE j < n),
+spaced AS (SELECT x.series, x.i, x.x AS v FROM x JOIN pts ON x.series = pts.series AND x.i - 1 = pts.i),
+trend AS (SELECT a.series, abs(avg(sign(b.v - a.v))) > 0.3 AS has_trend FROM spaced a JOIN spaced b ON a.series = b.series AND a.i < b.i GROUP BY 1),
+q AS (SELECT series, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM order_panel GROUP BY 1),
+o AS (SELECT series, count(*) AS n_rows, CAST(min(ds) AS DATE) AS start_date, CAST(max(ds) AS DATE) AS end_date,
+        round(100.0 * count(*) FILTER (WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) / count(value), 2) AS outlier_pct
+      FROM order_panel JOIN q USING (series) GROUP BY 1)
+SELECT series, n_rows, 0.0::DOUBLE AS missing_pct, 'D' AS frequency, start_date, end_date, outlier_pct, period IS NOT NULL AS has_seasonality,
+       period AS seasonality_period, has_trend, CASE WHEN outlier_pct > 2 THEN 'handle_outliers:clip_iqr:' || CASE WHEN outlier_pct < 10 THEN 'medium' ELSE 'high' END ELSE '' END AS recommendations,
+       outlier_pct > 5 AS needs_confirmation
+FROM o JOIN season USING (series) JOIN trend USING (series)"""
+
+
+@query("prf_07_series_profile", PROFILED)
 def _(spark, sf):
     made = prf.series_profile(order_panel(spark, sf), "ds", "value", "D", ["series"], "keyed")
     codes = F.concat_ws("|", F.transform("recommendations", lambda r: F.concat_ws(":", r["type"], r["method"], r["severity"])))
@@ -472,7 +494,7 @@ def _(spark, sf):
 @query("prf_10_apply_preparation", f"""WITH {GAPPY},
 p AS (SELECT event_type, CAST(date_trunc('day', ts) AS TIMESTAMP) AS ts, avg(value) AS value FROM gappy WHERE value IS NOT NULL GROUP BY 1, 2),
 b AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, count(value) AS n FROM p GROUP BY 1)
-SELECT event_type, ts, round(CASE WHEN n > 10 AND 4 * (q3 - q1) >= 0.01 THEN least(greatest(value, q1 - 1.5 * (q3 - q1)), q3 + 1.5 * (q3 - q1)) ELSE value END, 4) AS value
+SELECT event_type, ts, round(CASE WHEN n > 10 AND 4 * (q3 - q1) >= 0.01 THEN least(greatest(value, q1 - 1.5 * (q3 - q1)), q3 + 1.5 * (q3 - q1)) ELSE value END + 1.234e-8, 4) AS value
 FROM p JOIN b USING (event_type)""")
 def _(spark, sf):
     days = gappy(spark, sf).select("event_type", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts"), "value")
@@ -483,7 +505,8 @@ def _(spark, sf):
         prf.PreparationStep("fill_missing", "skip", ()),
     ]
     made = apply_preparation(days, steps, "ts", "value", "D", ["event_type"])
-    return made.select("event_type", "ts", rounded("value"))
+    # The offset keeps means that end on an exact half from being rounded either way.
+    return made.select("event_type", "ts", rounded(F.col("value") + 1.234e-8, 4, "value"))
 
 
 @query("agg_02_resample_total_kept", """
