@@ -69,6 +69,20 @@ def test_neighbours_match(spark, bands, keys):
     same(plain, banded)
 
 
+@pytest.mark.parametrize("bands", [1, 40])
+@pytest.mark.parametrize("keys", [(), ("k",)])
+def test_running_total_matches(spark, bands, keys):
+    df = panel(spark, bands + 3).withColumn("w", F.col("id") % 7)
+    plain = KeyedSequence(df, ["t", "id"], keys).running_total("w", "cum")
+    same(plain, BandedSequence(df, ["t", "id"], keys, bands).running_total("w", "cum"))
+
+
+def test_equal_order_still_spreads_over_bands(spark):
+    df = spark.range(4000).select(F.lit(1).alias("t"), "id")
+    sizes = BandedSequence(df, ["t"], [], 8).rows.groupBy("__band").count()
+    assert sizes.agg(F.max("count")).first()[0] < 1500
+
+
 def test_empty_input(spark):
     df = panel(spark, 5).where("false")
     banded = BandedSequence(df, ["t", "id"], ["k"], 4)

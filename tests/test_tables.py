@@ -111,6 +111,31 @@ def test_exact_quantiles_both_ways(spark, strategy, n):
         assert got[k] == pytest.approx(want)
 
 
+@pytest.mark.parametrize("strategy", ["keyed", "banded"])
+def test_weighted_quantiles(spark, strategy):
+    import numpy as np
+
+    df = spark.createDataFrame([(0.0, 50), (3.0, 2), (9.0, 7), (20.0, 1)], "v double, n int")
+    got = quantiles(df, "v", {"a": 0.5, "b": 0.85, "c": 0.9, "d": 1.0}, strategy=strategy, weight="n").first()
+    v = np.repeat([0.0, 3.0, 9.0, 20.0], [50, 2, 7, 1])
+    assert tuple(got) == pytest.approx(tuple(np.quantile(v, [0.5, 0.85, 0.9, 1.0])))
+
+
+def test_hot_value_is_one_row_of_the_quantile_sort(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(0).cast("double").alias("v"))
+    a = quantiles(df, "v", {"m": 0.5, "q": 0.9}, strategy="banded").first()
+    assert tuple(a) == pytest.approx(tuple(quantiles(df, "v", {"m": 0.5, "q": 0.9}, strategy="keyed").first()))
+
+
+def test_repeated_times_count_as_zero_gaps(spark):
+    from tidemark.operators.series import frequency_gaps
+
+    times = [datetime(2024, 1, 1)] * 4 + [datetime(2024, 1, 2), datetime(2024, 1, 3)]
+    df = spark.createDataFrame([(t,) for t in times], "ts timestamp_ntz")
+    row = frequency_gaps(df, "ts").first()
+    assert (row["mode_seconds"], row["intervals"], row["frequency_gaps"]) == (0.0, 5, 2)
+
+
 def test_describe_both_ways_agree(spark):
     df = spark.createDataFrame([(i, float(i % 5)) for i in range(50)] + [(50, None)], "a int, b double")
     assert sorted(agg.describe(df, strategy="keyed").collect()) == sorted(agg.describe(df, strategy="banded").collect())

@@ -23,7 +23,7 @@ from tidemark.operators.aggregate import (
     zscore_outliers,
 )
 from tidemark.operators.keys import attach, key_columns
-from tidemark.operators.series import deltas, frequency_gaps, seasonality, trend_concordance
+from tidemark.operators.series import frequency_gaps, gap_lengths, seasonality, trend_concordance
 from tidemark.operators.stats import percent, quantiles
 
 # Name fragments of datetime and target columns.
@@ -100,12 +100,12 @@ def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:
 
 
 def infer_frequency(
-    df: DataFrame, datetime_column: str, keys: Sequence[str] = (), tiebreak: Sequence[str] = (), strategy: str = "auto", bands: int | None = None
+    df: DataFrame, datetime_column: str, keys: Sequence[str] = (), strategy: str = "auto", bands: int | None = None
 ) -> DataFrame:
     """Frequency label per series from the median gap; null below three rows."""
+    gaps = gap_lengths(df, datetime_column, keys, strategy, bands)
+    median = quantiles(gaps, "delta_seconds", {"median_seconds": 0.5}, keys, strategy=strategy, weight="n")
     by = key_columns(keys)
-    gaps = deltas(df, datetime_column, keys, tiebreak, strategy, bands)
-    median = quantiles(gaps, "delta_seconds", {"median_seconds": 0.5}, keys, strategy=strategy)
     counts = df.where(col(datetime_column).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"))
     both = attach(counts, median, keys, ["median_seconds"])
     code = F.when(F.col("n_rows") >= 3, frequency_code(F.col("median_seconds")))
@@ -194,7 +194,7 @@ def series_profile(
         F.count(F.lit(1)).alias("n_rows"),
         F.round(percent(F.count_if(v.isNull()), F.count(F.lit(1))), 2).alias("missing_pct"),
     )
-    out = attach(base, infer_frequency(df, datetime_column, keys, (), strategy), keys, ["frequency"])
+    out = attach(base, infer_frequency(df, datetime_column, keys, strategy), keys, ["frequency"])
     out = attach(out, date_range(df, datetime_column, keys), keys, ["start_date", "end_date"])
     outliers = iqr_outliers(df, target, keys, 4, strategy=strategy).withColumnRenamed("outliers_pct", "outlier_pct")
     out = attach(out, outliers, keys, ["outlier_pct"])
@@ -239,7 +239,6 @@ def wizard_analysis(
     target: str,
     as_of: Column,
     keys: Sequence[str] = (),
-    tiebreak: Sequence[str] = (),
     strategy: str = "auto",
     bands: int | None = None,
 ) -> DataFrame:
@@ -258,7 +257,7 @@ def wizard_analysis(
     # Below eleven values the shares stay 0, like an analysis that skipped outliers.
     fences = iqr_outliers(df, target, (), 11, strategy=strategy)
     out = attach(out, fences, [], ["lower", "upper", "outliers", "outliers_pct"])
-    gaps = frequency_gaps(df, datetime_column, keys, tiebreak, strategy, bands)
+    gaps = frequency_gaps(df, datetime_column, keys, strategy, bands)
     total = gaps.agg(
         F.coalesce(F.sum("frequency_gaps"), F.lit(0)).alias("frequency_gaps"), F.sum("intervals").alias("intervals")
     )

@@ -237,10 +237,15 @@ def drop_non_numeric_target(df: DataFrame, target: str, datetime_column: str | N
 
 
 def sort_rows(df: DataFrame, column: str, ascending: bool = True, tiebreak: Sequence[str] = ()) -> DataFrame:
-    """Nulls first in both directions."""
+    """Nulls first in both directions.
+
+    A hash of the row comes last, so that a value which fills much of the table is sorted
+    by more than one task.
+    """
     require(df, column, *tiebreak)
     first = col(column).asc_nulls_first() if ascending else col(column).desc_nulls_first()
-    return df.orderBy(first, *[col(t).asc() for t in tiebreak])
+    hashable = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return df.orderBy(first, *[col(t).asc() for t in tiebreak], F.xxhash64(*[col(c) for c in hashable]))
 
 
 def head(df: DataFrame, n: int = 10, order_by: Sequence[str] = (), max_rows: int = 30, max_columns: int = 15) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import col, require
-from tidemark.operators.keys import ROWS_PER_GROUP, largest_group
+from tidemark.operators.keys import ROWS_PER_GROUP, attach, largest_group
 from tidemark.session import materialize
 
 Feature = Callable[[WindowSpec], Column]
@@ -51,6 +51,11 @@ class KeyedSequence:
             out = out.withColumn(total, F.count(F.lit(1)).over(everything))
         return out
 
+    def running_total(self, weight: str, output: str) -> DataFrame:
+        """Sum of ``weight`` over the rows of the key up to and with the current one."""
+        so_far = self._window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return self.df.withColumn(output, F.sum(col(weight)).over(so_far))
+
     def neighbours(self, columns: Sequence[str]) -> DataFrame:
         """Add ``__prev_i`` and ``__next_i``: nearest non-null (value, position) each way."""
         df = self.df.withColumn("__pos", F.row_number().over(self._window()).cast("long"))
@@ -60,8 +65,9 @@ class KeyedSequence:
 class BandedSequence:
     """The same operations over bands of one frozen total order.
 
-    ``order_by`` has to be unique within a key (add a tiebreak column). ``bands``
-    defaults to the session's ``spark.sql.shuffle.partitions``.
+    ``order_by`` should be unique within a key (add a tiebreak column); a hash of the row
+    comes last in the order, so rows that are merely equal in it still spread over bands.
+    ``bands`` defaults to the session's ``spark.sql.shuffle.partitions``.
     """
 
     def __init__(
@@ -76,10 +82,13 @@ class BandedSequence:
         self.columns = df.columns
         spark = df.sparkSession
         count = bands or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        order = [col(c).asc_nulls_first() for c in [*self.keys, *self.order_by]]
+        order = [col(c).asc_nulls_first() for c in [*self.keys, *self.order_by]] + [F.col("__hash")]
+        hashable = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
         placed = (
-            df.repartitionByRange(count, *order)
+            df.withColumn("__hash", F.xxhash64(*[col(c) for c in hashable]))
+            .repartitionByRange(count, *order)
             .sortWithinPartitions(*order)
+            .drop("__hash")
             .withColumn("__id", F.monotonically_increasing_id())
         )
         # Range bounds come from a sample and differ between jobs, so the positions
@@ -215,6 +224,29 @@ class BandedSequence:
             )
         return out.select(*[col(c) for c in self.columns], index, *([total] if total else []))
 
+    def running_total(self, weight: str, output: str) -> DataFrame:
+        """Sum of ``weight`` over the rows of the key up to and with the current one."""
+        ends = self._edges.select("__band", "__last_key")
+        tagged = self.rows.join(F.broadcast(ends), "__band")
+        of_last = F.when(F.col("__key") == F.col("__last_key"), col(weight))
+        tails = tagged.groupBy("__band").agg(F.sum(of_last).alias("__tail"))
+        # Both windows see one row per band.
+        same_key = Window.partitionBy("__last_key").orderBy("__band").rowsBetween(
+            Window.unboundedPreceding, Window.currentRow
+        )
+        in_order = Window.orderBy("__band")
+        runs = ends.join(F.broadcast(tails), "__band").withColumn("__run", F.sum("__tail").over(same_key))
+        borders = runs.select(
+            "__band",
+            F.lag("__last_key").over(in_order).alias("__before_key"),
+            F.lag("__run").over(in_order).alias("__carry"),
+        )
+        w = Window.partitionBy("__band", *[col(k) for k in self.keys]).orderBy("__row")
+        local = F.sum(col(weight)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        carried = F.when(F.col("__key") == F.col("__before_key"), F.col("__carry")).otherwise(F.lit(0))
+        out = self.rows.join(F.broadcast(borders), "__band").withColumn(output, local + carried)
+        return out.select(*[col(c) for c in self.columns], output)
+
     def neighbours(self, columns: Sequence[str]) -> DataFrame:
         """Add ``__prev_i`` and ``__next_i``: nearest non-null (value, position) each way.
 
@@ -340,20 +372,24 @@ def sequence(
 def row_at(
     df: DataFrame,
     value: str,
+    weight: str,
     positions: Mapping[str, Callable[[Column], Column]],
     keys: Sequence[str] = (),
     strategy: str = "auto",
 ) -> DataFrame:
-    """One row per key with ``n`` rows and the values at given 0-based ranks of sorted ``value``.
+    """One row per key with ``n`` and the values at given 0-based ranks of sorted ``value``.
 
-    ``positions`` maps an output name to a function of the key's row count. The input
-    must hold no null values; equal values may swap places, which changes nothing.
+    ``df`` has one row per key and distinct value with its number of occurrences, so a
+    value that fills half a table is still one row. ``positions`` maps an output name
+    to a function of the key's total count.
     """
-    ranked = sequence(df.select(*[col(k) for k in keys], col(value)), value, keys, strategy).with_index(
-        "__idx", "__total"
-    )
-    wanted = [
-        F.max(F.when(F.col("__idx") == make(F.col("__total")), col(value))).alias(name)
-        for name, make in positions.items()
-    ]
-    return ranked.groupBy(*[col(k) for k in keys]).agg(F.max("__total").alias("n"), *wanted)
+    rows = df.select(*[col(k) for k in keys], col(value), col(weight))
+    summed = sequence(rows, value, keys, strategy).running_total(weight, "__cum")
+    totals = rows.groupBy(*[col(k) for k in keys]).agg(F.sum(col(weight)).alias("n"))
+    placed = attach(summed, totals, keys, ["n"])
+    wanted = []
+    for name, make in positions.items():
+        rank = make(F.col("n"))
+        covers = (F.col("__cum") - col(weight) <= rank) & (rank < F.col("__cum"))
+        wanted.append(F.max(F.when(covers, col(value))).alias(name))
+    return placed.groupBy(*[col(k) for k in keys]).agg(F.max("n").alias("n"), *wanted)

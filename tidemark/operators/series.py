@@ -79,17 +79,30 @@ def deltas(df: DataFrame, datetime_column: str, keys: Sequence[str] = (), tiebre
     return sequence(stamped, order, keys, strategy, bands).over({"delta_seconds": seconds}, lookback=1)
 
 
-def frequency_gaps(df: DataFrame, datetime_column: str, keys: Sequence[str] = (), tiebreak: Sequence[str] = (), strategy: str = "auto", bands: int | None = None) -> DataFrame:
-    """Gaps between rows that differ from the most common gap (the smallest one on ties).
+def gap_lengths(df: DataFrame, datetime_column: str, keys: Sequence[str] = (), strategy: str = "auto", bands: int | None = None) -> DataFrame:
+    """Distinct gaps between consecutive rows of each series and how often each occurs.
 
-    Gaps are counted per distinct length first, so no task sees a series as a whole.
+    Repeated times are counted first: a time that holds many rows is one row with that
+    many, less one, gaps of zero seconds.
     """
-    gaps = deltas(df, datetime_column, keys, tiebreak, strategy, bands).where(F.col("delta_seconds").isNotNull())
     by = key_columns(keys)
-    counted = gaps.groupBy(*by, "delta_seconds").agg(F.count(F.lit(1)).alias("__n"))
-    mode = F.max_by("delta_seconds", F.struct(F.col("__n"), -F.col("delta_seconds")))
-    total, common = F.sum("__n"), F.max("__n")
-    return counted.groupBy(*by).agg(
+    times = df.where(col(datetime_column).isNotNull()).groupBy(*by, col(datetime_column)).agg(F.count(F.lit(1)).alias("__n"))
+    stepped = deltas(times, datetime_column, keys, (), strategy, bands)
+    gaps = F.array(
+        F.struct(F.col("delta_seconds"), F.lit(1).cast("long").alias("n")),
+        F.struct(F.lit(0.0).alias("delta_seconds"), (F.col("__n") - 1).alias("n")),
+    )
+    rows = stepped.select(*by, F.inline(gaps).alias("delta_seconds", "n"))
+    found = rows.where(F.col("delta_seconds").isNotNull() & (F.col("n") > 0))
+    return found.groupBy(*by, "delta_seconds").agg(F.sum("n").alias("n"))
+
+
+def frequency_gaps(df: DataFrame, datetime_column: str, keys: Sequence[str] = (), strategy: str = "auto", bands: int | None = None) -> DataFrame:
+    """Gaps between rows that differ from the most common gap (the smallest one on ties)."""
+    counted = gap_lengths(df, datetime_column, keys, strategy, bands)
+    mode = F.max_by("delta_seconds", F.struct(F.col("n"), -F.col("delta_seconds")))
+    total, common = F.sum("n"), F.max("n")
+    return counted.groupBy(*key_columns(keys)).agg(
         mode.alias("mode_seconds"),
         total.alias("intervals"),
         (total - common).alias("frequency_gaps"),

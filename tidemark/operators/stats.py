@@ -23,20 +23,23 @@ def quantiles(
     keys: Sequence[str] = (),
     method: str = "linear",
     strategy: str = "auto",
+    weight: str | None = None,
 ) -> DataFrame:
     """One row per key with the named quantiles of the non-null values.
 
     ``linear`` interpolates between ranks, ``nearest`` takes the value at rank
     ``round(q * (n - 1))``, ``approx`` uses ``percentile_approx``. An exact percentile
-    holds its whole group in one task, so groups above ``ROWS_PER_GROUP`` are sorted
-    across the cluster and read at the wanted ranks instead. ``strategy`` may force
-    ``keyed`` or ``banded``.
+    holds its whole group in one task, so of groups above ``ROWS_PER_GROUP`` the distinct
+    values are counted, sorted across the cluster and read at the wanted ranks instead. ``strategy`` may force
+    ``keyed`` or ``banded``. ``weight`` names a column of whole counts, how often a row's
+    value occurs.
     """
-    present = df.select(*[col(k) for k in keys], col(value).cast("double").alias("__v")).where(
-        F.col("__v").isNotNull()
-    )
+    occurs = col(weight).cast("long") if weight else F.lit(1).cast("long")
+    present = df.select(
+        *[col(k) for k in keys], col(value).cast("double").alias("__v"), occurs.alias("__w")
+    ).where(F.col("__v").isNotNull())
     by = [col(k) for k in keys]
-    if method == "approx":
+    if method == "approx" and weight is None:
         found = present.groupBy(*by).agg(
             F.percentile_approx("__v", list(probabilities.values()), 10_000).alias("__q")
         )
@@ -45,21 +48,22 @@ def quantiles(
         strategy = "keyed" if largest_group(present, keys) <= ROWS_PER_GROUP else "banded"
     if method == "linear" and strategy == "keyed":
         # One call for all probabilities keeps one table of values per group, not several.
-        found = present.groupBy(*by).agg(F.percentile("__v", list(probabilities.values())).alias("__q"))
+        found = present.groupBy(*by).agg(F.percentile("__v", list(probabilities.values()), F.col("__w") if weight else 1).alias("__q"))
         return found.select(*by, *[F.get("__q", F.lit(i)).alias(name) for i, name in enumerate(probabilities)])
+    weighted = present.groupBy(*by, "__v").agg(F.sum("__w").alias("__w"))
     if method == "nearest":
         wanted = {
             name: (lambda n, q=q: F.round(F.lit(q) * (n - 1)).cast("long"))
             for name, q in probabilities.items()
         }
-        return row_at(present, "__v", wanted, keys, strategy).select(*by, *probabilities)
+        return row_at(weighted, "__v", "__w", wanted, keys, strategy).select(*by, *probabilities)
     if method != "linear":
         raise ValueError(f"unknown quantile method {method!r}")
     wanted = {}
     for name, q in probabilities.items():
         wanted[f"__lo_{name}"] = lambda n, q=q: _floor_position(q, n)
         wanted[f"__hi_{name}"] = lambda n, q=q: F.least(_floor_position(q, n) + 1, n - 1)
-    ranked = row_at(present, "__v", wanted, keys, strategy)
+    ranked = row_at(weighted, "__v", "__w", wanted, keys, strategy)
     out = []
     for name, q in probabilities.items():
         exact = F.lit(q) * (F.col("n") - 1)

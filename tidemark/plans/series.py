@@ -381,7 +381,7 @@ SELECT event_type, round(med, 4) AS median_seconds,
 FROM m""")
 def _(spark, sf):
     events = table(spark, sf, "events").select("event_id", "ts", "event_type")
-    made = prf.infer_frequency(events, "ts", ["event_type"], ["event_id"], strategy="banded")
+    made = prf.infer_frequency(events, "ts", ["event_type"], strategy="banded")
     return made.select("event_type", rounded("median_seconds"), "frequency")
 
 
@@ -466,7 +466,7 @@ SELECT count(*) AS n_rows, count(*) - count(value) AS missing, round(100.0 * (co
 FROM gappy, q, g, s""")
 def _(spark, sf):
     as_of = F.lit("2024-03-15 00:00:00").cast("timestamp_ntz")
-    made = prf.wizard_analysis(gappy(spark, sf), "ts", "value", as_of, ["event_type"], ["event_id"], strategy="banded")
+    made = prf.wizard_analysis(gappy(spark, sf), "ts", "value", as_of, ["event_type"], strategy="banded")
     return made.select(
         "n_rows", "missing", "missing_pct", "mean", "std", "outliers", "skewness", "frequency_gaps", "frequency_gap_pct",
         "n_duplicates", "n_groups", "min_group_size", "max_group_size",

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tidemark.functions.columns import col, require
+from tidemark.operators.project import sort_rows
 
 FORMATS = {".csv": "csv", ".parquet": "parquet"}
 
@@ -41,7 +42,7 @@ def load_full_dataframe(
     df = read_table(spark, path, schema)
     if datetime_column and datetime_column in df.columns:
         df = df.withColumn(datetime_column, col(datetime_column).try_cast("timestamp_ntz"))
-        df = df.orderBy(col(datetime_column).asc_nulls_first())
+        df = sort_rows(df, datetime_column)
     return df
 
 
@@ -58,7 +59,7 @@ def load_time_series(
     series = df.select(
         col(date_column).try_cast("timestamp_ntz").alias(date_column), col(value_column).alias("value")
     )
-    return series.orderBy(col(date_column).asc_nulls_first())
+    return sort_rows(series, date_column)
 
 
 def discover_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
