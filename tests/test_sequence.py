@@ -99,3 +99,5 @@ def test_no_row_window_without_partition(spark):
     assert "Window [lag(" in plan
     line = next(x for x in plan.splitlines() if "Window [lag(" in x)
     assert "__target" in line
+    physical = out._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+    assert physical.count("Exchange shufflepartitionidpassthrough") == 1 and "hashpartitioning" not in physical

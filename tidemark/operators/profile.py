@@ -25,6 +25,7 @@ from tidemark.operators.aggregate import (
 from tidemark.operators.keys import attach, key_columns
 from tidemark.operators.series import frequency_gaps, gap_lengths, seasonality, trend_concordance
 from tidemark.operators.stats import percent, quantiles
+from tidemark.session import materialize
 
 # Name fragments of datetime and target columns.
 DATETIME_NAMES = ("date", "time", "timestamp", "dt", "datetime", "data", "dzien", "miesiac")
@@ -104,7 +105,11 @@ def infer_frequency(
 ) -> DataFrame:
     """Frequency label per series from the median gap; null below three rows."""
     gaps = gap_lengths(df, datetime_column, keys, strategy, bands)
-    median = quantiles(gaps, "delta_seconds", {"median_seconds": 0.5}, keys, strategy=strategy, weight="n")
+    if strategy != "keyed":
+        # Regular series have few distinct gaps; store them before asking how many there are.
+        gaps = materialize(gaps, "gaps")
+    how = "keyed" if strategy == "keyed" else "auto"
+    median = quantiles(gaps, "delta_seconds", {"median_seconds": 0.5}, keys, strategy=how, weight="n")
     by = key_columns(keys)
     counts = df.where(col(datetime_column).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"))
     both = attach(counts, median, keys, ["median_seconds"])

@@ -32,7 +32,7 @@ class KeyedSequence:
     def __init__(self, df: DataFrame, order_by: Sequence[str], keys: Sequence[str] = ()):
         require(df, *order_by, *keys)
         self.keys, self.order_by = list(keys), list(order_by)
-        self.df = df
+        self.df = self.table = df
 
     def _window(self, backwards: bool = False) -> WindowSpec:
         order = [col(c).desc_nulls_last() if backwards else col(c).asc_nulls_first() for c in self.order_by]
@@ -81,7 +81,7 @@ class BandedSequence:
         self.keys, self.order_by = list(keys), list(order_by)
         self.columns = df.columns
         spark = df.sparkSession
-        count = bands or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.bands = count = bands or int(spark.conf.get("spark.sql.shuffle.partitions"))
         order = [col(c).asc_nulls_first() for c in [*self.keys, *self.order_by]] + [F.col("__hash")]
         hashable = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
         placed = (
@@ -101,6 +101,7 @@ class BandedSequence:
             F.col("__id").bitwiseAND(F.lit((1 << _BAND_SHIFT) - 1)).alias("__row"),
             key.alias("__key"),
         )
+        self.table = frozen.select(*[col(c) for c in self.columns])
 
     # -- one row per band -------------------------------------------------------
 
@@ -137,6 +138,10 @@ class BandedSequence:
             "__g", F.col("__start") + F.col("__row")
         )
 
+    def _one_band_per_task(self, rows: DataFrame, band: str) -> DataFrame:
+        """Shuffle by the band number itself: hashing would put several bands in one task."""
+        return rows.repartitionById(self.bands, F.col(band))
+
     # -- operations ----------------------------------------------------------------
 
     def over(self, features: Mapping[str, Feature], lookback: int = 0, lookahead: int = 0) -> DataFrame:
@@ -178,7 +183,9 @@ class BandedSequence:
             F.explode(F.concat(*targets)).alias("__target"),
         )
         w = Window.partitionBy("__target", *[col(k) for k in self.keys]).orderBy("__g")
-        made = copied.withColumns({name: make(w) for name, make in features.items()})
+        made = self._one_band_per_task(copied, "__target").withColumns(
+            {name: make(w) for name, make in features.items()}
+        )
         own = made.where(F.col("__band") == F.col("__target"))
         return own.drop("__band", "__target", "__g")
 
@@ -214,7 +221,9 @@ class BandedSequence:
             .select(F.col("__key").alias("__span_key"), "__span_first", "__span_total")
         )
         group = Window.partitionBy("__band", *[col(k) for k in self.keys])
-        joined = placed.join(F.broadcast(spanning), F.col("__key") == F.col("__span_key"), "left")
+        joined = self._one_band_per_task(
+            placed.join(F.broadcast(spanning), F.col("__key") == F.col("__span_key"), "left"), "__band"
+        )
         out = joined.withColumn(
             index, F.col("__g") - F.coalesce("__span_first", F.min("__g").over(group))
         )
@@ -244,7 +253,8 @@ class BandedSequence:
         w = Window.partitionBy("__band", *[col(k) for k in self.keys]).orderBy("__row")
         local = F.sum(col(weight)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
         carried = F.when(F.col("__key") == F.col("__before_key"), F.col("__carry")).otherwise(F.lit(0))
-        out = self.rows.join(F.broadcast(borders), "__band").withColumn(output, local + carried)
+        shuffled = self._one_band_per_task(self.rows.join(F.broadcast(borders), "__band"), "__band")
+        out = shuffled.withColumn(output, local + carried)
         return out.select(*[col(c) for c in self.columns], output)
 
     def neighbours(self, columns: Sequence[str]) -> DataFrame:
@@ -300,10 +310,9 @@ class BandedSequence:
         )
         group = Window.partitionBy("__band", *[col(k) for k in self.keys])
         onwards, backwards = group.orderBy("__row"), group.orderBy(F.col("__row").desc())
-        local = (
-            placed.join(F.broadcast(borders), "__band", "left")
-            .withColumn("__pos", F.col("__g"))
-            .withColumns(_in_group_neighbours(columns, onwards, backwards))
+        joined = placed.join(F.broadcast(borders), "__band", "left").withColumn("__pos", F.col("__g"))
+        local = self._one_band_per_task(joined, "__band").withColumns(
+            _in_group_neighbours(columns, onwards, backwards)
         )
         filled = local.withColumns(
             {
@@ -383,9 +392,9 @@ def row_at(
     value that fills half a table is still one row. ``positions`` maps an output name
     to a function of the key's total count.
     """
-    rows = df.select(*[col(k) for k in keys], col(value), col(weight))
-    summed = sequence(rows, value, keys, strategy).running_total(weight, "__cum")
-    totals = rows.groupBy(*[col(k) for k in keys]).agg(F.sum(col(weight)).alias("n"))
+    rows = sequence(df.select(*[col(k) for k in keys], col(value), col(weight)), value, keys, strategy)
+    summed = rows.running_total(weight, "__cum")
+    totals = rows.table.groupBy(*[col(k) for k in keys]).agg(F.sum(col(weight)).alias("n"))
     placed = attach(summed, totals, keys, ["n"])
     wanted = []
     for name, make in positions.items():

@@ -636,6 +636,20 @@ def _(spark, sf):
     )
 
 
+@query("scl_06_non_strict_cast", """
+SELECT event_id, TRY_CAST(CASE WHEN event_id % 11 = 0 THEN 'n/a' ELSE CAST(event_id AS VARCHAR) END AS BIGINT) AS number,
+       TRY_CAST(CASE WHEN event_id % 13 = 0 THEN 'soon' ELSE strftime(ts, '%Y-%m-%d') END AS DATE) AS day, CAST(user_id AS VARCHAR) AS label
+FROM events""")
+def _(spark, sf):
+    text = table(spark, sf, "events").select(
+        "event_id",
+        F.when(F.col("event_id") % 11 == 0, "n/a").otherwise(F.col("event_id").cast("string")).alias("number"),
+        F.when(F.col("event_id") % 13 == 0, "soon").otherwise(F.date_format("ts", "yyyy-MM-dd")).alias("day"),
+        F.col("user_id").alias("label"),
+    )
+    return prj.cast_types(text, {"number": "bigint", "day": "date", "label": "string"})
+
+
 @query("scl_07_text", """
 SELECT event_type, count(*) AS n, lower('TS_' || event_type) AS label,
        regexp_matches(lower(event_type), 'click|view') AS looks FROM events GROUP BY event_type""")
