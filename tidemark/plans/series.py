@@ -433,14 +433,18 @@ pts AS (SELECT DISTINCT series, n, CASE WHEN n <= 1000 THEN j ELSE (j * (n - 1))
         FROM (SELECT DISTINCT series, n FROM x), range(0, 1000) r(j) WHERE j < n),
 spaced AS (SELECT x.series, x.i, x.x AS v FROM x JOIN pts ON x.series = pts.series AND x.i - 1 = pts.i),
 trend AS (SELECT a.series, abs(avg(sign(b.v - a.v))) > 0.3 AS has_trend FROM spaced a JOIN spaced b ON a.series = b.series AND a.i < b.i GROUP BY 1),
+gap AS (SELECT series, quantile_cont(d, 0.5) AS med FROM (
+        SELECT series, epoch(ds - lag(ds) OVER (PARTITION BY series ORDER BY ds)) AS d FROM order_panel) GROUP BY 1),
 q AS (SELECT series, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM order_panel GROUP BY 1),
 o AS (SELECT series, count(*) AS n_rows, CAST(min(ds) AS DATE) AS start_date, CAST(max(ds) AS DATE) AS end_date,
         round(100.0 * count(*) FILTER (WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) / count(value), 2) AS outlier_pct
       FROM order_panel JOIN q USING (series) GROUP BY 1)
-SELECT series, n_rows, 0.0::DOUBLE AS missing_pct, 'D' AS frequency, start_date, end_date, outlier_pct, period IS NOT NULL AS has_seasonality,
+SELECT series, n_rows, 0.0::DOUBLE AS missing_pct,
+       CASE WHEN abs(med - 86400) < 1800 THEN 'D' WHEN abs(med - 604800) < 43200 THEN 'W' WHEN med BETWEEN 2160000 AND 3024000 THEN 'M'
+            ELSE CAST(floor(med) AS BIGINT) || 's' END AS frequency, start_date, end_date, outlier_pct, period IS NOT NULL AS has_seasonality,
        period AS seasonality_period, has_trend, CASE WHEN outlier_pct > 2 THEN 'handle_outliers:clip_iqr:' || CASE WHEN outlier_pct < 10 THEN 'medium' ELSE 'high' END ELSE '' END AS recommendations,
        outlier_pct > 5 AS needs_confirmation
-FROM o JOIN season USING (series) JOIN trend USING (series)"""
+FROM o JOIN season USING (series) JOIN trend USING (series) JOIN gap USING (series)"""
 
 
 @query("prf_07_series_profile", PROFILED)
