@@ -68,14 +68,20 @@ class BlockBundles:
         self.text, self.start, self.count, anchor, digest = windows.bundles()
         self.ids = ids
         # 48 bits of the anchor beside its bucket and 39 of the digest; an anchor met by chance only costs a comparison
-        self.bucket = _buckets(anchor, buckets)
+        self.key, bucket = anchor, _buckets(anchor, buckets)
         self.anchor = anchor & np.uint64((1 << 48) - 1)
         self.digest = digest & np.uint64((1 << 40) - 2)
-        order = np.lexsort((self.digest, self.anchor, self.bucket))
-        head = _heads(self.bucket[order], self.anchor[order], self.digest[order])
-        self.entry = np.empty(len(order), np.int64)
-        self.entry[order] = np.cumsum(head) - 1
-        self.first = order[head]
+        self.order = np.argsort(anchor)
+        head = _heads(anchor[self.order])
+        size = np.diff(np.append(np.flatnonzero(head), len(head)))
+        tied = np.repeat(size > 1, size)
+        among = self.order[tied]
+        self.order[tied] = among[np.lexsort((self.digest[among], anchor[among]))]
+        head |= _heads(self.digest[self.order])
+        self.entry = np.empty(len(self.order), np.int64)
+        self.entry[self.order] = np.cumsum(head) - 1
+        self.first = self.order[head]
+        self.bucket = bucket[self.first]
         self.times = np.bincount(self.entry, minlength=len(self.first))
         self.states = np.zeros(len(self.first), np.uint8)
 
@@ -84,10 +90,10 @@ class BlockBundles:
         f = self.first
         many = (self.times > 1).astype(np.uint64)
         body = np.concatenate([_bytes_of(self.anchor[f], 0, 6), _bytes_of(self.digest[f] | many, 0, 5)], axis=1)
-        return _by_bucket(block, 1, self.bucket[f], body)
+        return _by_bucket(block, 1, self.bucket, body)
 
     def told(self, answers: dict[tuple[int, int], bytes]) -> None:
-        bucket, n = np.unique(self.bucket[self.first], return_counts=True)
+        bucket, n = np.unique(self.bucket, return_counts=True)
         at = np.concatenate([[0], np.cumsum(n)])
         for i, b in enumerate(bucket):
             if (blob := answers.get((1, int(b)))) is not None:
@@ -135,24 +141,31 @@ class BlockBundles:
         return np.unique(np.concatenate(found))
 
     def _within(self) -> np.ndarray:
-        """Windows repeated inside the block: of anchors with more than one bundle here."""
-        order = np.lexsort((self.anchor, self.bucket))
-        head = _heads(self.bucket[order], self.anchor[order])
-        group = np.cumsum(head) - 1
-        often = np.bincount(group, minlength=1) > 1
-        bundles = order[often[group]] if len(order) else order
+        """Windows repeated inside the block: whole bundles where an anchor has one kind, else window by window."""
+        if not len(self.order):
+            return self.order
+        key, entry = self.key[self.order], self.entry[self.order]
+        heads = np.flatnonzero(_heads(key))
+        size = np.diff(np.append(heads, len(key)))
+        kinds = np.add.reduceat(_heads(key, entry).astype(int), heads)
+        plain = np.repeat((size > 1) & (kinds == 1), size)
+        if self.rule == EARLIER:
+            ids = self.ids[self.text[self.order]]
+            plain &= ids > np.repeat(np.minimum.reduceat(ids, heads), size)
+        whole = self._expanded(self.order[plain])
+        bundles = self.order[np.repeat(kinds > 1, size)]
         places = self._expanded(bundles)
         if not len(places):
-            return places
+            return whole
         names = self.windows.names(places)
-        order = np.argsort(names, kind="stable")
+        order = np.argsort(names)
         head = _heads(names[order])
         group = np.cumsum(head) - 1
         if self.rule == ELSEWHERE:
-            return places[order[(np.bincount(group) > 1)[group]]]
+            return np.concatenate([whole, places[order[(np.bincount(group) > 1)[group]]]])
         ids = np.repeat(self.ids[self.text[bundles]], self.count[bundles])[order]
         least = np.minimum.reduceat(ids, np.flatnonzero(head))
-        return places[order[ids > least[group]]]
+        return np.concatenate([whole, places[order[ids > least[group]]]])
 
 
 def _by_bucket(block: int, step: int, bucket: np.ndarray, body: np.ndarray) -> pa.Table:
@@ -183,26 +196,27 @@ def _rank_bundles(rule: str) -> Callable[[pa.Table], pa.Table]:
         body, block, at = _unpacked(rows, 11)
         anchor, digest = _number(body[:, :6]), _number(body[:, 6:])
         many, digest = (digest & np.uint64(1)).astype(bool), digest >> np.uint64(1)
-        order = np.lexsort((block, digest, anchor))
+        # 16 bits of the digest order the bundles of an anchor; bundles mixed up by chance are only asked for in round 2
+        order = np.argsort(anchor << np.uint64(16) | digest & np.uint64(0xFFFF))
         a, d, b, m = anchor[order], digest[order], block[order], many[order]
         new_anchor = _heads(a)
-        new_class = new_anchor | _heads(a, d)
+        new_class = new_anchor | _heads(d)
         group, kind = np.cumsum(new_anchor) - 1, np.cumsum(new_class) - 1
         at_anchor, at_class = np.flatnonzero(new_anchor), np.flatnonzero(new_class)
         state = np.zeros(len(a), np.uint8)
         if len(a):
             apart = (np.minimum.reduceat(b, at_anchor) < np.maximum.reduceat(b, at_anchor))[group]
             mixed = (np.add.reduceat(new_class.astype(int), at_anchor) > 1)[group]
+            home = np.minimum.reduceat(b, at_class)[kind]
             if rule == EARLIER:
-                state[apart & ~new_class] = ALL
-                firsts = np.where(new_class, b, b[at_class][kind])
-                differ = (np.minimum.reduceat(firsts, at_anchor) < np.maximum.reduceat(firsts, at_anchor))[group]
-                state[new_class & mixed & differ] = ASK
+                differ = (np.minimum.reduceat(home, at_anchor) < np.maximum.reduceat(home, at_anchor))[group]
+                state[mixed & differ & (b == home)] = ASK
+                state[apart & (b > home)] = ALL
             else:
                 often = (np.add.reduceat(np.ones(len(a), int), at_class) + np.add.reduceat(m.astype(int), at_class) > 1)[kind]
                 state[apart & often] = ALL
-                state[apart & mixed & new_class & ~often] = ASK
-                state[apart & mixed & new_class & often] = ALL_AND_ASK
+                state[apart & mixed & (b == home) & ~often] = ASK
+                state[apart & mixed & (b == home) & often] = ALL_AND_ASK
         out = np.empty(len(state), np.uint8)
         out[order] = state
         return _answers(rows, 1, out, at)
@@ -252,6 +266,7 @@ def mark_repeats(
     placed = docs.withColumn("_block", block)
 
     def bundled(rows: pa.Table) -> tuple[BlockBundles, object, int]:
+        pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between blocks
         ids = rows[id_col].fill_null(-(2**63)).to_numpy()
         windows, extra = windows_of(rows)
         return BlockBundles(windows, ids, rule, buckets), extra, rows["_block"][0].as_py()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.session import materialize
 
 #: Text bytes that one grouped task holds at a time.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

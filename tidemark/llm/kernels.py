@@ -16,8 +16,8 @@ U = np.uint64
 M1, M2, M3 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0xD6E8FEB86659FD93)
 #: Zero bytes after the buffer, so that eight bytes can be read at any place.
 PAD = 64
-#: Bytes (or words) for which whole-length temporaries exist at a time.
-SLICE = 1 << 20
+#: Bytes (or words) for which whole-length temporaries exist at a time; they stay in a core's cache.
+SLICE = 1 << 16
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -145,7 +145,8 @@ class Windows:
     def __init__(self, offsets: np.ndarray, length: int, gram: int):
         self.offsets, self.length, self.gram = offsets, length, gram
 
-    def grams(self, start: int, stop: int) -> np.ndarray:
+    def raw_grams(self, start: int, stop: int) -> np.ndarray:
+        """A hash of each gram that starts in [start, stop); only its high bits are even."""
         raise NotImplementedError
 
     def names(self, places: np.ndarray) -> np.ndarray:
@@ -154,7 +155,7 @@ class Windows:
 
     def bundles(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Text number, first window start, number of windows, anchor, digest of each bundle."""
-        parts = [self._slice(d, a, b, lo) for d, a, b, lo in self._slices()]
+        parts = [self._slice(*x) for x in self._slices()]
         if not parts:
             return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U),) * 2
         text, start, count, anchor = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -162,7 +163,7 @@ class Windows:
         for i in range(0, len(start), SLICE):
             s, n = start[i : i + SLICE], count[i : i + SLICE]
             digest[i : i + SLICE] = pair(pair(self.names(s), self.names(s + n - 1)), n.astype(U))
-        return text, start, count, anchor, digest
+        return text, start, count, scramble(anchor), digest
 
     def _slices(self) -> Iterator[tuple[int, int, int, int]]:
         """(text from, text to, first start, last start + 1): whole short texts, or a part of a long one."""
@@ -184,25 +185,34 @@ class Windows:
         none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U),)
         if starts <= 0:
             return none
-        grams = self.grams(lo, stop - self.gram + 1)
-        least = (grams & U(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=U)
+        raw = self.raw_grams(lo, stop - self.gram + 1)
+        least = raw * M3
+        least &= U(0xFFFFFFFF00000000)
+        least |= np.arange(len(raw), dtype=U)
         span = 1
         while span * 2 <= width:
             least = np.minimum(least[:-span], least[span:])
             span *= 2
         if width > span:
             least = np.minimum(least[: -(width - span)], least[width - span :])
-        anchor = (least[:starts] & U(0xFFFFFFFF)).astype(np.int64)
-        text = np.repeat(np.arange(i, j), np.diff(np.clip(o[i : j + 1], lo, lo + starts)))
-        place = np.arange(lo, lo + starts)
-        whole = place + self.length <= o[1:][text]
-        if not whole.all():
-            place, text, anchor = place[whole], text[whole], anchor[whole]
-        if not len(place):
-            return none
-        new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]))
-        count = np.diff(np.append(new, len(place)))
-        return text[new], place[new], count, grams[anchor[new]]
+        least = least[:starts]
+        # a bundle begins where the anchor's place changes and where a text begins
+        new = np.flatnonzero(least[1:] != least[:-1]) + 1
+        new = np.union1d(new, np.clip(o[i:j], lo, None) - lo)
+        new = new[new < starts]
+        text = np.searchsorted(o, new + lo, side="right") - 1
+        end = np.minimum(np.append(new[1:], starts), o[1:][text] - self.length + 1 - lo)
+        whole = end > new
+        new, text, end = new[whole], text[whole], end[whole]
+        return text, new + lo, end - new, raw[(least[new] & U(0xFFFFFFFF)).astype(np.int64)]
+
+
+def doubled(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The rank pair of two equally long strings as one number: cheap, with even high bits after one more multiplication."""
+    z = x * M2
+    z += y
+    z ^= z >> U(29)
+    return z
 
 
 class ByteWindows(Windows):
@@ -214,22 +224,28 @@ class ByteWindows(Windows):
         super().__init__(offsets, length, (length + 1) // 2)
         self.x8 = eights(buf)
 
-    def _named(self, load) -> np.ndarray:
-        """The name of ``gram`` bytes out of eight-byte loads; the last load may overlap the one before."""
-        steps = [*range(0, self.gram - 8, 8), self.gram - 8]
-        x = load(steps[0]) * M1
-        for s in steps[1:]:
-            x ^= x >> U(29)
-            x *= M2
-            x += load(s) * M1
-        return scramble(x)
-
-    def grams(self, start: int, stop: int) -> np.ndarray:
-        return self._named(lambda s: self.x8[start + s : stop + s])
+    def raw_grams(self, start: int, stop: int) -> np.ndarray:
+        x = self.x8[start : stop + self.gram - 8] * M1
+        x ^= x >> U(32)
+        size = 8
+        while size < self.gram:
+            step = min(size, self.gram - size)
+            x = doubled(x[:-step], x[step:])
+            size += step
+        return x
+
+    def _raw(self, places: np.ndarray, size: int) -> np.ndarray:
+        if size == 8:
+            x = self.x8[places] * M1
+            x ^= x >> U(32)
+            return x
+        half = 8
+        while half * 2 < size:
+            half *= 2
+        return doubled(self._raw(places, half), self._raw(places + size - half, half))
 
     def names(self, places: np.ndarray) -> np.ndarray:
-        second = places + self.length - self.gram
-        return pair(self._named(lambda s: self.x8[places + s]), self._named(lambda s: self.x8[second + s]))
+        return pair(scramble(self._raw(places, self.gram)), scramble(self._raw(places + self.length - self.gram, self.gram)))
 
 
 class WordWindows(Windows):
@@ -237,24 +253,20 @@ class WordWindows(Windows):
 
     def __init__(self, names: np.ndarray, at: np.ndarray, length: int, gram: int = 8):
         super().__init__(at, length, min(gram, length))
-        self.words = np.concatenate([names, np.zeros(length, U)])
-        self.levels = [self.words]
+        self.levels = [np.concatenate([names, np.zeros(2 * length, U)])]
         size = 1
         while size * 2 <= length:
-            top = self.levels[-1]
-            self.levels.append(pair(top[:-size], top[size:]))
+            self.levels.append(pair(self.levels[-1][:-size], self.levels[-1][size:]))
             size *= 2
-        self.size = size
 
     def _named(self, size: int, load) -> np.ndarray:
         """Doubling: the name of 2n words is the pair of the names of n words at offset n; odd lengths overlap."""
         level = size.bit_length() - 1
-        x = load(level, 0)
         rest = size - (1 << level)
-        return pair(x, load(level, rest)) if rest else x
+        return pair(load(level, 0), load(level, rest)) if rest else load(level, 0)
 
-    def grams(self, start: int, stop: int) -> np.ndarray:
-        return scramble(self._named(self.gram, lambda lv, s: self.levels[lv][start + s : stop + s].copy()))
+    def raw_grams(self, start: int, stop: int) -> np.ndarray:
+        return self._named(self.gram, lambda lv, s: self.levels[lv][start + s : stop + s])
 
     def names(self, places: np.ndarray) -> np.ndarray:
         return self._named(self.length, lambda lv, s: self.levels[lv][places + s])
