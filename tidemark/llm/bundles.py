@@ -60,6 +60,17 @@ def _heads(*sorted_columns: np.ndarray) -> np.ndarray:
     return new
 
 
+def _sorted(key: np.ndarray, *then: np.ndarray) -> np.ndarray:
+    """Order by ``key``, equal keys by the other columns; most keys are unique, so only the rest is sorted twice."""
+    order = np.argsort(key)
+    head = _heads(key[order])
+    size = np.diff(np.append(np.flatnonzero(head), len(head)))
+    tied = np.repeat(size > 1, size)
+    among = order[tied]
+    order[tied] = among[np.lexsort((*[x[among] for x in then[::-1]], key[among]))]
+    return order
+
+
 class BlockBundles:
     """The bundles of one block of texts, their distinct entries in fixed order, and the answers applied to them."""
 
@@ -71,13 +82,8 @@ class BlockBundles:
         self.key, bucket = anchor, _buckets(anchor, buckets)
         self.anchor = anchor & np.uint64((1 << 48) - 1)
         self.digest = digest & np.uint64((1 << 40) - 2)
-        self.order = np.argsort(anchor)
-        head = _heads(anchor[self.order])
-        size = np.diff(np.append(np.flatnonzero(head), len(head)))
-        tied = np.repeat(size > 1, size)
-        among = self.order[tied]
-        self.order[tied] = among[np.lexsort((self.digest[among], anchor[among]))]
-        head |= _heads(self.digest[self.order])
+        self.order = _sorted(anchor, self.digest)
+        head = _heads(anchor[self.order], self.digest[self.order])
         self.entry = np.empty(len(self.order), np.int64)
         self.entry[self.order] = np.cumsum(head) - 1
         self.first = self.order[head]
@@ -196,8 +202,7 @@ def _rank_bundles(rule: str) -> Callable[[pa.Table], pa.Table]:
         body, block, at = _unpacked(rows, 11)
         anchor, digest = _number(body[:, :6]), _number(body[:, 6:])
         many, digest = (digest & np.uint64(1)).astype(bool), digest >> np.uint64(1)
-        # 16 bits of the digest order the bundles of an anchor; bundles mixed up by chance are only asked for in round 2
-        order = np.argsort(anchor << np.uint64(16) | digest & np.uint64(0xFFFF))
+        order = _sorted(anchor, digest, block)
         a, d, b, m = anchor[order], digest[order], block[order], many[order]
         new_anchor = _heads(a)
         new_class = new_anchor | _heads(d)
