@@ -4,13 +4,59 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm import archives, byte_bpe, toxicity, url_filter
 from tidemark.llm.common import table
 from tidemark.llm.debruijn import remove_repeated_words, word_removal_report
+from tidemark.llm.decontaminate import find_contamination
+from tidemark.llm.fingerprints import compare_with_next
+from tidemark.llm.licenses import scan_licences
+from tidemark.llm.ngram_join import jaccard_components
 from tidemark.llm.suffix_dedup import removal_report, remove_repeats
 
 
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a file ``source/block/name``; the first twenty ids of a block of 200 are its licence files."""
+    docs = table(spark, sf_dir, "documents")
+    name = F.when(F.col("doc_id") % 200 < 20, "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.floor(F.col("doc_id") / 200).cast("string"), name)
+    found = scan_licences(docs, "doc_id", path)
+    return found.withColumn("own_score", F.round("own_score", 6))
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = url_filter.fit(url_filter.labelled_urls(spark))
+    return url_filter.judge(table(spark, sf_dir, "pages"), model)
+
+
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.archive_report(archives.archive_pages(table(spark, sf_dir, "pages")))
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return byte_bpe.encoding_report(byte_bpe.decode(encoded, ranks))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), may_learn=~toxicity.held_out(F.col("id")))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_report(remove_repeats(table(spark, sf_dir, "documents")))
 
@@ -19,9 +65,21 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_removal_report(remove_repeated_words(table(spark, sf_dir, "documents")))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scans": op1_license_scans,
+    "op2_url_filters": op2_url_filters,
+    "op3_fingerprints": op3_fingerprints,
+    "op4_warc": op4_warc,
+    "op5_byte_bpe": op5_byte_bpe,
+    "op6_toxicity": op6_toxicity,
+    "op7_ngram_join": op7_ngram_join,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_decontamination": op10_decontamination,
 }
 
 SQL: dict[str, str] = {}

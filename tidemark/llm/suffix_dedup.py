@@ -24,7 +24,7 @@ def runs_by_text(offsets: np.ndarray, starts: np.ndarray, length: int) -> tuple[
     return starts[np.concatenate([[0], cut + 1])], starts[np.concatenate([cut, [len(starts) - 1]])] + length
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, carry: tuple[str, ...] = (), block_bytes: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, carry: tuple[str, ...] = (), as_text: bool = False, block_bytes: int | None = None) -> DataFrame:
     """(id, n_bytes, spans, kept, carried columns): each text without the bytes that repeat an earlier document.
 
     A byte goes if a string of ``min_bytes`` bytes over it also starts in a
@@ -38,6 +38,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null texts are empty; texts shorter than ``min_bytes`` and an empty table
     lose nothing; equal ids are not smaller than one another, null ids are
     smaller than all others; columns that are not named are left behind.
+    ``kept`` is binary; with ``as_text`` it is a string without the characters
+    that a removed span cuts in two.
     """
     names = {"id": id_col, "text": text_col} | {f"carry_{i}": c for i, c in enumerate(carry)}
     rows = chosen(docs, names).withColumn("text", text_or_empty("text")).withColumn("id", F.col("id").cast("long"))
@@ -57,14 +59,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             keep = np.ones(len(text), bool)
             for x, y in zip(a, b, strict=True):
                 keep[x:y] = False
-            kept.append(text[keep].tobytes())
+            left = text[keep].tobytes()
+            kept.append(left.decode("utf-8", "ignore") if as_text else left)
         return pa.table(
-            [block["id"], pa.array(np.diff(offsets)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept, pa.binary())]
+            [block["id"], pa.array(np.diff(offsets)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept, pa.string() if as_text else pa.binary())]
             + [block[f"carry_{i}"] for i in range(len(carry))],
             names=["id", "n_bytes", "spans", "kept", *(f"carry_{i}" for i in range(len(carry)))],
         )
 
-    schema = "id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary" + extra
+    schema = "id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept " + ("string" if as_text else "binary") + extra
     done = mark_repeats(rows, "id", "text", windows_of, EARLIER, finish, schema, block_bytes)
     return done.select(F.col("id").alias(id_col), "n_bytes", "spans", "kept", *[F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)])
 
