@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return ToxicityModel(wanted, weights, bias)
 
 
-def train(rows: list[np.ndarray], y: np.ndarray, swaps: dict[int, int], width: int, swap_penalty: float, steps: int, ridge: float = 2e-4) -> tuple[np.ndarray, float]:
+def train(rows: list[np.ndarray], y: np.ndarray, swaps: dict[int, int], width: int, swap_penalty: float, steps: int, ridge: float = 3e-5) -> tuple[np.ndarray, float]:
     """Logistic loss, plus the mean squared change of the linear score between a row and its swapped twin."""
     flat = np.concatenate([np.zeros(0, np.int64), *rows])
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
