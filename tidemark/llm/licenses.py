@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -38,14 +40,13 @@ TEMPLATES = (
 )
 
 
-def terms_of(text: Column) -> Column:
-    """Lower-case words and numbers of a passage; ``by-nc`` and ``2.0`` are one term each."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z]+(?:-[a-z0-9]+)*|[0-9]+(?:\.[0-9]+)*"), F.lit(0))
+#: A term: ``by-nc`` and ``2.0`` are one each.
+TERM = r"[a-z]+(?:-[a-z0-9]+)*|[0-9]+(?:\.[0-9]+)*"
 
 
-def _vocabulary(templates: Sequence[tuple[str, str]], spark) -> list[str]:
-    rows = spark.createDataFrame([(t,) for _, t in templates], "text string")
-    return sorted(r[0] for r in rows.select(F.explode(terms_of(F.col("text")))).distinct().collect())
+def terms_of(text: Column) -> Column:
+    """Lower-case words and numbers of a passage."""
+    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
 def passages_of(text: Column) -> Column:
@@ -57,9 +58,10 @@ def scan_licences(files: DataFrame, id_col: str, path: Column, text_col: str = "
     """(id, path, directory, own_license, own_score, license, license_from, inherited_from): the licence of each file.
 
     Every line of a whole text that has a term such as "license" or
-    "permission", and the text of a licence file as a whole, is compared with the templates by the cosine of sparse TF-IDF vectors; idf comes
-    from the number of files that hold each term of the templates, over all
-    files, and other terms weigh as unseen ones. The best passage at or over the
+    "permission", and the text of a licence file as a whole, is compared with
+    the templates by the cosine of sparse TF-IDF vectors; idf comes from the
+    number of files that hold each term of the templates, over all files, and
+    other terms weigh as unseen ones. The best passage at or over the
     threshold gives the file's own licence (of equal scores the first
     identifier). Files without one take that of the nearest directory at or
     above their own that a licence file declares; ``license_from`` is
@@ -72,9 +74,9 @@ def scan_licences(files: DataFrame, id_col: str, path: Column, text_col: str = "
     holds; repeated rows stay; an empty table gives an empty one; other columns
     are left behind.
     """
-    spark = files.sparkSession
     rows = files.select(files[f"`{id_col}`"].alias("id"), path.cast("string").alias("path"), files[f"`{text_col}`"].alias("text")).withColumn("text", text_or_empty("text"))
-    vocabulary = _vocabulary(templates, spark)
+    terms_by_template = [(k, re.findall(TERM, t.lower())) for k, t in templates]
+    vocabulary = sorted({t for _, terms in terms_by_template for t in terms})
     known = F.lit(vocabulary)
     counted = rows.select(F.explode(F.array_intersect(terms_of(F.col("text")), known)).alias("term")).groupBy("term").count()
     n = rows.count()
@@ -83,20 +85,18 @@ def scan_licences(files: DataFrame, id_col: str, path: Column, text_col: str = "
     unseen = _idf(n, 0)
 
     # template weights, normalised: one small map for each template
-    tokens = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(templates)], "i int, license string, text string").select("i", "license", terms_of(F.col("text")).alias("terms")).collect()
     vectors = []
-    for row in tokens:
-        weight = {t: row["terms"].count(t) * idf[t] for t in row["terms"]}
+    for licence, terms in terms_by_template:
+        weight = {t: terms.count(t) * idf[t] for t in terms}
         norm = sum(w * w for w in weight.values()) ** 0.5
-        vectors.append((row["license"], {t: w / norm for t, w in weight.items()}))
+        vectors.append((licence, {t: w / norm for t, w in weight.items()}))
 
     # one array of numbers for each term: idf, then its weight in every template
     table = F.create_map(*[x for t in vocabulary for x in (F.lit(t), F.lit([idf[t], *[v.get(t, 0.0) for _, v in vectors]]))])
 
     def scored(passage: Column) -> Column:
         """Best (score, licence) of one passage."""
-        terms = terms_of(passage)
-        return F.transform(F.array(terms), lambda ts: _best(ts, table, unseen, known, [k for k, _ in vectors]))[0]
+        return _best(terms_of(passage), table, unseen, [k for k, _ in vectors])
 
     name = F.element_at(F.split("path", "/"), -1)
     is_licence = F.coalesce(name.rlike(LICENCE_FILE), F.lit(False))
@@ -138,24 +138,26 @@ _ASCII = "".join(chr(c) for c in range(33, 127))
 
 
 def _idf(n: int, df: int) -> float:
-    from math import log
-
-    return log((n + 1) / (df + 1)) + 1
+    return math.log((n + 1) / (df + 1)) + 1
 
 
-def _best(terms: Column, table: Column, unseen: float, known: Column, licences: list[str]) -> Column:
-    """Best template of a passage: dot products over the known terms, norm over all terms."""
+def _best(terms: Column, table: Column, unseen: float, licences: list[str]) -> Column:
+    """Best template of a passage: one walk over its sorted terms sums the squared norm and the dot product with each template."""
     size = len(licences)
-    zero = F.array_repeat(F.lit(0.0), size)
-    # tf * idf of each distinct term; the dot product adds idf * template weight once for each occurrence
-    distinct = F.array_distinct(terms)
-    norm = F.sqrt(
-        F.aggregate(distinct, F.lit(0.0), lambda s, t: s + F.pow(F.size(F.filter(terms, lambda u: u == t)) * F.coalesce(F.element_at(F.element_at(table, t), 1), F.lit(unseen)), F.lit(2.0)))
-    )
-    dots = F.aggregate(
-        F.filter(terms, lambda t: F.array_contains(known, t)),
-        zero,
-        lambda s, t: F.zip_with(s, F.slice(F.element_at(table, t), 2, size), lambda a, w: a + w * F.element_at(F.element_at(table, t), 1)),
-    )
-    named = F.zip_with(dots, F.lit(licences), lambda d, k: F.struct(F.when(norm > 0, d / norm).otherwise(0.0).alias("score"), F.translate(k, _ASCII, _ASCII[::-1]).alias("rank"), k.alias("license")))
-    return F.array_max(named)
+    start = F.struct(F.lit("").alias("term"), F.lit(0.0).alias("tf"), F.lit(0.0).alias("norm"), F.array_repeat(F.lit(0.0), size).alias("dots"))
+
+    def step(state: Column, term: Column) -> Column:
+        entry = F.element_at(table, state["term"])
+        weight = state["tf"] * F.coalesce(F.element_at(entry, 1), F.lit(unseen))
+        dots = F.when(entry.isNull(), state["dots"]).otherwise(F.zip_with(state["dots"], F.slice(entry, 2, size), lambda d, w: d + w * weight))
+        same = F.struct(state["term"].alias("term"), (state["tf"] + 1.0).alias("tf"), state["norm"].alias("norm"), state["dots"].alias("dots"))
+        new = F.struct(term.alias("term"), F.lit(1.0).alias("tf"), (state["norm"] + weight * weight).alias("norm"), dots.alias("dots"))
+        return F.when(term == state["term"], same).otherwise(new)
+
+    def finish(state: Column) -> Column:
+        norm = F.sqrt(state["norm"])
+        named = F.zip_with(state["dots"], F.lit(licences), lambda d, k: F.struct(F.when(norm > 0, d / norm).otherwise(0.0).alias("score"), F.translate(k, _ASCII, _ASCII[::-1]).alias("rank"), k.alias("license")))
+        return F.array_max(named)
+
+    # the end mark closes the last run of equal terms
+    return F.aggregate(F.concat(F.array_sort(terms), F.array(F.lit("~"))), start, step, finish)
