@@ -5,7 +5,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import column_roles, exogenous_columns, parse_bound, quoted_table
+from tidemark.functions.columns import numeric_columns, parse_bound, quoted_table
 from tidemark.functions.frequency import Frequency, bucket_start, frequency_code, parse_frequency
 from tidemark.operators import aggregate as agg
 from tidemark.operators import fill
@@ -288,8 +288,7 @@ def test_linked_tables_without_the_column_are_untouched(spark):
 
 def test_roles_and_identifiers(spark):
     df = spark.createDataFrame([], "ds string, t timestamp, y double, x int, index int, name string")
-    assert column_roles(df) == {"datetime": ["ds", "t"], "numeric": ["y", "x", "index"], "categorical": ["name"]}
-    assert exogenous_columns(df, "t", "y") == ["x"]
+    assert numeric_columns(df, {"t", "y"}) == ["x", "index"]
     assert quoted_table("shop.sales") == '"shop"."sales"'
     for bad in ("a;b", "1x", 'a"b', "a.b.c"):
         with pytest.raises(ValueError):

@@ -30,7 +30,7 @@ def residual_analysis(
     keys: Sequence[str] = (),
     actual: str = "actual",
     predicted: str = "predicted",
-    strategy: str = "auto",
+    strategy: str = "banded",
     bands: int | None = None,
 ) -> DataFrame:
     """Mean, population deviation, lag-1 correlation, trend and randomness of the residuals."""
@@ -202,7 +202,7 @@ def diagnose(
     sanity: DataFrame | None,
     order_by: str | Sequence[str],
     keys: Sequence[str] = (),
-    strategy: str = "auto",
+    strategy: str = "banded",
     bands: int | None = None,
 ) -> DataFrame:
     """Per-series diagnosis from test rows (``actual, predicted, naive``), all series at once."""

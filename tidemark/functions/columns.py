@@ -46,30 +46,6 @@ def temporal_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if is_temporal(f.dataType)]
 
 
-def column_roles(df: DataFrame) -> dict[str, list[str]]:
-    """Datetime candidates, numeric and categorical columns from the schema alone."""
-    roles: dict[str, list[str]] = {"datetime": [], "numeric": [], "categorical": []}
-    for field in df.schema.fields:
-        lowered = field.name.lower()
-        if is_temporal(field.dataType):
-            roles["datetime"].append(field.name)
-        elif is_numeric(field.dataType):
-            roles["numeric"].append(field.name)
-        elif "date" in lowered or "time" in lowered or lowered == "ds":
-            roles["datetime"].append(field.name)
-        else:
-            roles["categorical"].append(field.name)
-    return roles
-
-
-def exogenous_columns(
-    df: DataFrame, datetime_column: str, target_column: str, keys: Sequence[str] = ()
-) -> list[str]:
-    """Numeric columns that could serve as outside regressors."""
-    reserved = {datetime_column, target_column, "unique_id", "ds", "y", "index", *keys}
-    return [c for c in numeric_columns(df, reserved) if not c.startswith("Unnamed")]
-
-
 def is_non_negative_name(name: str, words: Sequence[str] = NON_NEGATIVE_NAMES) -> bool:
     return any(word in name.lower() for word in words)
 

@@ -77,7 +77,7 @@ def forecast_baseline(
     gap: int = 0,
     tiebreak: Sequence[str] = (),
     span: float = DEFAULT_SPAN,
-    strategy: str = "auto",
+    strategy: str = "banded",
     bands: int | None = None,
 ) -> DataFrame:
     """Keys, ``step``, ``ds`` and ``prediction`` for every series."""

@@ -100,7 +100,7 @@ def _origin_features(c: BoostedConfig, steps: int) -> tuple[dict[str, Any], int,
     return made, lookback, c.gap + steps
 
 
-def origins(df: DataFrame, c: BoostedConfig, steps: int, strategy: str = "auto", bands: int | None = None) -> DataFrame:
+def origins(df: DataFrame, c: BoostedConfig, steps: int, strategy: str = "banded", bands: int | None = None) -> DataFrame:
     """Every row with a value as a possible forecast origin, with its features and next rows."""
     rows = df.where(col(c.target).isNotNull() & col(c.datetime_column).isNotNull())
     made, lookback, lookahead = _origin_features(c, steps)
@@ -150,7 +150,7 @@ class BoostedModel:
 
     def predict(
         self, df: DataFrame, horizon: int | None = None, future_exog: DataFrame | None = None,
-        strategy: str = "auto", bands: int | None = None,
+        strategy: str = "banded", bands: int | None = None,
     ) -> DataFrame:
         """Keys, ``step``, ``ds``, ``prediction`` after the last row of every series."""
         c = self.config
@@ -184,13 +184,13 @@ class BoostedModel:
         return BoostedModel(config, PipelineModel.load(f"{path}/model"))
 
 
-def fit_boosted(df: DataFrame, c: BoostedConfig, strategy: str = "auto", bands: int | None = None) -> BoostedModel:
+def fit_boosted(df: DataFrame, c: BoostedConfig, strategy: str = "banded", bands: int | None = None) -> BoostedModel:
     rows = labelled_rows(origins(df, c, c.horizon, strategy, bands), c)
     return BoostedModel(c, fit_rows(rows, c))
 
 
 def holdout_boosted(
-    df: DataFrame, c: BoostedConfig, train_fraction: float = 0.8, strategy: str = "auto", bands: int | None = None,
+    df: DataFrame, c: BoostedConfig, train_fraction: float = 0.8, strategy: str = "banded", bands: int | None = None,
     name: str = "boosted", min_rows: int = 20,
 ) -> DataFrame:
     """Test predictions per series from the last training row, up to twice the horizon.
@@ -218,7 +218,7 @@ def holdout_boosted(
 
 def tune_boosted(
     df: DataFrame, c: BoostedConfig, grid: Sequence[Mapping[str, Any]] = TUNING_GRID,
-    train_fraction: float = 0.8, strategy: str = "auto",
+    train_fraction: float = 0.8, strategy: str = "banded",
 ) -> tuple[dict[str, Any], float]:
     """The setting with the smallest holdout RMSE, and that RMSE. A handful of fits, each distributed."""
     best: tuple[dict[str, Any], float] | None = None

@@ -16,7 +16,6 @@ from tidemark.operators.sequence import sequence
 
 EPSILON = 1e-10
 MIN_EVALUATION_ROWS = 20
-MAX_USABLE_RMSE = 1e10
 
 
 def rmse(actual: Column, predicted: Column) -> Column:
@@ -52,7 +51,7 @@ def split_rows(
     keys: Sequence[str] = (),
     tiebreak: Sequence[str] = (),
     train_fraction: float = 0.8,
-    strategy: str = "auto",
+    strategy: str = "banded",
     bands: int | None = None,
 ) -> DataFrame:
     """Rows with a value, their position ``idx``, series length ``total`` and ``n_train``."""
@@ -71,7 +70,7 @@ def holdout_predictions(
     train_fraction: float = 0.8,
     min_rows: int = MIN_EVALUATION_ROWS,
     span: float = DEFAULT_SPAN,
-    strategy: str = "auto",
+    strategy: str = "banded",
     bands: int | None = None,
 ) -> DataFrame:
     """Long table of test rows: keys, time, ``actual``, ``model``, ``predicted``, ``total``.
@@ -106,7 +105,7 @@ def evaluate_models(
     keys: Sequence[str] = (),
     models: Sequence[str] = ("naive", "linear"),
     test_fraction: float = 0.2,
-    strategy: str = "auto",
+    strategy: str = "banded",
     extra: DataFrame | None = None,
 ) -> DataFrame:
     """RMSE, MAE and MAPE per model on the last part; a panel is summed per time first.
@@ -122,7 +121,7 @@ def evaluate_models(
 
 
 def usable_rmse(value: Column) -> Column:
-    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < MAX_USABLE_RMSE)
+    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
 
 
 def leaderboard(metrics: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -94,7 +94,7 @@ def _partial_sums(size: int, keys: Sequence[str]):
 def fit_seasonal(
     df: DataFrame, datetime_column: str, target: str, keys: Sequence[str] = (),
     config: SeasonalConfig | None = None, holidays: DataFrame | None = None,
-    strategy: str = "auto", bands: int | None = None,
+    strategy: str = "banded", bands: int | None = None,
 ) -> DataFrame:
     """One row per series: its span, scale, row count and coefficient array."""
     c = config or SeasonalConfig()
@@ -150,7 +150,7 @@ def predict_rows(rows: DataFrame, ds: str, fitted: DataFrame, keys: Sequence[str
 def forecast_seasonal(
     df: DataFrame, datetime_column: str, target: str, horizon: int, frequency: str = "D",
     keys: Sequence[str] = (), gap: int = 0, config: SeasonalConfig | None = None,
-    holidays: DataFrame | None = None, strategy: str = "auto", bands: int | None = None,
+    holidays: DataFrame | None = None, strategy: str = "banded", bands: int | None = None,
 ) -> DataFrame:
     c = config or SeasonalConfig.for_frequency(frequency, holidays is not None)
     fitted = fit_seasonal(df, datetime_column, target, keys, c, holidays, strategy, bands)
@@ -164,7 +164,7 @@ def forecast_seasonal(
 def holdout_seasonal(
     df: DataFrame, datetime_column: str, target: str, frequency: str = "D", keys: Sequence[str] = (),
     config: SeasonalConfig | None = None, holidays: DataFrame | None = None,
-    train_fraction: float = 0.8, min_rows: int = 20, strategy: str = "auto", bands: int | None = None,
+    train_fraction: float = 0.8, min_rows: int = 20, strategy: str = "banded", bands: int | None = None,
 ) -> DataFrame:
     """Test rows of each series with the prediction from its training part."""
     c = config or SeasonalConfig.for_frequency(frequency, holidays is not None)

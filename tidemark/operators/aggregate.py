@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import col, numeric_columns, require
 from tidemark.functions.frequency import bucket_start, parse_frequency
-from tidemark.operators.keys import ROWS_PER_GROUP, attach, largest_group
+from tidemark.operators.keys import attach
 from tidemark.operators.stats import correlation, iqr_bounds, percent, quantiles
 
 AGGREGATES: dict[str, Callable[[Column], Column]] = {
@@ -169,15 +169,13 @@ def missing_summary(df: DataFrame, columns: Sequence[str] | None = None, only_mi
 DESCRIBED_QUANTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
-def describe(df: DataFrame, columns: Sequence[str] | None = None, strategy: str = "auto") -> DataFrame:
+def describe(df: DataFrame, columns: Sequence[str] | None = None, strategy: str = "banded") -> DataFrame:
     """Count, nulls, mean, sample deviation, minimum, quartiles and maximum per numeric column.
 
-    One pass for all columns while exact percentiles fit one task; otherwise the
-    quartiles of each column come from a distributed sort.
+    One aggregate for all columns; the quartiles come from one ordered pass over the
+    distinct (column, value) pairs with their counts, so no task holds a whole column.
     """
     names = list(columns or numeric_columns(df))
-    if strategy == "auto":
-        strategy = "keyed" if largest_group(df) <= ROWS_PER_GROUP else "banded"
     aggregates = []
     for i, name in enumerate(names):
         c = col(name).cast("double")
@@ -190,18 +188,13 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, strategy: str
             F.min(c).alias("min"),
             F.max(c).alias("max"),
         ]
-        if strategy == "keyed":
-            fields.append(F.percentile(c, list(DESCRIBED_QUANTILES.values())).alias("quartiles"))
         aggregates.append(F.struct(*fields).alias(f"d{i}"))
     stats = df.agg(*aggregates)
-    if strategy != "keyed":
-        for i, name in enumerate(names):
-            found = quantiles(df, name, DESCRIBED_QUANTILES, strategy=strategy)
-            row = found.select(F.array(*DESCRIBED_QUANTILES).alias("q")).scalar()
-            stats = stats.withColumn(f"d{i}", F.struct(f"d{i}.*", row.alias("quartiles")))
     rows = stats.select(F.explode(F.array(*[f"d{i}" for i in range(len(names))])).alias("d")).select("d.*")
-    parts = [F.get("quartiles", F.lit(i)).alias(out) for i, out in enumerate(DESCRIBED_QUANTILES)]
-    return rows.select("column_name", "count", "null_count", "mean", "std", "min", *parts, "max")
+    cells = F.array(*[F.struct(F.lit(n).alias("column_name"), col(n).cast("double").alias("v")) for n in names])
+    quartiles = quantiles(df.select(F.inline(cells)), "v", DESCRIBED_QUANTILES, ["column_name"], strategy=strategy)
+    joined = attach(rows, quartiles, ["column_name"], list(DESCRIBED_QUANTILES))
+    return joined.select("column_name", "count", "null_count", "mean", "std", "min", *DESCRIBED_QUANTILES, "max")
 
 
 def preview_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -249,7 +242,7 @@ def iqr_outliers(
     keys: Sequence[str] = (),
     min_values: int = 4,
     method: str = "linear",
-    strategy: str = "auto",
+    strategy: str = "banded",
 ) -> DataFrame:
     """Values outside the interquartile fences; 0 for short or constant-middle series."""
     values = df.select(*[col(k) for k in keys], col(target).try_cast("double").alias("__v"))

@@ -23,7 +23,7 @@ def fill_missing(
     order_by: str | Sequence[str] | None = None,
     keys: Sequence[str] = (),
     value: object = None,
-    strategy: str = "auto",
+    strategy: str = "banded",
     bands: int | None = None,
 ) -> DataFrame:
     """Fill nulls in one, some or (``None`` / ``__all__``) all columns.

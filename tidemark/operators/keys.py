@@ -9,20 +9,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import all_of, col
 
-# A single window, sort buffer or exact-percentile task never holds more rows of one
-# key than this; larger keys take the banded or sorted way instead.
-ROWS_PER_GROUP = 1_000_000
-
-
-def largest_group(df: DataFrame, keys: Sequence[str] = ()) -> int:
-    """Rows of the largest key, by one partially aggregated count."""
-    if keys:
-        df = df.groupBy(*[col(k) for k in keys]).count()
-    else:
-        df = df.groupBy().count()
-    return df.agg(F.max("count")).first()[0] or 0
-
-
 def attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Add the columns ``values`` of a one-row-per-key table to every row.
 

@@ -24,7 +24,7 @@ def apply_preparation(
     frequency: str | None = None,
     keys: Sequence[str] = (),
     tiebreak: Sequence[str] = (),
-    strategy: str = "auto",
+    strategy: str = "banded",
 ) -> DataFrame:
     """Fold the enabled steps into one plan, in the given order.
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import col, is_numeric, is_temporal, numeric_columns, require
@@ -31,27 +31,22 @@ from tidemark.session import materialize
 DATETIME_NAMES = ("date", "time", "timestamp", "dt", "datetime", "data", "dzien", "miesiac")
 TARGET_NAMES = ("value", "sales", "revenue", "price", "amount", "count", "target", "y")
 
-SAMPLED_VALUES = 10
-
-
-def _parses(df: DataFrame, name: str) -> bool:
-    """Whether every one of the first non-null values reads as a time."""
-    sample = df.select(col(name).cast("string").alias("v")).where(F.col("v").isNotNull()).limit(SAMPLED_VALUES)
-    seen, parsed = sample.agg(F.count("v"), F.count(F.col("v").try_cast("timestamp_ntz"))).first()
-    return seen > 0 and seen == parsed
-
 
 def detect_datetime(df: DataFrame) -> str | None:
-    """A temporal column, else a column named like a time that parses, else text that parses."""
+    """A temporal column, else a column named like a time that parses, else text that parses.
+
+    A column parses if every non-null value of the table does; one aggregate tells it for all.
+    """
     for f in df.schema.fields:
         if is_temporal(f.dataType):
             return f.name
     named = [f.name for f in df.schema.fields if not is_numeric(f.dataType) and any(w in f.name.lower() for w in DATETIME_NAMES)]
     text = [f.name for f in df.schema.fields if f.dataType.typeName() == "string" and f.name not in named]
-    for name in named + text:
-        if _parses(df, name):
-            return name
-    return None
+    if not named + text:
+        return None
+    values = [col(name).cast("string") for name in named + text]
+    counts = df.agg(*[F.struct(F.count(v), F.count(v.try_cast("timestamp_ntz"))) for v in values]).first()
+    return next((name for name, (seen, parsed) in zip(named + text, counts, strict=True) if 0 < seen == parsed), None)
 
 
 def detect_target(df: DataFrame, datetime_column: str | None = None, fallback: bool = True) -> str | None:
@@ -65,51 +60,57 @@ def detect_target(df: DataFrame, datetime_column: str | None = None, fallback: b
     return numeric[0] if numeric and fallback else None
 
 
+SAMPLES = 3
+
+
 def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:
-    """One row per column: type, nulls, distinct values (null is one value) and three samples.
+    """One row per column: type, nulls, distinct values (null is one value), the three smallest as text.
 
-    ``exact=False`` counts distinct values with a sketch, which needs no shuffle of values.
+    Distinct values are counted as (column, value) pairs, combined before the shuffle;
+    ``exact=False`` counts them with a sketch instead.
     """
     names = df.columns
     aggregates = []
     for i, name in enumerate(names):
-        distinct = F.count_distinct(col(name)) if exact else F.approx_count_distinct(col(name))
-        aggregates += [
-            F.count_if(col(name).isNull()).alias(f"m{i}"),
-            (distinct + F.max(col(name).isNull().cast("int"))).alias(f"u{i}"),
-        ]
+        aggregates.append(F.count_if(col(name).isNull()).alias(f"m{i}"))
+        if not exact:
+            aggregates.append(F.approx_count_distinct(col(name)).alias(f"u{i}"))
     counted = df.agg(*aggregates)
-    cells = []
-    for i, f in enumerate(df.schema.fields):
-        cells.append(
-            F.struct(
-                F.lit(f.name).alias("column_name"),
-                F.lit(f.dataType.simpleString()).alias("dtype"),
-                F.col(f"m{i}").alias("n_missing"),
-                F.coalesce(F.col(f"u{i}"), F.lit(0).cast("long")).alias("n_unique"),
-                F.lit(is_temporal(f.dataType)).alias("is_datetime"),
-                F.lit(is_numeric(f.dataType)).alias("is_numeric"),
-            )
+    cells = [
+        F.struct(
+            F.lit(f.name).alias("column_name"),
+            F.lit(f.dataType.simpleString()).alias("dtype"),
+            F.coalesce(F.col(f"m{i}"), F.lit(0)).alias("n_missing"),
+            (F.lit(None).cast("long") if exact else F.col(f"u{i}")).alias("__sketched"),
+            F.lit(is_temporal(f.dataType)).alias("is_datetime"),
+            F.lit(is_numeric(f.dataType)).alias("is_numeric"),
         )
+        for i, f in enumerate(df.schema.fields)
+    ]
     rows = counted.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
-    samples = None
-    for name in names:
-        first = df.select(col(name).cast("string").alias("v")).where(F.col("v").isNotNull()).limit(3)
-        one = first.agg(F.collect_list("v").alias("sample_values")).withColumn("__name", F.lit(name))
-        samples = one if samples is None else samples.unionByName(one)
-    return rows.join(samples, rows["column_name"] == samples["__name"], "left").drop("__name")
+    values = F.array(*[F.struct(F.lit(n).alias("__name"), col(n).cast("string").alias("v")) for n in names])
+    pairs = df.select(F.inline(values)).where(F.col("v").isNotNull()).groupBy("__name", "v").agg(F.count(F.lit(1)).alias("n"))
+    smallest = pairs.withColumn("__i", F.row_number().over(Window.partitionBy("__name").orderBy("v"))).where(F.col("__i") <= SAMPLES)
+    found = smallest.groupBy("__name").agg(F.array_sort(F.collect_list("v")).alias("sample_values"))
+    if exact:
+        found = pairs.groupBy("__name").agg(F.count(F.lit(1)).alias("__distinct")).join(found, "__name")
+    else:
+        found = found.withColumn("__distinct", F.lit(None).cast("long"))
+    joined = rows.join(found, rows["column_name"] == found["__name"], "left")
+    distinct = F.coalesce("__sketched", "__distinct", F.lit(0).cast("long")) + (F.col("n_missing") > 0).cast("long")
+    samples = F.coalesce("sample_values", F.array().cast("array<string>"))
+    return joined.select("column_name", "dtype", "n_missing", distinct.alias("n_unique"), "is_datetime", "is_numeric", samples.alias("sample_values"))
 
 
 def infer_frequency(
-    df: DataFrame, datetime_column: str, keys: Sequence[str] = (), strategy: str = "auto", bands: int | None = None
+    df: DataFrame, datetime_column: str, keys: Sequence[str] = (), strategy: str = "banded", bands: int | None = None
 ) -> DataFrame:
     """Frequency label per series from the median gap; null below three rows."""
     gaps = gap_lengths(df, datetime_column, keys, strategy, bands)
     if strategy != "keyed":
         # Regular series have few distinct gaps; store them before asking how many there are.
         gaps = materialize(gaps, "gaps")
-    how = "keyed" if strategy == "keyed" else "auto"
-    median = quantiles(gaps, "delta_seconds", {"median_seconds": 0.5}, keys, strategy=how, weight="n")
+    median = quantiles(gaps, "delta_seconds", {"median_seconds": 0.5}, keys, strategy=strategy, weight="n")
     by = key_columns(keys)
     counts = df.where(col(datetime_column).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"))
     both = attach(counts, median, keys, ["median_seconds"])
@@ -190,7 +191,7 @@ def series_profile(
     target: str,
     frequency: str | None = None,
     keys: Sequence[str] = (),
-    strategy: str = "auto",
+    strategy: str = "banded",
 ) -> DataFrame:
     """Per series: frequency, range, missing and outlier shares, seasonality, trend, advice."""
     by = key_columns(keys)
@@ -244,7 +245,7 @@ def wizard_analysis(
     target: str,
     as_of: Column,
     keys: Sequence[str] = (),
-    strategy: str = "auto",
+    strategy: str = "banded",
     bands: int | None = None,
 ) -> DataFrame:
     """One row with every statistic the preparation rules need, and the issues found.

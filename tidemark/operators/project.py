@@ -18,7 +18,6 @@ from tidemark.functions.columns import (
     require,
     temporal_columns,
     typed_literal,
-    unique_id,
 )
 from tidemark.operators.keys import attach
 from tidemark.operators.stats import iqr_bounds
@@ -162,7 +161,7 @@ def handle_outliers(
     how: str = "clip",
     keys: Sequence[str] = (),
     method: str = "linear",
-    strategy: str = "auto",
+    strategy: str = "banded",
 ) -> DataFrame:
     """Clip to, or drop rows outside, the interquartile fences (per key if given).
 
@@ -221,11 +220,6 @@ def filter_series(df: DataFrame, series: Mapping[str, object]) -> DataFrame:
     return df
 
 
-def filter_unique_id(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
-    """Rows whose joined key label equals ``label``."""
-    return df.where(unique_id(keys) == F.lit(label))
-
-
 def drop_non_numeric_target(df: DataFrame, target: str, datetime_column: str | None = None) -> DataFrame:
     """Cast target (and time) non-strictly and drop what became null."""
     casts = {}
@@ -248,13 +242,13 @@ def sort_rows(df: DataFrame, column: str, ascending: bool = True, tiebreak: Sequ
     return df.orderBy(first, *[col(t).asc() for t in tiebreak], F.xxhash64(*[col(c) for c in hashable]))
 
 
-def head(df: DataFrame, n: int = 10, order_by: Sequence[str] = (), max_rows: int = 30, max_columns: int = 15) -> DataFrame:
-    """A small look at a table: at most 30 rows and 15 columns."""
+def head(df: DataFrame, n: int = 10, order_by: Sequence[str] = (), columns: int | None = None) -> DataFrame:
+    """A small look at a table: ``n`` rows, and the first ``columns`` columns if given."""
     ordered = df.orderBy(*[col(c) for c in order_by]) if order_by else df
-    return ordered.limit(max(0, min(n, max_rows))).select(*[col(c) for c in df.columns[:max_columns]])
+    return ordered.limit(max(0, n)).select(*[col(c) for c in df.columns[:columns]])
 
 
 def page(df: DataFrame, order_by: str, limit: int = 50, offset: int = 0, tiebreak: Sequence[str] = ()) -> DataFrame:
-    """Newest first; the page size is held between 1 and 200."""
+    """Newest first; ``limit`` rows after ``offset`` ones."""
     order = [col(order_by).desc(), *[col(t).asc() for t in tiebreak]]
-    return df.orderBy(*order).offset(max(0, offset)).limit(max(1, min(limit, 200)))
+    return df.orderBy(*order).offset(max(0, offset)).limit(max(0, limit))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import col, require
-from tidemark.operators.keys import ROWS_PER_GROUP, attach, largest_group
+from tidemark.operators.keys import attach
 from tidemark.session import materialize
 
 Feature = Callable[[WindowSpec], Column]
@@ -26,6 +26,11 @@ Feature = Callable[[WindowSpec], Column]
 _BAND_SHIFT = 33  # monotonically_increasing_id: partition number above, row number below
 
 
+def _row_hash(df: DataFrame) -> Column:
+    """Comes last in every order, so that both ways break ties alike."""
+    return F.xxhash64(*[col(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
+
+
 class KeyedSequence:
     """Plain windows per key, for series proven to fit one task."""
 
@@ -33,11 +38,13 @@ class KeyedSequence:
         require(df, *order_by, *keys)
         self.keys, self.order_by = list(keys), list(order_by)
         self.df = self.table = df
+        self.tiebreak = _row_hash(df)
 
     def _window(self, backwards: bool = False) -> WindowSpec:
         order = [col(c).desc_nulls_last() if backwards else col(c).asc_nulls_first() for c in self.order_by]
+        last = self.tiebreak.desc() if backwards else self.tiebreak.asc()
         parts = [col(k) for k in self.keys] or [F.lit(1)]
-        return Window.partitionBy(*parts).orderBy(*order)
+        return Window.partitionBy(*parts).orderBy(*order, last)
 
     def over(self, features: Mapping[str, Feature], lookback: int = 0, lookahead: int = 0) -> DataFrame:
         w = self._window()
@@ -83,9 +90,8 @@ class BandedSequence:
         spark = df.sparkSession
         self.bands = count = bands or int(spark.conf.get("spark.sql.shuffle.partitions"))
         order = [col(c).asc_nulls_first() for c in [*self.keys, *self.order_by]] + [F.col("__hash")]
-        hashable = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
         placed = (
-            df.withColumn("__hash", F.xxhash64(*[col(c) for c in hashable]))
+            df.withColumn("__hash", _row_hash(df))
             .repartitionByRange(count, *order)
             .sortWithinPartitions(*order)
             .drop("__hash")
@@ -359,18 +365,15 @@ def sequence(
     df: DataFrame,
     order_by: str | Sequence[str],
     keys: Sequence[str] = (),
-    strategy: str = "auto",
+    strategy: str = "banded",
     bands: int | None = None,
 ) -> KeyedSequence | BandedSequence:
-    """Pick the way to process ordered rows.
+    """Pick the way to process ordered rows; both give the same rows, also for ties.
 
-    ``auto`` counts the largest series first and uses plain windows only while it fits
-    one task. ``keyed`` is for callers that know the bound already, such as a panel
-    with one row per key and calendar period. ``banded`` forces the banded way.
+    ``banded`` works at any size. ``keyed`` is for callers that know a bound of the rows
+    per key, such as a panel with one row per key and calendar period.
     """
     order = [order_by] if isinstance(order_by, str) else list(order_by)
-    if strategy == "auto":
-        strategy = "keyed" if largest_group(df, keys) <= ROWS_PER_GROUP else "banded"
     if strategy == "keyed":
         return KeyedSequence(df, order, keys)
     if strategy == "banded":
@@ -384,7 +387,7 @@ def row_at(
     weight: str,
     positions: Mapping[str, Callable[[Column], Column]],
     keys: Sequence[str] = (),
-    strategy: str = "auto",
+    strategy: str = "banded",
 ) -> DataFrame:
     """One row per key with ``n`` and the values at given 0-based ranks of sorted ``value``.
 

@@ -49,25 +49,25 @@ def rolling_std_feature(target: str, window: int) -> Callable:
     return lambda w: F.stddev_samp(col(target)).over(w.rowsBetween(1 - window, 0))
 
 
-def lags(df: DataFrame, target: str, order_by: Order, ks: Sequence[int], keys: Sequence[str] = (), strategy: str = "auto", bands: int | None = None) -> DataFrame:
+def lags(df: DataFrame, target: str, order_by: Order, ks: Sequence[int], keys: Sequence[str] = (), strategy: str = "banded", bands: int | None = None) -> DataFrame:
     """``lag_k``: the value k rows earlier in the same series."""
     made = {f"lag_{k}": lag_feature(target, k) for k in ks}
     return sequence(df, order_by, keys, strategy, bands).over(made, lookback=max(ks))
 
 
-def rolling(df: DataFrame, target: str, order_by: Order, windows: Sequence[int], keys: Sequence[str] = (), statistics: Sequence[str] = ("mean", "std"), strategy: str = "auto", bands: int | None = None) -> DataFrame:
+def rolling(df: DataFrame, target: str, order_by: Order, windows: Sequence[int], keys: Sequence[str] = (), statistics: Sequence[str] = ("mean", "std"), strategy: str = "banded", bands: int | None = None) -> DataFrame:
     """Trailing mean and sample deviation over w rows with the current one; one value is enough for a mean."""
     makers = {"mean": rolling_mean_feature, "std": rolling_std_feature}
     made = {f"rolling_{s}_{w}": makers[s](target, w) for w in windows for s in statistics}
     return sequence(df, order_by, keys, strategy, bands).over(made, lookback=max(windows) - 1)
 
 
-def trend(df: DataFrame, order_by: Order, keys: Sequence[str] = (), output: str = "trend", strategy: str = "auto", bands: int | None = None) -> DataFrame:
+def trend(df: DataFrame, order_by: Order, keys: Sequence[str] = (), output: str = "trend", strategy: str = "banded", bands: int | None = None) -> DataFrame:
     """0-based row counter of each series."""
     return sequence(df, order_by, keys, strategy, bands).with_index(output)
 
 
-def deltas(df: DataFrame, datetime_column: str, keys: Sequence[str] = (), tiebreak: Sequence[str] = (), strategy: str = "auto", bands: int | None = None) -> DataFrame:
+def deltas(df: DataFrame, datetime_column: str, keys: Sequence[str] = (), tiebreak: Sequence[str] = (), strategy: str = "banded", bands: int | None = None) -> DataFrame:
     """``delta_seconds`` to the previous row of the series; null times are left out."""
     stamped = df.where(col(datetime_column).isNotNull())
 
@@ -79,7 +79,7 @@ def deltas(df: DataFrame, datetime_column: str, keys: Sequence[str] = (), tiebre
     return sequence(stamped, order, keys, strategy, bands).over({"delta_seconds": seconds}, lookback=1)
 
 
-def gap_lengths(df: DataFrame, datetime_column: str, keys: Sequence[str] = (), strategy: str = "auto", bands: int | None = None) -> DataFrame:
+def gap_lengths(df: DataFrame, datetime_column: str, keys: Sequence[str] = (), strategy: str = "banded", bands: int | None = None) -> DataFrame:
     """Distinct gaps between consecutive rows of each series and how often each occurs.
 
     Repeated times are counted first: a time that holds many rows is one row with that
@@ -97,7 +97,7 @@ def gap_lengths(df: DataFrame, datetime_column: str, keys: Sequence[str] = (), s
     return found.groupBy(*by, "delta_seconds").agg(F.sum("n").alias("n"))
 
 
-def frequency_gaps(df: DataFrame, datetime_column: str, keys: Sequence[str] = (), strategy: str = "auto", bands: int | None = None) -> DataFrame:
+def frequency_gaps(df: DataFrame, datetime_column: str, keys: Sequence[str] = (), strategy: str = "banded", bands: int | None = None) -> DataFrame:
     """Gaps between rows that differ from the most common gap (the smallest one on ties)."""
     counted = gap_lengths(df, datetime_column, keys, strategy, bands)
     mode = F.max_by("delta_seconds", F.struct(F.col("n"), -F.col("delta_seconds")))
@@ -110,14 +110,14 @@ def frequency_gaps(df: DataFrame, datetime_column: str, keys: Sequence[str] = ()
     )
 
 
-def holdout_split(df: DataFrame, order_by: Order, keys: Sequence[str] = (), train_fraction: float = 0.8, strategy: str = "auto", bands: int | None = None) -> DataFrame:
+def holdout_split(df: DataFrame, order_by: Order, keys: Sequence[str] = (), train_fraction: float = 0.8, strategy: str = "banded", bands: int | None = None) -> DataFrame:
     """Add ``is_train``: the first ``int(fraction * n)`` rows of each series by time."""
     indexed = sequence(df, order_by, keys, strategy, bands).with_index("__idx", "__total")
     is_train = F.col("__idx") < F.floor(F.col("__total") * F.lit(float(train_fraction)))
     return indexed.withColumn("is_train", is_train).drop("__idx", "__total")
 
 
-def autocorrelation(df: DataFrame, target: str, order_by: Order, lag_values: Sequence[int], keys: Sequence[str] = (), strategy: str = "auto", bands: int | None = None) -> DataFrame:
+def autocorrelation(df: DataFrame, target: str, order_by: Order, lag_values: Sequence[int], keys: Sequence[str] = (), strategy: str = "banded", bands: int | None = None) -> DataFrame:
     """Full-sample autocorrelation of the de-meaned non-null values at each lag.
 
     One ordered pass: every row meets the rows ``lag`` before it through frame
@@ -131,9 +131,14 @@ def autocorrelation(df: DataFrame, target: str, order_by: Order, lag_values: Seq
     centred = attach(values, means, keys, ["__mean"]).withColumn("__x", F.col("__x") - F.col("__mean")).drop("__mean")
     ordered = sequence(centred, order, keys, strategy, bands)
     if len(lag_values) > MAX_LAG_COLUMNS:
-        return _autocorrelation_scan(ordered, by, max(lag_values)).select(
-            *by, "n", F.filter("acf", lambda a: a["lag"].isin(*lag_values)).alias("acf")
-        )
+        scanned = _autocorrelation_scan(ordered, by, max(lag_values))
+
+        def at(lag: Column) -> Column:
+            """Like a lag column: lags beyond the series sum to zero."""
+            found = F.get(F.filter("acf", lambda a: a["lag"] == lag), F.lit(0))["acf"]
+            return F.struct(lag.cast("int").alias("lag"), F.coalesce(found, F.when(F.col("__power") > 0, 0.0)).alias("acf"))
+
+        return scanned.select(*by, "n", F.transform(F.lit(list(lag_values)), at).alias("acf"))
     made = {f"__l{k}": lag_feature("__x", k) for k in lag_values}
     rows = ordered.over(made, lookback=max(lag_values))
     sums = rows.groupBy(*by).agg(
@@ -172,11 +177,12 @@ def _autocorrelation_scan(ordered, by: list[Column], longest: int) -> DataFrame:
     return collected.select(
         *by,
         "n",
+        "__power",
         F.transform("__sums", lambda s: F.struct(s["lag"].alias("lag"), (s["__s"] / scale).alias("acf"))).alias("acf"),
     )
 
 
-def seasonality(df: DataFrame, target: str, order_by: Order, frequency: str | None = None, keys: Sequence[str] = (), strategy: str = "auto", bands: int | None = None) -> DataFrame:
+def seasonality(df: DataFrame, target: str, order_by: Order, frequency: str | None = None, keys: Sequence[str] = (), strategy: str = "banded", bands: int | None = None) -> DataFrame:
     """Per key ``has_seasonality`` and ``seasonality_period``.
 
     First passing candidate lag of the frequency, else the first passing lag from 2 up to
@@ -211,7 +217,7 @@ def seasonality(df: DataFrame, target: str, order_by: Order, frequency: str | No
     return both.select(*by, period.isNotNull().alias("has_seasonality"), period.alias("seasonality_period"))
 
 
-def trend_concordance(df: DataFrame, target: str, order_by: Order, keys: Sequence[str] = (), strategy: str = "auto", bands: int | None = None) -> DataFrame:
+def trend_concordance(df: DataFrame, target: str, order_by: Order, keys: Sequence[str] = (), strategy: str = "banded", bands: int | None = None) -> DataFrame:
     """Kendall-type sign agreement over at most 1000 evenly spaced points of each series.
 
     The 1000 points are the definition of the statistic, so the array that holds them is
@@ -257,7 +263,7 @@ def ewm_alpha(alpha: float | None = None, span: float | None = None) -> float:
     return value
 
 
-def ewm_mean(df: DataFrame, target: str, order_by: Order, keys: Sequence[str] = (), alpha: float | None = None, span: float | None = None, output: str = "ewm_mean", strategy: str = "auto", bands: int | None = None) -> DataFrame:
+def ewm_mean(df: DataFrame, target: str, order_by: Order, keys: Sequence[str] = (), alpha: float | None = None, span: float | None = None, output: str = "ewm_mean", strategy: str = "banded", bands: int | None = None) -> DataFrame:
     """Recursive exponentially weighted mean: first value, then ``a * x + (1 - a) * previous``.
 
     The recursion runs over the rows whose weight still shows in a double, so a frame is
@@ -274,7 +280,7 @@ def ewm_mean(df: DataFrame, target: str, order_by: Order, keys: Sequence[str] =
     return sequence(df, order_by, keys, strategy, bands).over({output: recursion}, lookback=reach)
 
 
-def ewm_level(df: DataFrame, target: str, order_by: Order, keys: Sequence[str] = (), alpha: float | None = None, span: float | None = None, strategy: str = "auto", bands: int | None = None) -> DataFrame:
+def ewm_level(df: DataFrame, target: str, order_by: Order, keys: Sequence[str] = (), alpha: float | None = None, span: float | None = None, strategy: str = "banded", bands: int | None = None) -> DataFrame:
     """Last level of the same recursion per series, as one weighted sum over all rows."""
     a = ewm_alpha(alpha, span)
     values = df.where(col(target).isNotNull())
@@ -284,7 +290,7 @@ def ewm_level(df: DataFrame, target: str, order_by: Order, keys: Sequence[str] =
     return indexed.groupBy(*key_columns(keys)).agg(F.sum(weight * col(target).cast("double")).alias("level"))
 
 
-def residual_autocorrelation(df: DataFrame, residual: str, order_by: Order, keys: Sequence[str] = (), strategy: str = "auto", bands: int | None = None) -> DataFrame:
+def residual_autocorrelation(df: DataFrame, residual: str, order_by: Order, keys: Sequence[str] = (), strategy: str = "banded", bands: int | None = None) -> DataFrame:
     """Lag-1 Pearson of the residuals; 0 for a single row, null when undefined."""
     made = {"__before": lag_feature(residual, 1)}
     rows = sequence(df, order_by, keys, strategy, bands).over(made, lookback=1)
@@ -292,7 +298,7 @@ def residual_autocorrelation(df: DataFrame, residual: str, order_by: Order, keys
     return rows.groupBy(*key_columns(keys)).agg(value.alias("autocorr_lag1"))
 
 
-def residual_trend(df: DataFrame, residual: str, order_by: Order, keys: Sequence[str] = (), strategy: str = "auto", bands: int | None = None) -> DataFrame:
+def residual_trend(df: DataFrame, residual: str, order_by: Order, keys: Sequence[str] = (), strategy: str = "banded", bands: int | None = None) -> DataFrame:
     """Slope of the residuals on the row number; a trend if above a tenth of their deviation."""
     rows = sequence(df, order_by, keys, strategy, bands).with_index("__idx")
     slope = F.regr_slope(col(residual), F.col("__idx").cast("double"))

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import col
-from tidemark.operators.keys import ROWS_PER_GROUP, largest_group
 from tidemark.operators.sequence import row_at
 
 
@@ -22,16 +21,16 @@ def quantiles(
     probabilities: dict[str, float],
     keys: Sequence[str] = (),
     method: str = "linear",
-    strategy: str = "auto",
+    strategy: str = "banded",
     weight: str | None = None,
 ) -> DataFrame:
     """One row per key with the named quantiles of the non-null values.
 
     ``linear`` interpolates between ranks, ``nearest`` takes the value at rank
     ``round(q * (n - 1))``, ``approx`` uses ``percentile_approx``. An exact percentile
-    holds its whole group in one task, so of groups above ``ROWS_PER_GROUP`` the distinct
-    values are counted, sorted across the cluster and read at the wanted ranks instead. ``strategy`` may force
-    ``keyed`` or ``banded``. ``weight`` names a column of whole counts, how often a row's
+    holds its whole group in one task, so the distinct values are counted, sorted across
+    the cluster and read at the wanted ranks; ``strategy="keyed"`` is for groups that are
+    known to be small. ``weight`` names a column of whole counts, how often a row's
     value occurs.
     """
     occurs = col(weight).cast("long") if weight else F.lit(1).cast("long")
@@ -44,8 +43,6 @@ def quantiles(
             F.percentile_approx("__v", list(probabilities.values()), 10_000).alias("__q")
         )
         return found.select(*by, *[F.get("__q", F.lit(i)).alias(name) for i, name in enumerate(probabilities)])
-    if strategy == "auto":
-        strategy = "keyed" if largest_group(present, keys) <= ROWS_PER_GROUP else "banded"
     if method == "linear" and strategy == "keyed":
         # One call for all probabilities keeps one table of values per group, not several.
         found = present.groupBy(*by).agg(F.percentile("__v", list(probabilities.values()), F.col("__w") if weight else 1).alias("__q"))
@@ -78,7 +75,7 @@ def iqr_bounds(
     value: str,
     keys: Sequence[str] = (),
     method: str = "linear",
-    strategy: str = "auto",
+    strategy: str = "banded",
 ) -> DataFrame:
     """Per key ``q1, q3, lower, upper``: fences at 1.5 interquartile ranges."""
     quartile = quantiles(df, value, {"q1": 0.25, "q3": 0.75}, keys, method, strategy)

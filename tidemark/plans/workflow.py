@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.diagnostics.health import diagnose, forecast_sanity
-from tidemark.functions.columns import col, exogenous_columns, is_non_negative_name, require
+from tidemark.functions.columns import col, is_non_negative_name, numeric_columns, require
 from tidemark.models.baseline import BASELINES, default_span, forecast_baseline
 from tidemark.models.boosted import (
     MIN_TUNING_ROWS,
@@ -87,7 +87,7 @@ class Job:
     exog: tuple[str, ...] = ()
     params: Mapping[str, Any] = field(default_factory=dict)
     tune: bool = False
-    strategy: str = "auto"
+    strategy: str = "banded"
 
 
 def series_frequency(df: DataFrame, job: Job) -> str:
@@ -203,7 +203,7 @@ def run_workflow(
         source = source.where(col(job.datetime_column).isNotNull())
     analysed = wizard_analysis(source, job.datetime_column, job.target, as_of, keys, strategy=job.strategy)
     result.analysis = analysed.first().asDict(recursive=True)
-    result.analysis["potential_exog"] = exogenous_columns(df, job.datetime_column, job.target, keys)
+    result.analysis["potential_exog"] = numeric_columns(df, {job.datetime_column, job.target, *keys})
     frequency = series_frequency(source, job)
     result.analysis["frequency"] = frequency
     done("analysis", f"{result.analysis['n_rows']} rows, {result.analysis['n_groups']} series, frequency {frequency}")

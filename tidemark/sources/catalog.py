@@ -30,10 +30,6 @@ def user_columns(schema: Column) -> Column:
     return F.map_filter(schema, lambda k, _: ~k.startswith(META_PREFIX))
 
 
-def meta_columns(schema: Column) -> Column:
-    return F.map_filter(schema, lambda k, _: k.startswith(META_PREFIX))
-
-
 def catalog_row(
     df: DataFrame,
     dataset_id: str,

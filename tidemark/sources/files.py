@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -12,9 +13,6 @@ from tidemark.operators.project import sort_rows
 
 FORMATS = {".csv": "csv", ".parquet": "parquet"}
 
-MAX_PREVIEW_ROWS = 500
-
-
 def suffix(path: str) -> str:
     name = path.rstrip("/").rsplit("/", 1)[-1]
     return name[name.rfind("."):].lower() if "." in name else ""
@@ -23,8 +21,11 @@ def suffix(path: str) -> str:
 def read_table(
     spark: SparkSession, path: str, schema: T.StructType | str | None = None, fmt: str | None = None
 ) -> DataFrame:
-    """Read a file, folder or glob; unknown suffixes are CSV. A given schema saves the inference pass."""
-    fmt = fmt or FORMATS.get(suffix(path), "csv")
+    """Read a file, folder or glob. A given schema saves the inference pass.
+
+    Without a known suffix the footer decides: what opens as Parquet is Parquet, else CSV.
+    """
+    fmt = fmt or FORMATS.get(suffix(path)) or ("parquet" if _is_parquet(spark, path) else "csv")
     reader = spark.read.format(fmt)
     if schema is not None:
         reader = reader.schema(schema)
@@ -35,6 +36,15 @@ def read_table(
     return reader.load(path)
 
 
+def _is_parquet(spark: SparkSession, path: str) -> bool:
+    try:
+        return bool(spark.read.parquet(path).columns)
+    except PySparkException as error:
+        if "PATH_NOT_FOUND" in str(error):
+            raise
+        return False
+
+
 def load_full_dataframe(
     spark: SparkSession, path: str, datetime_column: str | None = None, schema: T.StructType | str | None = None
 ) -> DataFrame:
@@ -62,10 +72,10 @@ def load_time_series(
     return sort_rows(series, date_column)
 
 
-def discover_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+def discover_tables(spark: SparkSession, folder: str, skip_unreadable: bool = False) -> dict[str, DataFrame]:
     """Every CSV or Parquet entry of a folder on any Hadoop file system, by stem.
 
-    Entries that cannot be read are left out.
+    An entry that cannot be read is an error unless ``skip_unreadable`` is set.
     """
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
@@ -79,12 +89,13 @@ def discover_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
             continue
         try:
             found[name[: name.rfind(".")]] = read_table(spark, status.getPath().toString())
-        except Exception:
-            continue
+        except PySparkException:
+            if not skip_unreadable:
+                raise
     return found
 
 
 def preview(df: DataFrame, limit: int = 20, order_by: Sequence[str] = ()) -> DataFrame:
-    """First rows, at least 1 and at most 500."""
+    """The first ``limit`` rows."""
     ordered = df.orderBy(*[col(c) for c in order_by]) if order_by else df
-    return ordered.limit(max(1, min(int(limit), MAX_PREVIEW_ROWS)))
+    return ordered.limit(max(0, int(limit)))

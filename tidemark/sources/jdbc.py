@@ -11,9 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import check_identifier, quoted_table
 from tidemark.operators.aggregate import pre_aggregate
 
-# Row cap of an import unless it is given or switched off, and the
-# schemas a table listing leaves out.
-DEFAULT_ROW_LIMIT = 1_000_000
+# The schemas a table listing leaves out.
 SYSTEM_SCHEMAS = ("pg_catalog", "information_schema")
 
 
@@ -24,7 +22,7 @@ class JdbcSource:
     url: str
     table: str | None = None
     query: str | None = None
-    row_limit: int | None = DEFAULT_ROW_LIMIT
+    row_limit: int | None = None
     partition_column: str | None = None
     lower_bound: str | int | None = None
     upper_bound: str | int | None = None
@@ -55,15 +53,15 @@ class JdbcSource:
 
 
 def read_jdbc(spark: SparkSession, source: JdbcSource) -> DataFrame:
-    """Scan, then the calendar roll-up if any, then the row cap.
+    """Scan, then the calendar roll-up if any, then the row limit if one is given.
 
-    Filters, column pruning and the cap are pushed to the database by Spark.
+    Filters, column pruning and the limit are pushed to the database by Spark.
     """
     return shape(spark.read.format("jdbc").options(**source.reader_options()).load(), source)
 
 
 def shape(df: DataFrame, source: JdbcSource) -> DataFrame:
-    """The roll-up and row cap of a source, apart from where its rows come from."""
+    """The roll-up and row limit of a source, apart from where its rows come from."""
     if source.pre_aggregate:
         df = pre_aggregate(df, **source.pre_aggregate)  # type: ignore[arg-type]
     return df.limit(source.row_limit) if source.row_limit and source.row_limit > 0 else df
