@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import chosen, text_or_empty
 
 #: Characters of text that are encoded at a time.
-ENCODE_CHARS = 1 << 20
+ENCODE_CHARS = 1 << 18
 
 
 def byte_characters() -> list[str]:
@@ -60,12 +60,10 @@ def build_tokenizer(raw: bytes, pattern: str):
 @lru_cache(maxsize=4)
 def byte_strings(raw: bytes) -> list[bytes]:
     """The bytes of each id, out of the byte table in reverse."""
-    back = {c: b for b, c in enumerate(byte_characters())}
-    made = build_tokenizer(raw, "")
-    table = [b""] * made.get_vocab_size()
-    for spelled, i in made.get_vocab().items():
-        table[i] = bytes(back[c] for c in spelled)
-    return table
+    chars = byte_characters()
+    back = {c: b for b, c in enumerate(chars)}
+    spelled = {rank: "".join(chars[b] for b in token) for token, rank in load_ranks(raw).items()}
+    return [bytes(back[c] for c in spelled.get(i, "")) for i in range(max(spelled) + 1)]
 
 
 def decode_pieces(pieces: Iterator[bytes]) -> Iterator[str]:
@@ -78,9 +76,10 @@ def decode_pieces(pieces: Iterator[bytes]) -> Iterator[str]:
     yield decoder.decode(b"", True)
 
 
-def _groups(texts: list[str]) -> Iterator[list[str]]:
+def _groups(texts: pa.Array) -> Iterator[list[str]]:
     group, size = [], 0
-    for text in texts:
+    for value in texts:
+        text = value.as_py()
         group.append(text)
         size += len(text)
         if size >= ENCODE_CHARS:
@@ -109,10 +108,12 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text"
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         made = build_tokenizer(shared.value, pattern)
         call = made.encode_batch if offsets else made.encode_batch_fast
+        pa.set_memory_pool(pa.system_memory_pool())
         for batch in batches:
-            sizes: list[int] = []
-            found: list[list[np.ndarray]] = [[] for _ in added]
-            for group in _groups(batch.column("text").to_pylist()):
+            done = 0
+            for group in _groups(batch.column("text")):
+                found = [[np.array(x, np.int32)] for x in ([], [], [])[: len(added)]]
+                sizes = []
                 for e in call(group, add_special_tokens=False):
                     ids = np.array(e.ids, np.int32)
                     sizes.append(len(ids))
@@ -121,10 +122,11 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text"
                         places = np.array(e.offsets, np.int32).reshape(-1, 2)
                         found[1].append(places[:, 0])
                         found[2].append(places[:, 1])
-            at = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(at, np.concatenate([np.zeros(0, np.int32), *x])) for x in found]
-            kept = [batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays(kept + lists, names=[*names, *added])
+                at = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(at, np.concatenate(x)) for x in found]
+                kept = [batch.column(n).slice(done, len(group)) for n in names]
+                done += len(group)
+                yield pa.RecordBatch.from_arrays(kept + lists, names=[*names, *added])
 
     schema = ", ".join([f"{n} {t}" for n, t in fields] + [f"{n} array<int>" for n in added])
     return rows.mapInArrow(run, schema).select(*[F.col(n).alias(c) for n, c in names.items()], *added)
@@ -138,13 +140,10 @@ def decode(encoded: DataFrame, rank_file: str, ids_col: str = "ids") -> DataFram
     ids = next(n for n, c in names.items() if c == ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
         table = byte_strings(shared.value)
         for batch in batches:
-            column = batch.column(ids)
-            flat = column.flatten().to_pylist()
-            at = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).tolist()
-            null = column.is_null().to_pylist()
-            out = [None if null[i] else b"".join([table[t] for t in flat[at[i] : at[i + 1]]]) for i in range(len(column))]
+            out = [None if not x.is_valid else b"".join([table[t] for t in x.values.to_numpy().tolist()]) for x in batch.column(ids)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*names, "decoded"])
 
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in rows.schema] + ["decoded binary"])
