@@ -85,11 +85,13 @@ def fit(labelled: DataFrame, url_col: str = "url", label_col: str = "blocked", g
     """Fit on the small labelled table (both labels must occur); rows without a 0 or 1 label are left out."""
     rows = chosen(labelled, {"url": url_col, "label": label_col}).withColumn("label", F.col("label").cast("double")).where("label in (0, 1)")
     host, path = host_and_path(F.col("url"))
-    # (row, bucket) pairs, gathered to one dense vector for each of the few labelled rows
-    found = rows.select("label", "url", buckets_of(host, path, grams, buckets).alias("found"))
-    dense = F.transform(F.sequence(F.lit(1), F.lit(buckets)), lambda i: F.array_contains("found", i.cast("int")).cast("double"))
-    vectors = found.select("label", "url", array_to_vector(dense).alias("features")).orderBy("url", "label").coalesce(1)
+    # the buckets of each row are gathered first: inside the lambda they would be hashed anew for every element
+    pairs = rows.select("label", "url", F.explode(buckets_of(host, path, grams, buckets)).alias("bucket"))
+    found = pairs.groupBy("url", "label").agg(F.collect_set("bucket").alias("found"))
+    dense = F.transform(F.sequence(F.lit(1), F.lit(buckets)), lambda i: F.array_contains("found", i).cast("double"))
+    vectors = found.select("label", "url", array_to_vector(dense).alias("features")).coalesce(1).sortWithinPartitions("url", "label").cache()
     model = LogisticRegression(regParam=ridge, standardization=False, maxIter=200).fit(vectors)
+    vectors.unpersist()
     return UrlModel(tuple(float(x) for x in model.coefficients), float(model.intercept), tuple(grams))
 
 
