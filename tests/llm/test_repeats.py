@@ -43,29 +43,28 @@ def by_words(docs, size=35):
     return sorted(out)
 
 
-TABLES = {
-    "awkward": awkward(),
-    "runs": ["ab" * 200, "ba" * 150, "a" * 49, "a" * 50, "a" * 51, "zz" + "a" * 51],
-    "borders": [prose(9, 60), prose(8, 10) + prose(9, 60)[20:120] + prose(7, 10), prose(9, 60)[10:61], prose(9, 60)[10:59]],
-    "words": [" ".join(["w"] * 34), " ".join(["w"] * 35), " ".join(["v"] * 36), " ".join(map(str, range(35))), " ".join(map(str, range(70)))],
-    "empty": [],
-}
-
-
-@pytest.mark.parametrize("name", TABLES)
-@pytest.mark.parametrize("block_bytes", [1 << 22, 3000])
-def test_removed_bytes(spark, name, block_bytes):
-    docs = documents(spark, TABLES[name])
-    got = removal_report(remove_repeats(docs, block_bytes=block_bytes)).collect()
-    assert sorted(map(tuple, got)) == by_bytes(list(enumerate(TABLES[name])))
-
-
-@pytest.mark.parametrize("name", TABLES)
-@pytest.mark.parametrize("block_bytes", [1 << 22, 3000])
-def test_removed_words(spark, name, block_bytes):
-    docs = documents(spark, TABLES[name])
-    got = word_removal_report(remove_repeated_words(docs, block_bytes=block_bytes)).collect()
-    assert sorted(map(tuple, got)) == by_words(list(enumerate(TABLES[name])))
+TEXTS = [
+    *awkward(),
+    *("ab" * 200, "ba" * 150, "a" * 49, "a" * 50, "a" * 51, "zz" + "a" * 51),
+    *(prose(9, 60), prose(8, 10) + prose(9, 60)[20:120] + prose(7, 10), prose(9, 60)[10:61], prose(9, 60)[10:59]),
+    *(" ".join(["w"] * 34), " ".join(["u"] * 35), " ".join(["v"] * 36), " ".join(map(str, range(35))), " ".join(map(str, range(70)))),
+]
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 22, 6000])
+def test_removed_bytes(spark, block_bytes):
+    got = removal_report(remove_repeats(documents(spark, TEXTS), block_bytes=block_bytes)).collect()
+    assert sorted(map(tuple, got)) == by_bytes(list(enumerate(TEXTS)))
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 22, 6000])
+def test_removed_words(spark, block_bytes):
+    got = word_removal_report(remove_repeated_words(documents(spark, TEXTS), block_bytes=block_bytes)).collect()
+    assert sorted(map(tuple, got)) == by_words(list(enumerate(TEXTS)))
+
+
+def test_empty_tables(spark):
+    assert remove_repeats(documents(spark, [])).count() == remove_repeated_words(documents(spark, [])).count() == 0
 
 
 def test_repeated_and_null_ids(spark):
