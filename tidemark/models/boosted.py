@@ -23,8 +23,9 @@ from tidemark.functions.columns import col
 from tidemark.functions.frequency import shift_periods
 from tidemark.models.evaluate import holdout_metrics
 from tidemark.operators.join import join_future_exog
-from tidemark.operators.keys import key_columns
+from tidemark.operators.keys import attach, key_columns
 from tidemark.operators.sequence import sequence
+from tidemark.operators.series import ewm_mean
 from tidemark.session import materialize
 
 # Relative sizes of four tried settings: few fast trees, many slow ones, deep ones, sampled ones.
@@ -82,17 +83,6 @@ def _origin_features(c: BoostedConfig, steps: int) -> tuple[dict[str, Any], int,
             F.stddev_samp(value()).over(w.rowsBetween(1 - n, 0)), F.lit(0.0)
         )
         lookback = max(lookback, n - 1)
-    if c.use_ewm:
-        reach = 60  # (1 - 0.3)^60 is far below the resolution of a split threshold
-
-        def ewm(w):
-            frame = F.collect_list(value()).over(w.rowsBetween(-reach, 0))
-            return F.aggregate(
-                frame, F.get(frame, F.lit(0)), lambda level, x: EWM_ALPHA * x + (1 - EWM_ALPHA) * level
-            )
-
-        made["ewm"] = ewm
-        lookback = max(lookback, reach)
     ahead = [col(c.datetime_column).alias("ds"), value().alias("label")]
     ahead += [col(x).cast("double").alias(x) for x in c.exog]
     made["__ahead"] = lambda w: F.collect_list(F.struct(*ahead)).over(w.rowsBetween(c.gap + 1, c.gap + steps))
@@ -103,6 +93,8 @@ def _origin_features(c: BoostedConfig, steps: int) -> tuple[dict[str, Any], int,
 def origins(df: DataFrame, c: BoostedConfig, steps: int, strategy: str = "banded", bands: int | None = None) -> DataFrame:
     """Every row with a value as a possible forecast origin, with its features and next rows."""
     rows = df.where(col(c.target).isNotNull() & col(c.datetime_column).isNotNull())
+    if c.use_ewm:
+        rows = ewm_mean(rows, c.target, c.datetime_column, c.keys, EWM_ALPHA, output="ewm", strategy=strategy, bands=bands)
     made, lookback, lookahead = _origin_features(c, steps)
     ordered = sequence(rows, c.datetime_column, c.keys, strategy, bands)
     return ordered.over(made, lookback, lookahead)
@@ -189,44 +181,78 @@ def fit_boosted(df: DataFrame, c: BoostedConfig, strategy: str = "banded", bands
     return BoostedModel(c, fit_rows(rows, c))
 
 
-def holdout_boosted(
+@dataclass(frozen=True)
+class Holdout:
+    """What every setting is fitted and tested on: written once, whatever is tried."""
+
+    training: DataFrame
+    test: DataFrame
+
+
+def holdout_tables(
     df: DataFrame, c: BoostedConfig, train_fraction: float = 0.8, strategy: str = "banded", bands: int | None = None,
-    name: str = "boosted", min_rows: int = 20,
-) -> DataFrame:
-    """Test predictions per series from the last training row, up to twice the horizon.
+    min_rows: int = 20,
+) -> Holdout:
+    """Labelled rows inside the training part of each series, and all rows from ``gap`` past it.
 
-    The model sees only labels inside the training part of each series.
+    A test row sees the features of the last training row and its own step, however far
+    past the split it lies.
     """
     rows = df.where(col(c.target).isNotNull() & col(c.datetime_column).isNotNull())
     indexed = sequence(rows, c.datetime_column, c.keys, strategy, bands).with_index("__idx", "__total").where(
         F.col("__total") >= min_rows
     )
-    steps = 2 * c.horizon
     n_train = F.floor(F.col("__total") * F.lit(float(train_fraction)))
-    found = materialize(origins(indexed.withColumn("__n_train", n_train), c, steps, strategy, bands), "origins")
+    placed = indexed.withColumn("__n_train", n_train)
+    found = materialize(origins(placed, c, c.horizon, strategy, bands), "origins")
     # Label i of an origin lies gap + 1 + i rows after it.
     known = F.col("__n_train") - F.col("__idx") - 1 - c.gap
-    inside = found.where(known > 0).withColumn("__ahead", F.slice("__ahead", F.lit(1), known.cast("int")))
-    model = fit_rows(labelled_rows(inside, c), c)
-    at_split = labelled_rows(found, c, F.col("__idx") == F.col("__n_train") - 1)
-    scored = model.transform(at_split)
+    inside = found.where(known > 0).withColumn("__ahead", F.slice("__ahead", F.lit(1), F.least(known, F.lit(c.horizon)).cast("int")))
+    at_split = found.where(F.col("__idx") == F.col("__n_train") - 1).select(*key_columns(c.keys), *_origin_columns(c))
+    names = [n for n in c.feature_names() if n not in {*c.date_features, *c.exog, "step"}]
+    later = found.where(F.col("__idx") >= F.col("__n_train") + c.gap).select(
+        *key_columns(c.keys), (F.col("__idx") - F.col("__n_train") - c.gap + 1).alias("step"),
+        col(c.datetime_column).alias("ds"), col(c.target).cast("double").alias("label"),
+        *[F.coalesce(col(x).cast("double"), F.lit(0.0)).alias(x) for x in c.exog],
+    )
+    test = _with_step_features(attach(later, at_split, c.keys, names), c)
+    return Holdout(labelled_rows(inside, c), test)
+
+
+def holdout_boosted(
+    df: DataFrame, c: BoostedConfig, train_fraction: float = 0.8, strategy: str = "banded", bands: int | None = None,
+    name: str = "boosted", min_rows: int = 20, tables: Holdout | None = None,
+) -> DataFrame:
+    """Test predictions of all rows past the split of each series, fitted on labels inside its training part."""
+    held = tables or holdout_tables(df, c, train_fraction, strategy, bands, min_rows)
+    scored = fit_rows(held.training, c).transform(held.test)
     return scored.select(
         *key_columns(c.keys), F.col("ds").alias(c.datetime_column), F.col("label").alias("actual"),
         F.lit(name).alias("model"), F.col("prediction").alias("predicted"),
     )
 
 
+def tried_settings(
+    df: DataFrame, c: BoostedConfig, grid: Sequence[Mapping[str, Any]] = TUNING_GRID,
+    train_fraction: float = 0.8, strategy: str = "banded",
+) -> list[tuple[dict[str, Any], float | None]]:
+    """Holdout RMSE of every setting, over all series together. Only the fit depends on the setting."""
+    held = holdout_tables(df, c, train_fraction, strategy)
+    out = []
+    for params in grid:
+        tried = BoostedConfig(**{**asdict(c), "params": {**c.params, **params}})
+        error = holdout_metrics(holdout_boosted(df, tried, train_fraction, strategy, tables=held)).first()["rmse"]
+        out.append((dict(params), error))
+    return out
+
+
 def tune_boosted(
     df: DataFrame, c: BoostedConfig, grid: Sequence[Mapping[str, Any]] = TUNING_GRID,
     train_fraction: float = 0.8, strategy: str = "banded",
 ) -> tuple[dict[str, Any], float]:
     """The setting with the smallest holdout RMSE, and that RMSE. A handful of fits, each distributed."""
-    best: tuple[dict[str, Any], float] | None = None
-    for params in grid:
-        tried = BoostedConfig(**{**asdict(c), "params": {**c.params, **params}})
-        error = holdout_metrics(holdout_boosted(df, tried, train_fraction, strategy)).first()["rmse"]
-        if error is not None and (best is None or error < best[1]):
-            best = (dict(params), error)
+    errors = [t for t in tried_settings(df, c, grid, train_fraction, strategy) if t[1] is not None]
+    best = min(errors, key=lambda t: t[1], default=None)
     if best is None:
         raise ValueError("no series long enough to tune on")
     return best

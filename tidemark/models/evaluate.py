@@ -72,10 +72,12 @@ def holdout_predictions(
     span: float = DEFAULT_SPAN,
     strategy: str = "banded",
     bands: int | None = None,
+    gap: int = 0,
 ) -> DataFrame:
     """Long table of test rows: keys, time, ``actual``, ``model``, ``predicted``, ``total``.
 
-    Every series is split and fitted on its own; those under ``min_rows`` give no rows.
+    Every series is split and fitted on its own; the test starts ``gap`` rows after the
+    training part. Series under ``min_rows`` give no rows, ``series_status`` names them.
     """
     unknown = [m for m in models if m not in BASELINES]
     if unknown:
@@ -86,7 +88,7 @@ def holdout_predictions(
     train = rows.where(F.col("idx") < F.col("n_train"))
     fitted = fit_baselines(train.drop("n_train"), target, keys, "idx", F.floor(F.col("total") * F.lit(float(train_fraction))), span)
     values = [c for c in fitted.columns if c not in (*keys, "n_train")]
-    test = attach(rows.where(F.col("idx") >= F.col("n_train")), fitted, keys, values)
+    test = attach(rows.where(F.col("idx") >= F.col("n_train") + gap), fitted, keys, values)
     made = [F.struct(F.lit(m).alias("model"), baseline_prediction(m, F.col("idx")).alias("predicted")) for m in models]
     return test.select(
         *key_columns(keys),
@@ -98,6 +100,27 @@ def holdout_predictions(
     ).select("*", "__m.model", "__m.predicted").drop("__m")
 
 
+def series_status(
+    df: DataFrame, target: str, keys: Sequence[str] = (), min_rows: int = MIN_EVALUATION_ROWS
+) -> DataFrame:
+    """Keys, rows with a value and whether the series is ``evaluated`` or ``too short`` for a holdout."""
+    n = F.count(col(target))
+    return df.groupBy(*key_columns(keys)).agg(
+        n.alias("n_rows"), F.when(n >= min_rows, "evaluated").otherwise("too short").alias("status")
+    )
+
+
+def matched_predictions(
+    test: DataFrame, models: Sequence[str], datetime_column: str, keys: Sequence[str] = ()
+) -> DataFrame:
+    """Only the test rows that every one of ``models`` predicts, so that errors compare like with like."""
+    entry = F.struct("model", "actual", "predicted")
+    rows = test.where(F.col("model").isin(*models) & F.col("predicted").isNotNull())
+    packed = rows.groupBy(*key_columns(keys), col(datetime_column)).agg(F.collect_list(entry).alias("__m"))
+    whole = packed.where(F.size(F.array_distinct(F.transform("__m", lambda m: m["model"]))) == len(set(models)))
+    return whole.select(*key_columns(keys), col(datetime_column), F.inline("__m"))
+
+
 def evaluate_models(
     df: DataFrame,
     datetime_column: str,

@@ -164,18 +164,19 @@ def forecast_seasonal(
 def holdout_seasonal(
     df: DataFrame, datetime_column: str, target: str, frequency: str = "D", keys: Sequence[str] = (),
     config: SeasonalConfig | None = None, holidays: DataFrame | None = None,
-    train_fraction: float = 0.8, min_rows: int = 20, strategy: str = "banded", bands: int | None = None,
+    train_fraction: float = 0.8, min_rows: int = 20, strategy: str = "banded", bands: int | None = None, gap: int = 0,
 ) -> DataFrame:
-    """Test rows of each series with the prediction from its training part."""
+    """Test rows of each series, from ``gap`` after its training part, with the prediction from that part."""
     c = config or SeasonalConfig.for_frequency(frequency, holidays is not None)
     rows = df.where(col(target).isNotNull() & col(datetime_column).isNotNull())
     indexed = sequence(rows, datetime_column, keys, strategy, bands).with_index("__idx", "__total").where(
         F.col("__total") >= min_rows
     )
-    is_train = F.col("__idx") < F.floor(F.col("__total") * F.lit(float(train_fraction)))
+    n_train = F.floor(F.col("__total") * F.lit(float(train_fraction)))
+    is_train = F.col("__idx") < n_train
     plain = [*key_columns(keys), col(datetime_column), col(target)]
     fitted = fit_seasonal(indexed.where(is_train).select(*plain), datetime_column, target, keys, c, holidays, strategy, bands)
-    test = indexed.where(~is_train).select(*plain)
+    test = indexed.where(F.col("__idx") >= n_train + gap).select(*plain)
     if c.with_holidays:
         test = holiday_flag(test, datetime_column, holidays)
     scored = predict_rows(test, datetime_column, fitted, keys, c)

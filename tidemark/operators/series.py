@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import col
@@ -266,18 +266,31 @@ def ewm_alpha(alpha: float | None = None, span: float | None = None) -> float:
 def ewm_mean(df: DataFrame, target: str, order_by: Order, keys: Sequence[str] = (), alpha: float | None = None, span: float | None = None, output: str = "ewm_mean", strategy: str = "banded", bands: int | None = None) -> DataFrame:
     """Recursive exponentially weighted mean: first value, then ``a * x + (1 - a) * previous``.
 
-    The recursion runs over the rows whose weight still shows in a double, so a frame is
-    as exact as the whole history. Null values carry no weight.
+    Nulls carry no weight and keep the level before them, however many follow each other.
+    The step is affine in the level before it, so the values of a series are cut into blocks
+    so long that a level from two blocks back is below the resolution of a double: each block
+    is one running sum, and one level per block is carried into the next.
     """
     a = ewm_alpha(alpha, span)
-    reach = 1 if a == 1 else math.ceil(math.log(1e-18) / math.log(1 - a))
-
-    def recursion(w):
-        frame = F.collect_list(col(target).cast("double")).over(w.rowsBetween(-reach, 0))
-        start = F.get(frame, F.lit(0))
-        return F.aggregate(frame, start, lambda level, x: F.lit(a) * x + F.lit(1 - a) * level)
-
-    return sequence(df, order_by, keys, strategy, bands).over({output: recursion}, lookback=reach)
+    block = 1 if a == 1 else max(1, math.floor(100 * math.log(10) / -math.log(1 - a)))
+    by = key_columns(keys)
+    present = df.withColumn("__w", col(target).isNotNull().cast("long"))
+    counted = sequence(present, order_by, keys, strategy, bands).running_total("__w", "__k").drop("__w")
+    k = F.col("__k") - 1
+    values = counted.where(col(target).isNotNull()).select(
+        *by, "__k", F.floor(k / block).alias("__block"), F.pmod(k, F.lit(block)).alias("__at"), col(target).cast("double").alias("__x")
+    )
+    weight = F.when(F.col("__k") == 1, F.lit(1.0)).otherwise(F.lit(a))
+    scaled = weight * F.col("__x") * F.pow(F.lit(1 - a), -F.col("__at"))
+    group = Window.partitionBy(*by, "__block").orderBy("__at")
+    inside = F.sum(scaled).over(group) * F.pow(F.lit(1 - a), F.col("__at")) if a < 1 else F.col("__x")
+    levels = values.withColumns({"__level": inside})
+    ends = levels.groupBy(*by, "__block").agg(F.max_by("__level", "__at").alias("__end"))
+    carried = ends.withColumn("__block", F.col("__block") + 1)
+    joined = attach(levels, carried, [*keys, "__block"], ["__end"])
+    whole = F.col("__level") + F.coalesce(F.col("__end"), F.lit(0.0)) * F.pow(F.lit(1 - a), F.col("__at") + 1)
+    found = joined.select(*by, "__k", whole.alias(output))
+    return attach(counted, found, [*keys, "__k"], [output]).drop("__k")
 
 
 def ewm_level(df: DataFrame, target: str, order_by: Order, keys: Sequence[str] = (), alpha: float | None = None, span: float | None = None, strategy: str = "banded", bands: int | None = None) -> DataFrame:

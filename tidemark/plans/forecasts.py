@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from tidemark.diagnostics import health
 from tidemark.models import baseline, evaluate
-from tidemark.models.boosted import BoostedConfig, BoostedModel, fit_boosted, tune_boosted
-from tidemark.models.seasonal import forecast_seasonal, holdout_seasonal
+from tidemark.models.boosted import BoostedConfig, BoostedModel, fit_boosted, tried_settings
+from tidemark.models.seasonal import SeasonalConfig, design, fit_seasonal, forecast_seasonal, holdout_seasonal
 from tidemark.operators.aggregate import resample
 from tidemark.operators.features import create_features
 from tidemark.operators.profile import data_quality
 from tidemark.plans.registry import ORDER_PANEL, PANEL, order_panel, panel, query, rounded, table
-from tidemark.plans.workflow import Job, forecast, predict_existing, run_workflow
+from tidemark.plans.workflow import Job, forecast, holdout_of, predict_existing, run_workflow
 from tidemark.session import fresh_path
 from tidemark.sources import sinks
 
@@ -332,8 +332,40 @@ def _boosted_config(**changes):
 @query("mdl_03_boosted")
 def _(spark, sf):
     days = order_panel(spark, sf)
-    model = fit_boosted(days, _boosted_config(params={"maxIter": 10}), "keyed")
-    return model.predict(days, strategy="keyed")
+    return fit_boosted(days, _boosted_config(), "keyed").predict(days, strategy="keyed")
+
+
+STEPS = f"""WITH {ORDER_PANEL}, l AS (SELECT series, max(ds) AS last FROM order_panel GROUP BY 1)
+SELECT series, CAST(h AS INTEGER) AS step, last + to_days(CAST(h AS INTEGER)) AS ds, '{{model}}' AS model_name, true AS finite FROM l, range(1, {{steps}}) r(h)"""
+
+
+def _steps(made):
+    finite = F.coalesce(F.abs("prediction") < F.lit(float("inf")), F.lit(False))
+    return made.select("series", "step", "ds", "model_name", finite.alias("finite"))
+
+
+@query("mdl_03_boosted_steps", STEPS.format(model="boosted", steps=8))
+def _(spark, sf):
+    days = order_panel(spark, sf)
+    return _steps(fit_boosted(days, _boosted_config(), "keyed").predict(days, strategy="keyed"))
+
+
+@query("mdl_04_seasonal_steps", STEPS.format(model="seasonal", steps=31))
+def _(spark, sf):
+    return _steps(forecast_seasonal(order_panel(spark, sf), "ds", "value", 30, "D", ["series"], strategy="keyed"))
+
+
+@query("mdl_04_seasonal_gradient", f"WITH {ORDER_PANEL} SELECT series, 0.0::DOUBLE AS steepest FROM order_panel GROUP BY 1")
+def _(spark, sf):
+    # The penalised squares have their minimum where the gradient of every coefficient is zero.
+    days, c = order_panel(spark, sf), SeasonalConfig.for_frequency("D")
+    fitted = fit_seasonal(days, "ds", "value", ["series"], c, strategy="keyed")
+    rows = days.join(fitted, "series").withColumn("x", design(F.col("ds"), F.col("start"), F.col("end"), c))
+    dot = F.aggregate(F.zip_with("x", "beta", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    slopes = rows.select("series", "beta", (dot - F.col("value") / F.col("scale")).alias("r"), F.posexplode("x").alias("i", "x"))
+    summed = slopes.groupBy("series", "i").agg(F.sum(F.col("x") * F.col("r")).alias("g"), F.first(F.get("beta", F.col("i"))).alias("b"))
+    penalty = F.get(F.lit(c.penalties()), F.col("i"))
+    return summed.groupBy("series").agg(F.max(F.abs(F.col("g") + penalty * F.col("b"))).alias("m")).select("series", rounded("m", 5, "steepest"))
 
 
 @query("mdl_04_seasonal")
@@ -349,9 +381,9 @@ def _(spark, sf):
 
 @query("mdl_08_tune")
 def _(spark, sf):
-    grid = ({"maxIter": 3, "maxDepth": 3}, {"maxIter": 6, "maxDepth": 4})
-    params, error = tune_boosted(order_panel(spark, sf), _boosted_config(), grid, strategy="keyed")
-    return spark.createDataFrame([(str(sorted(params.items())), float(error))], "params string, rmse double")
+    tried = tried_settings(order_panel(spark, sf), _boosted_config(), strategy="keyed")
+    rows = [(str(sorted(params.items())), float(error)) for params, error in tried]
+    return spark.createDataFrame(rows, "params string, rmse double")
 
 
 GRIDDED = f"""WITH {ORDER_PANEL},
@@ -372,9 +404,31 @@ def _(spark, sf):
     return made.select("series", "step", "ds", rounded("prediction", 3), "model_name")
 
 
+GAPPED = SPLIT.replace("WHERE x.i >= floor(x.total * 0.8::DOUBLE)", "WHERE x.i >= floor(x.total * 0.8::DOUBLE) + 5")
+
+
+def _gapped(spark, sf, models):
+    job = Job("ds", "value", 14, "D", ("series",), gap=5, strategy="keyed")
+    return holdout_of(order_panel(spark, sf), job, models, "D", {"lags": (1, 7), "rolling_windows": (7,), "date_features": ("month",), "use_ewm": False})
+
+
+@query("mdl_13_candidates", f"""WITH {ORDER_PANEL}, {GAPPED}
+SELECT series, m.model, count(*) AS n, min(ds) AS first_ds, max(ds) AS last_ds FROM test, (VALUES ('naive'), ('linear'), ('seasonal'), ('boosted')) m(model) GROUP BY ALL""")
+def _(spark, sf):
+    rows = _gapped(spark, sf, ("naive", "linear", "seasonal", "boosted"))
+    return rows.groupBy("series", "model").agg(F.count("predicted").alias("n"), F.min("ds").alias("first_ds"), F.max("ds").alias("last_ds"))
+
+
+@query("mdl_13_leaderboard", f"""WITH {ORDER_PANEL}, {GAPPED}, m AS (SELECT model, count(*) AS n, {ERRORS} FROM long GROUP BY 1)
+SELECT model, n, round(rmse, 3) AS rmse, CAST(row_number() OVER (ORDER BY rmse, model) AS INTEGER) AS rank FROM m""")
+def _(spark, sf):
+    board = evaluate.leaderboard(evaluate.holdout_metrics(_gapped(spark, sf, ("naive", "linear")), keys=["model"]))
+    return board.select("model", "n", rounded("rmse", 3), "rank")
+
+
 @query("mdl_13_run_workflow")
 def _(spark, sf):
-    job = Job("ds", "value", 7, "D", ("event_type",), strategy="keyed", params={"maxIter": 5, "maxDepth": 3})
+    job = Job("ds", "value", 7, "D", ("event_type",), strategy="keyed")
     result = run_workflow(panel(spark, sf), job, _as_of())
     return result.forecast
 
@@ -386,12 +440,16 @@ def _(spark, sf):
     return made.join(diagnosed.select("series", "health_score", "health_band", _codes("warnings")), "series")
 
 
-@query("mdl_14_predict_existing")
+@query("mdl_14_predict_existing", STEPS.format(model="boosted", steps=11))
 def _(spark, sf):
     days = order_panel(spark, sf)
     path = fresh_path(spark, "model")
-    fit_boosted(days, _boosted_config(params={"maxIter": 3, "maxDepth": 3}), "keyed").save(path)
-    return predict_existing(BoostedModel.load(spark, path), days, 10)
+    model = fit_boosted(days, _boosted_config(), "keyed")
+    model.save(path)
+    again = predict_existing(BoostedModel.load(spark, path), days, 10)
+    first = model.predict(days, 10, strategy="keyed").select("series", "step", F.col("prediction").alias("first"))
+    same = F.round(F.abs(F.col("prediction") - F.col("first")), 6) == 0
+    return again.join(first, ["series", "step"]).select("series", "step", "ds", "model_name", same.alias("finite"))
 
 
 @query("snk_05_save_model", f"""WITH {ORDER_PANEL},

@@ -242,6 +242,22 @@ def _(spark, sf):
     return made.select("event_type", "ds", rounded("ewm_mean"))
 
 
+SPARSE = f"""WITH {ORDER_PANEL},
+s AS (SELECT series, ds, CASE WHEN month(ds) IN (1, 6, 7) THEN value END AS value FROM order_panel),
+k AS (SELECT *, count(value) OVER (PARTITION BY series ORDER BY ds) AS k FROM s),
+v AS (SELECT series, k, value FROM k WHERE value IS NOT NULL),
+l AS (SELECT a.series, a.k, sum(b.value * (CASE WHEN b.k = 1 THEN 1 ELSE 0.01::DOUBLE END) * power(0.99::DOUBLE, a.k - b.k)) AS level
+      FROM v a JOIN v b ON a.series = b.series AND b.k <= a.k GROUP BY 1, 2)"""
+
+
+@query("win_13_ewm_mean_sparse", f"""{SPARSE}
+SELECT k.series, k.ds, round(l.level, 3) AS ewm_mean FROM k LEFT JOIN l ON k.series = l.series AND k.k = l.k""")
+def _(spark, sf):
+    days = order_panel(spark, sf).withColumn("value", F.when(F.month("ds").isin(1, 6, 7), F.col("value")))
+    made = win.ewm_mean(days, "value", "ds", ["series"], alpha=0.01)
+    return made.select("series", "ds", rounded("ewm_mean", 3))
+
+
 @query("mdl_05_ewm_level", f"""WITH {EWM}, n AS (SELECT event_type, max(i) AS last FROM x GROUP BY 1)
 SELECT event_type, round(sum(value * (CASE WHEN i = 0 THEN 1 ELSE 2::DOUBLE / 21 END) * power(19::DOUBLE / 21, last - i)), 4) AS level
 FROM x JOIN n USING (event_type) GROUP BY 1""")

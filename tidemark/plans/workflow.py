@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.diagnostics.health import diagnose, forecast_sanity
-from tidemark.functions.columns import col, is_non_negative_name, numeric_columns, require
+from tidemark.functions.columns import col, is_non_negative_name, is_numeric, numeric_columns, require
 from tidemark.models.baseline import BASELINES, default_span, forecast_baseline
 from tidemark.models.boosted import (
     MIN_TUNING_ROWS,
@@ -25,9 +25,16 @@ from tidemark.models.boosted import (
     holdout_boosted,
     tune_boosted,
 )
-from tidemark.models.evaluate import holdout_metrics, holdout_predictions, leaderboard
+from tidemark.models.evaluate import (
+    MIN_EVALUATION_ROWS,
+    holdout_metrics,
+    holdout_predictions,
+    leaderboard,
+    matched_predictions,
+    series_status,
+)
 from tidemark.models.seasonal import forecast_seasonal, holdout_seasonal
-from tidemark.operators.features import configure_features
+from tidemark.operators.features import EWM_ROWS, configure_features
 from tidemark.operators.fill import fix_frequency
 from tidemark.operators.join import join_external
 from tidemark.operators.prepare import apply_preparation, auto_clip
@@ -43,7 +50,7 @@ from tidemark.operators.aggregate import dedup_mean
 from tidemark.session import materialize
 
 MODELS = (*BASELINES, "boosted", "seasonal")
-MIN_SERIES_ROWS = 20
+STAGES = ("analysis", "preparation", "features", "training", "evaluation", "forecast")
 
 
 @dataclass
@@ -67,6 +74,7 @@ class WorkflowResult:
     forecast: DataFrame | None = None
     diagnostics: DataFrame | None = None
     model: BoostedModel | None = None
+    series: DataFrame | None = None
 
     @property
     def success(self) -> bool:
@@ -87,6 +95,8 @@ class Job:
     exog: tuple[str, ...] = ()
     params: Mapping[str, Any] = field(default_factory=dict)
     tune: bool = False
+    ewm_rows: int = EWM_ROWS
+    min_tuning_rows: int = MIN_TUNING_ROWS
     strategy: str = "banded"
 
 
@@ -133,16 +143,21 @@ def holdout_of(
     prepared: DataFrame, job: Job, models: Sequence[str], frequency: str, features: Mapping[str, Any],
     holidays: DataFrame | None = None, span: int = 20,
 ) -> DataFrame:
-    """Test rows of every candidate in one long table: keys, time, ``actual, model, predicted``."""
+    """Test rows of every candidate in one long table: keys, time, ``actual, model, predicted``.
+
+    All start ``job.gap`` after the training part; only rows that every candidate predicts stay.
+    """
     out: DataFrame | None = None
     closed = [m for m in models if m in BASELINES]
     if closed:
         out = holdout_predictions(
-            prepared, job.datetime_column, job.target, job.keys, closed, span=span, strategy=job.strategy
+            prepared, job.datetime_column, job.target, job.keys, closed, span=span, strategy=job.strategy,
+            gap=job.gap,
         ).drop("total")
     if "seasonal" in models:
         part = holdout_seasonal(
-            prepared, job.datetime_column, job.target, frequency, job.keys, holidays=holidays, strategy=job.strategy
+            prepared, job.datetime_column, job.target, frequency, job.keys, holidays=holidays, strategy=job.strategy,
+            gap=job.gap,
         )
         out = part if out is None else out.unionByName(part)
     if "boosted" in models:
@@ -151,7 +166,7 @@ def holdout_of(
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("no candidate models")
-    return out
+    return matched_predictions(out, models, job.datetime_column, job.keys)
 
 
 def diagnose_forecast(
@@ -180,12 +195,42 @@ def run_workflow(
     holidays: DataFrame | None = None,
     future_exog: DataFrame | None = None,
     external: tuple[DataFrame, str] | None = None,
+    store: str | None = None,
 ) -> WorkflowResult:
-    """All six stages. A panel is trained with the global model next to the naive baseline."""
+    """All six stages. A panel is trained with the global model next to the naive baseline.
+
+    With ``store``, a new folder, the steps and the forecast are written below it; a stage
+    that fails leaves a ``failed`` step there.
+    """
+    result = WorkflowResult()
+    begun = time.monotonic()
+    try:
+        _run_stages(result, df, job, as_of, holidays, future_exog, external)
+        if store and result.forecast is not None:
+            result.forecast.write.parquet(f"{store}/forecast")
+    except Exception as error:
+        result.steps.append(Step(STAGES[min(len(result.steps), len(STAGES) - 1)], "failed", time.monotonic() - begun, str(error)[:500]))
+        raise
+    finally:
+        if store and result.steps:
+            rows = [(i, s.name, s.status, s.seconds, s.message) for i, s in enumerate(result.steps)]
+            steps = df.sparkSession.createDataFrame(rows, "position int, name string, status string, seconds double, message string")
+            steps.coalesce(1).write.parquet(f"{store}/steps")
+    return result
+
+
+def _run_stages(
+    result: WorkflowResult,
+    df: DataFrame,
+    job: Job,
+    as_of: Column,
+    holidays: DataFrame | None,
+    future_exog: DataFrame | None,
+    external: tuple[DataFrame, str] | None,
+) -> None:
     require(df, job.datetime_column, job.target, *job.keys)
     if job.model not in ("auto", *MODELS):
         raise ValueError(f"unknown model {job.model!r}; use auto or one of {MODELS}")
-    result = WorkflowResult()
     clock = time.monotonic()
 
     def done(name: str, message: str) -> None:
@@ -199,8 +244,10 @@ def run_workflow(
     keys = list(job.keys)
     needed = [*keys, job.datetime_column, job.target, *job.exog]
     source = df.select(*[col(c) for c in dict.fromkeys(needed)])
-    if not keys and job.target in needed:
-        source = source.where(col(job.datetime_column).isNotNull())
+    source = source.where(col(job.datetime_column).isNotNull())
+    if not is_numeric(source.schema[job.target].dataType):
+        # What does not read as a number is a missing value of the series.
+        source = source.withColumn(job.target, col(job.target).try_cast("double"))
     analysed = wizard_analysis(source, job.datetime_column, job.target, as_of, keys, strategy=job.strategy)
     result.analysis = analysed.first().asDict(recursive=True)
     result.analysis["potential_exog"] = numeric_columns(df, {job.datetime_column, job.target, *keys})
@@ -209,9 +256,8 @@ def run_workflow(
     done("analysis", f"{result.analysis['n_rows']} rows, {result.analysis['n_groups']} series, frequency {frequency}")
 
     result.preparation = suggest_preparations(result.analysis)
-    clean = drop_non_numeric_target(source, job.target) if result.analysis["missing"] == 0 else source
     prepared = apply_preparation(
-        clean, result.preparation, job.datetime_column, job.target, frequency, keys, strategy=job.strategy
+        source, result.preparation, job.datetime_column, job.target, frequency, keys, strategy=job.strategy
     )
     if is_non_negative_name(job.target) and result.analysis["negative_pct"] > 0:
         prepared = auto_clip(prepared, job.target)
@@ -220,7 +266,7 @@ def run_workflow(
     done("preparation", ", ".join(f"{s.id}={s.choice}" for s in result.preparation if s.enabled) or "nothing to do")
 
     smallest = result.analysis["min_group_size"]
-    result.features = features = configure_features(frequency, job.gap, result.analysis["n_rows"], smallest)
+    result.features = features = configure_features(frequency, job.gap, result.analysis["n_rows"], smallest, job.ewm_rows)
     done("features", f"lags {features['lags']}, windows {features['rolling_windows']}")
 
     if job.model != "auto":
@@ -229,12 +275,13 @@ def run_workflow(
         candidates = ["naive", "boosted"]
     else:
         candidates = ["naive", "linear", "boosted"]
-    if result.analysis["max_group_size"] < MIN_SERIES_ROWS:
-        raise ValueError(f"no series has the {MIN_SERIES_ROWS} rows an evaluation needs")
+    if result.analysis["max_group_size"] < MIN_EVALUATION_ROWS:
+        raise ValueError(f"no series has the {MIN_EVALUATION_ROWS} rows an evaluation needs")
+    result.series = series_status(prepared, job.target, keys)
     span = default_span(result.analysis["median_group_size"])
     test = materialize(holdout_of(prepared, job, candidates, frequency, features, holidays, span), "holdout")
     metrics = holdout_metrics(test, keys=["model"])
-    if job.tune and "boosted" in candidates and result.analysis["n_rows"] >= MIN_TUNING_ROWS:
+    if job.tune and "boosted" in candidates and result.analysis["n_rows"] >= job.min_tuning_rows:
         params, error = tune_boosted(prepared, boosted_config(job, frequency, features), strategy=job.strategy)
         default = metrics.where(F.col("model") == "boosted").first()["rmse"]
         if error < default:
@@ -253,7 +300,6 @@ def run_workflow(
     )
     result.diagnostics = diagnose_forecast(source, test, result.forecast, job, result.best_model, as_of)
     done("forecast", f"{job.horizon} steps per series")
-    return result
 
 
 def forecast(
@@ -277,7 +323,7 @@ def forecast(
     model = job.model
     if model == "auto":
         model = "boosted" if longest[0] >= 100 else "naive" if longest[0] < 30 else "linear"
-    features = configure_features(frequency, job.gap, longest[2], longest[1])
+    features = configure_features(frequency, job.gap, longest[2], longest[1], job.ewm_rows)
     test = holdout_of(panel, job, list(dict.fromkeys(["naive", model])), frequency, features, holidays)
     made, _ = forecast_with(panel, job, model, frequency, features, holidays)
     return made, diagnose_forecast(panel, materialize(test, "holdout"), made, job, model, as_of)
