@@ -122,7 +122,17 @@ def _number(text: str | None) -> int | None:
     return int(text) if text and re.fullmatch(r"-?\d{1,18}", text) else None
 
 
-_ARC_ROWS = "record_id string, row_id long, url string, date string, payload_digest string, payload_bytes long, head binary, payload binary"
+def arc_records(archive: str, content: bytes) -> Iterator[tuple]:
+    """(record id, row id, url, date, payload digest, payload bytes, head, payload) of each record of one archive."""
+    for at, fields, block in parse_arc(content):
+        head, payload = split_http(block)
+        d = fields.get("archive-date", "")
+        date = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z" if re.fullmatch(r"\d{14}", d) else "1970-01-01T00:00:00Z"
+        name = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{archive}#{at}')}>"
+        yield name, _number(http_field(head, ID_HEADER)), fields.get("url"), date, payload_digest(payload), len(payload), head, payload
+
+
+_ARC_ROWS = "archive string, record_id string, row_id long, url string, date string, payload_digest string, payload_bytes long, head binary, payload binary"
 
 
 def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -135,12 +145,9 @@ def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                base, rows = name.rsplit("/", 1)[-1], []
-                for at, fields, block in parse_arc(_unzipped(content.as_py())):
-                    head, payload = split_http(block)
-                    d = fields.get("archive-date", "")
-                    date = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z" if re.fullmatch(r"\d{14}", d) else "1970-01-01T00:00:00Z"
-                    rows.append((f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{base}#{at}')}>", _number(http_field(head, ID_HEADER)), fields.get("url"), date, payload_digest(payload), len(payload), head if payloads else None, payload if payloads else None))
+                rows = []
+                for record in arc_records(name, _unzipped(content.as_py())):
+                    rows.append((name, *record[:6], *(record[6:] if payloads else (None, None))))
                     if len(rows) == 256:
                         yield _table(rows, _ARC_TYPES)
                         rows = []
@@ -149,7 +156,7 @@ def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, _ARC_ROWS)
 
 
-_ARC_TYPES = pa.schema([("record_id", pa.string()), ("row_id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("head", pa.binary()), ("payload", pa.binary())])
+_ARC_TYPES = pa.schema([("archive", pa.string()), ("record_id", pa.string()), ("row_id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("head", pa.binary()), ("payload", pa.binary())])
 
 
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -158,17 +165,18 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def decide_types(records: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(record_id, record_type, refers_to, refers_to_row): of equal payloads of at least ``min_bytes`` the record of the largest row id is the response, the others revisit it.
+    """(archive, record_id, record_type, refers_to, refers_to_row): of equal payloads of at least ``min_bytes`` the record of the largest row id is the response, the others revisit it.
 
     A payload that a third of all records share is combined before the shuffle,
     and its records are spread over tasks when they learn the winner.
     """
-    narrow = records.select("record_id", "row_id", "payload_digest", "payload_bytes")
+    narrow = records.select("archive", "record_id", "row_id", "payload_digest", "payload_bytes")
     rank = F.struct(F.col("row_id").isNotNull().alias("known"), "row_id", "record_id")
     best = narrow.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.max(rank).alias("best"))
     joined = hot_join(narrow, best, "payload_digest")
     revisit = (F.col("payload_bytes") >= min_bytes) & (F.col("best.record_id") != F.col("record_id"))
     return joined.select(
+        "archive",
         "record_id",
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.when(revisit, F.col("best.record_id")).alias("refers_to"),
@@ -176,27 +184,44 @@ def decide_types(records: DataFrame, min_bytes: int = 0) -> DataFrame:
     )
 
 
-def write_warc(records: DataFrame, types: DataFrame, path: str) -> None:
-    """Write the records with their types; a revisit keeps the HTTP head and leaves the payload out."""
-    all_ = records.join(types, "record_id")
-    new, revisit = F.lit("\r\n"), F.col("record_type") == "revisit"
-    block = F.concat(F.col("head"), F.lit("\r\n\r\n").cast("binary"), F.when(revisit, F.lit("").cast("binary")).otherwise(F.col("payload")))
+def warc_record(record: tuple, kind: str, refers_to: str | None, refers_to_row: int | None) -> bytes:
+    """One record without its end mark; a revisit keeps the HTTP head and leaves the payload out."""
+    name, _, url, date, digest, _, head, payload = record
+    revisit = kind == "revisit"
+    block = head + b"\r\n\r\n" + (b"" if revisit else payload) if head else (b"" if revisit else payload)
     lines = [
-        F.lit("WARC/1.1"),
-        F.concat(F.lit("WARC-Type: "), "record_type"),
-        F.concat(F.lit("WARC-Record-ID: "), "record_id"),
-        F.concat(F.lit("WARC-Date: "), "date"),
-        F.concat(F.lit("WARC-Target-URI: "), F.coalesce("url", F.lit(""))),
-        F.concat(F.lit("WARC-Payload-Digest: sha1:"), "payload_digest"),
-        F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-        F.concat(F.lit("WARC-Refers-To: "), "refers_to"),
-        F.concat(F.lit("X-Refers-To-Row: "), F.col("refers_to_row").cast("string")),
-        F.lit("Content-Type: application/http;msgtype=response"),
-        F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
+        "WARC/1.1",
+        f"WARC-Type: {kind}",
+        f"WARC-Record-ID: {name}",
+        f"WARC-Date: {date}",
+        f"WARC-Target-URI: {url or ''}",
+        f"WARC-Payload-Digest: sha1:{digest}",
+        *(["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {refers_to}"] if revisit else []),
+        *([f"X-Refers-To-Row: {refers_to_row}"] if revisit and refers_to_row is not None else []),
+        f"Content-Type: {'application/http;msgtype=response' if head else 'application/octet-stream'}",
+        f"Content-Length: {len(block)}",
     ]
-    record = F.concat(F.concat_ws("\r\n", *lines).cast("binary"), F.lit("\r\n\r\n").cast("binary"), block)
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block
+
+
+def write_warc(spark: SparkSession, arc_path: str, types: DataFrame, path: str) -> None:
+    """Rewrite each ARC file with the types of its records. The files meet their types zipped, and one file is in a task at a time."""
+    files = spark.read.format("binaryFile").load(arc_path).select(F.col("path").alias("archive"), "content")
+    schema = pa.schema([("record", pa.binary())])
+
+    def rewrite(archive: pa.Table, said: pa.Table) -> pa.Table:
+        pa.set_memory_pool(pa.system_memory_pool())
+        known = {r["record_id"]: r for r in said.to_pylist()}
+        made = []
+        for name, content in zip(archive["archive"].to_pylist(), archive["content"], strict=True):
+            for record in arc_records(name, _unzipped(content.as_py())):
+                r = known[record[0]]
+                made.append(warc_record(record, r["record_type"], r["refers_to"], r["refers_to_row"]))
+        return pa.table([pa.array(made, pa.binary())], schema=schema)
+
+    records = files.groupBy("archive").cogroup(types.groupBy("archive")).applyInArrow(rewrite, "record binary")
     # the separator of the text writer is the end mark of a record
-    all_.select(record.cast("string").alias("value")).write.options(**_WRITE, lineSep="\r\n\r\n").text(path)
+    records.select(F.col("record").cast("string").alias("value")).write.options(**_WRITE, lineSep="\r\n\r\n").text(path)
 
 
 def parse_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -240,7 +265,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
 def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = 0) -> None:
     """All ARC files below ``arc_path`` to WARC files below ``warc_path``."""
     types = decide_types(read_arc(spark, arc_path, payloads=False), min_bytes)
-    write_warc(read_arc(spark, arc_path), types, warc_path)
+    write_warc(spark, arc_path, types, warc_path)
 
 
 def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", version: int = 1, min_bytes: int = 0) -> DataFrame:
