@@ -82,4 +82,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
 }
 
-SQL: dict[str, str] = {}
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+
+SQL: dict[str, str] = {
+    "op4_warc": """WITH d AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT html, max(page_id) AS last FROM d GROUP BY 1)
+SELECT page_id, CAST(strlen(d.html) AS BIGINT) AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, 1 + 5 * (k // 4), 5) AS INTEGER) >> CAST(15 - 5 * (k % 4) AS INTEGER)) & 31), 1) for k in range(0, 32)], '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to
+FROM d JOIN m USING (html)""",
+    "op7_ngram_join": f"""WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORDS}) AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+        ELSE list_distinct([array_to_string(ws[i : i + 3], ' ') for i in range(1, len(ws) - 2)]) END AS sh FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 185 * count(*) >= 85 * (a.n + b.n)),
+l AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+r(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, min(r.b) AS component_id FROM s JOIN r ON s.doc_id = r.a GROUP BY 1, 2""",
+    "op8_suffix_dedup": """WITH w AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+u AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(h, '(..)', '\\1 ', 'g'), ' ')[: len(h) // 2]) AS b, unnest(range(0, len(h) // 2)) AS p FROM w),
+k AS (SELECT doc_id, p, string_agg(b, '') OVER f AS x, count(*) OVER f AS n FROM u
+      WINDOW f AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+f AS (SELECT x, min(doc_id) AS d FROM k WHERE n = 50 GROUP BY x),
+m AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS p FROM k JOIN f USING (x) WHERE n = 50 AND doc_id > d),
+g AS (SELECT doc_id, count(*) AS gone, count(*) FILTER (WHERE p - before IS DISTINCT FROM 1) AS spans
+      FROM (SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM m) GROUP BY 1),
+y AS (SELECT u.doc_id, string_agg(b, '' ORDER BY u.p) AS kept FROM u LEFT JOIN m ON u.doc_id = m.doc_id AND u.p = m.p WHERE m.p IS NULL GROUP BY 1)
+SELECT w.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM w LEFT JOIN g USING (doc_id) LEFT JOIN y USING (doc_id)""",
+    "op9_substring_dedup": f"""WITH
+w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS ws FROM documents),
+u AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM w),
+k AS (SELECT doc_id, j, string_agg(word, ' ') OVER f AS x, count(*) OVER f AS n FROM u
+      WINDOW f AS (PARTITION BY doc_id ORDER BY j ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+c AS (SELECT x FROM k WHERE n = 35 GROUP BY x HAVING count(*) > 1),
+m AS (SELECT DISTINCT doc_id, unnest(range(j, j + 35)) AS j FROM k JOIN c USING (x) WHERE n = 35),
+g AS (SELECT u.doc_id, string_agg(word, ' ' ORDER BY u.j) FILTER (WHERE m.j IS NULL) AS kept, count(m.j) AS gone FROM u LEFT JOIN m ON u.doc_id = m.doc_id AND u.j = m.j GROUP BY 1)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN g USING (doc_id)""",
+}
