@@ -98,12 +98,17 @@ def _fill_statistic(
     return out.withColumns(filled).drop(*stat_names)
 
 
+# Periods that one array holds while a grid is made.
+GRID_BLOCK = 10_000
+
+
 def fix_frequency(
     df: DataFrame,
     datetime_column: str,
     frequency: str,
     keys: Sequence[str] = (),
     method: str = "resample_ffill",
+    strategy: str = "banded",
 ) -> DataFrame:
     """Put each series on its full time grid and fill the new rows.
 
@@ -118,10 +123,17 @@ def fix_frequency(
         periods = F.floor(F.timestamp_diff("SECOND", F.col("__lo"), F.col("__hi")) / freq.seconds)
     else:
         periods = F.floor(F.timestamp_diff("MONTH", F.col("__lo"), F.col("__hi")) / freq.months)
-    steps = F.explode(F.sequence(F.lit(0).cast("long"), periods.cast("long")))
+    # Two stages keep every array short: a series of many periods becomes blocks, spread
+    # over the cluster, and each block its periods.
+    last = periods.cast("long")
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("__last") / GRID_BLOCK)))
+    inside = F.explode(F.sequence(F.col("__block") * GRID_BLOCK, F.least(F.col("__last"), (F.col("__block") + 1) * GRID_BLOCK - 1)))
     grid = (
         spans.where(F.col("__lo").isNotNull())
-        .select(*[col(k) for k in keys], "__lo", steps.alias("__step"))
+        .select(*[col(k) for k in keys], "__lo", last.alias("__last"))
+        .select(*[col(k) for k in keys], "__lo", "__last", blocks.alias("__block"))
+        .repartition(*[col(k) for k in keys], F.col("__block"))
+        .select(*[col(k) for k in keys], "__lo", inside.alias("__step"))
         .select(*[col(k) for k in keys], shift_periods(F.col("__lo"), F.col("__step"), freq).alias("__ts"))
     )
     values = [c for c in df.columns if c not in (datetime_column, *keys)]
@@ -136,7 +148,6 @@ def fix_frequency(
     gridded = grid.join(observed, on, "left").select(
         *[col(k) for k in keys], F.col("__ts").alias(datetime_column), *[col(v) for v in values]
     )
-    # One row per key and period: bounded by the calendar.
-    return fill_missing(gridded, values, fill, datetime_column, keys, strategy="keyed").select(
+    return fill_missing(gridded, values, fill, datetime_column, keys, strategy=strategy).select(
         *[col(c) for c in df.columns]
     )

@@ -50,7 +50,7 @@ def apply_preparation(
                 raise ValueError("fix_frequency needs a frequency")
             if not deduplicated:
                 df = agg.dedup_mean(df, datetime_column, keys)
-            df = fill.fix_frequency(df, datetime_column, frequency, keys, step.choice)
+            df = fill.fix_frequency(df, datetime_column, frequency, keys, step.choice, strategy)
         else:
             raise ValueError(f"unknown preparation step {step.id!r}")
     return df

@@ -5,8 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.columns import col
 from tidemark.functions.frequency import parse_frequency
@@ -29,8 +32,9 @@ MIN_SEASONAL_ROWS = 14
 # Up to this many lags get a column each; more are read from one array per row.
 MAX_LAG_COLUMNS = 16
 
-# Points compared by the trend statistic, its threshold and minimum length.
-TREND_POINTS = 1000
+# Rows of a run of the trend statistic, held by one task.
+CELL_ROWS = 1 << 20
+# Threshold and minimum length of the trend statistic.
 TREND_THRESHOLD = 0.3
 MIN_TREND_ROWS = 10
 
@@ -217,38 +221,86 @@ def seasonality(df: DataFrame, target: str, order_by: Order, frequency: str | No
     return both.select(*by, period.isNotNull().alias("has_seasonality"), period.alias("seasonality_period"))
 
 
-def trend_concordance(df: DataFrame, target: str, order_by: Order, keys: Sequence[str] = (), strategy: str = "banded", bands: int | None = None) -> DataFrame:
-    """Kendall-type sign agreement over at most 1000 evenly spaced points of each series.
-
-    The 1000 points are the definition of the statistic, so the array that holds them is
-    bounded for every series; the pairs stay inside one expression and are never rows.
+def sign_sum(values: np.ndarray) -> int:
+    """Sum of sign(later - earlier) over all pairs of an array, by merging sorted halves."""
+    n, size = len(values), 64
+    padded = np.concatenate([values, np.full(-n % size, np.nan)]).reshape(-1, size)
+    total = 0
+    for block in padded:
+        block = block[~np.isnan(block)]
+        total += int(np.sign(np.triu(block[None, :] - block[:, None], 1)).sum())
+    merged = [np.sort(b[~np.isnan(b)]) for b in padded]
+    while len(merged) > 1:
+        after = []
+        for left, right in zip(merged[::2], merged[1::2]):
+            below, above = np.searchsorted(left, right, "left"), np.searchsorted(left, right, "right")
+            total += int(below.sum()) - int((len(left) - above).sum())
+            after.append(np.sort(np.concatenate([left, right]), kind="stable"))
+        merged = after + merged[len(after) * 2 :]
+    return total
+
+
+def trend_concordance(df: DataFrame, target: str, order_by: Order, keys: Sequence[str] = (), strategy: str = "banded", bands: int | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Kendall-type sign agreement over all pairs of values of each series.
+
+    The rows are cut into runs of ``cell_rows`` by time and into runs by value. Pairs inside a
+    time run are counted in its task. Pairs of different time and value runs follow from the
+    row counts of the cells that the runs form. Pairs of different time runs that share a
+    value run are those of the value run less those of its cells. A value that many rows have
+    is a value run of its own, whose pairs sum to zero, so no task holds more than a run.
     """
     by = key_columns(keys)
-    values = df.where(col(target).isNotNull())
-    indexed = sequence(values, order_by, keys, strategy, bands).with_index("__idx", "__total")
-    last, i, p = F.col("__total") - 1, F.col("__i"), F.col("__idx")
-    spaced = indexed.withColumn("__i", F.ceil(p * (TREND_POINTS - 1) / F.nullif(last, F.lit(0))))
-    chosen = spaced.where(
-        (F.col("__total") <= TREND_POINTS) | (F.floor(i * last / (TREND_POINTS - 1)) == p)
-    )
-    packed = chosen.groupBy(*by).agg(
-        F.max("__total").alias("n"),
-        F.array_sort(F.collect_list(F.struct(p.alias("i"), col(target).cast("double").alias("v")))).alias("__points"),
-    ).withColumn("__v", F.transform("__points", lambda s: s["v"])).withColumn("__m", F.size("__v"))
-    positions = F.when(F.col("__m") > 1, F.sequence(F.lit(1), F.col("__m") - 1)).otherwise(F.array().cast("array<int>"))
-    agreement = F.aggregate(
-        positions,
-        F.lit(0.0),
-        lambda total, at: total
-        + F.aggregate(
-            F.slice("__v", at + 1, F.col("__m")),
-            F.lit(0.0),
-            lambda inner, later: inner + F.signum(later - F.element_at("__v", at)),
-        ),
+    number = col(target).cast("double")
+    values = df.where(number.isNotNull() & ~F.isnan(number))
+    placed = sequence(values, order_by, keys, strategy, bands).with_index("__idx", "__n").select(*by, "__idx", "__n", number.alias("__v"))
+    distinct = placed.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__same"))
+    ranked = sequence(distinct, "__v", keys, strategy, bands).running_total("__same", "__cum")
+    first = F.floor((F.col("__cum") - F.col("__same")) / cell_rows) * 2
+    runs = ranked.select(*by, "__v", (first + (F.col("__same") > cell_rows).cast("long")).alias("__value_run"))
+    rows = attach(placed.withColumn("__time_run", F.floor(F.col("__idx") / cell_rows)), runs, [*keys, "__v"], ["__value_run"])
+    fields = [T.StructField(f"k{i}", df.schema[k].dataType) for i, k in enumerate(keys)]
+    schema = T.StructType([*fields, T.StructField("s", T.DoubleType())])
+    narrow = rows.select(*[col(k).alias(f"k{i}") for i, k in enumerate(keys)], "__idx", "__v", "__time_run", "__value_run")
+    names = [f"k{i}" for i in range(len(keys))]
+
+    def summed(total: Callable[[pd.DataFrame], float]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({**{k: pdf[k].iloc[:1].tolist() for k in names}, "s": [float(total(pdf))]})
+
+        return run
+
+    def in_time_run(pdf: pd.DataFrame) -> float:
+        return sign_sum(pdf.sort_values("__idx")["__v"].to_numpy())
+
+    def in_value_run(pdf: pd.DataFrame) -> float:
+        ordered = pdf.sort_values("__idx")
+        cells = sum(sign_sum(part.to_numpy()) for _, part in ordered.groupby("__time_run", sort=False)["__v"])
+        return sign_sum(ordered["__v"].to_numpy()) - cells
+
+    def between_cells(pdf: pd.DataFrame) -> float:
+        _, place = np.unique(pdf["__value_run"], return_inverse=True)
+        seen, total = np.zeros(place.max() + 1), 0.0
+        for _, part in pdf.assign(place=place).sort_values("__time_run").groupby("__time_run", sort=True):
+            below = np.concatenate([[0.0], np.cumsum(seen)])
+            at, n = part["place"].to_numpy(), part["n"].to_numpy(float)
+            total += float((n * (below[at] - (below[-1] - below[at + 1]))).sum())
+            np.add.at(seen, at, n)
+        return total
+
+    counts = narrow.groupBy(*names, "__time_run", "__value_run").agg(F.count(F.lit(1)).alias("n"))
+    even = narrow.where(F.col("__value_run") % 2 == 0)
+    parts = (
+        narrow.groupBy(*names, "__time_run").applyInPandas(summed(in_time_run), schema)
+        .unionByName(even.groupBy(*names, "__value_run").applyInPandas(summed(in_value_run), schema))
+        .unionByName((counts.groupBy(*names) if names else counts.groupBy(F.lit(1))).applyInPandas(summed(between_cells), schema))
     )
-    pairs = F.nullif(F.col("__m") * (F.col("__m") - 1) / 2.0, F.lit(0.0))
+    agreed = parts.groupBy(*names).agg(F.sum("s").alias("__s"))
+    renamed = agreed.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], "__s")
+    sizes = placed.groupBy(*by).agg(F.max("__n").alias("n"))
+    both = attach(sizes, renamed, keys, ["__s"])
+    pairs = F.nullif(F.col("n") * (F.col("n").cast("double") - 1) / 2.0, F.lit(0.0))
     statistic = F.when(F.col("n") >= MIN_TREND_ROWS, F.col("__s") / pairs)
-    return packed.withColumn("__s", agreement).select(
+    return both.select(
         *by, "n", statistic.alias("concordance"),
         F.coalesce(F.abs(statistic) > TREND_THRESHOLD, F.lit(False)).alias("has_trend"),
     )

@@ -93,6 +93,14 @@ def _(spark, sf):
     return fixed.select("series", "ds", rounded("value"))
 
 
+@query("fil_09_fix_frequency_hourly", """WITH h AS (SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts, sum(value) AS value FROM events WHERE hour(ts) % 3 <> 1 GROUP BY 1),
+s AS (SELECT min(ts) AS lo, max(ts) AS hi FROM h), g AS (SELECT unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS ts FROM s)
+SELECT g.ts, round(last_value(h.value IGNORE NULLS) OVER (ORDER BY g.ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS value FROM g LEFT JOIN h USING (ts)""")
+def _(spark, sf):
+    hours = resample(table(spark, sf, "events").where(F.hour("ts") % 3 != 1), "ts", "H", "sum", "value")
+    return fix_frequency(hours, "ts", "H").select("ts", rounded("value"))
+
+
 # -- windows ------------------------------------------------------------------------------------
 
 
@@ -220,9 +228,7 @@ def _(spark, sf):
 
 @query("win_12_trend_concordance", f"""WITH {ORDER_PANEL}, x AS (
   SELECT series, value, row_number() OVER (PARTITION BY series ORDER BY ds) - 1 AS i, count(*) OVER (PARTITION BY series) AS n FROM order_panel),
-pts AS (SELECT DISTINCT series, n, CASE WHEN n <= 1000 THEN j ELSE (j * (n - 1)) // 999 END AS i
-        FROM (SELECT DISTINCT series, n FROM x), range(0, 1000) r(j) WHERE j < n),
-c AS (SELECT x.series, x.i, x.value, x.n FROM x JOIN pts USING (series, i))
+c AS (SELECT series, i, value, n FROM x)
 SELECT a.series, min(a.n) AS n, round(avg(sign(b.value - a.value)), 6) AS concordance, abs(avg(sign(b.value - a.value))) > 0.3 AS has_trend
 FROM c a JOIN c b ON a.series = b.series AND a.i < b.i GROUP BY 1""")
 def _(spark, sf):
@@ -445,9 +451,7 @@ c AS (SELECT series,
         min(CASE WHEN acf > 0.3 AND lag IN (7, 14, 30, 365) AND lag < n THEN lag END) AS candidate,
         min(CASE WHEN acf > 0.3 AND lag < least(n // 2, 365) THEN lag END) AS scanned FROM s GROUP BY 1),
 season AS (SELECT series, CAST(coalesce(candidate, scanned) AS INTEGER) AS period FROM c),
-pts AS (SELECT DISTINCT series, n, CASE WHEN n <= 1000 THEN j ELSE (j * (n - 1)) // 999 END AS i
-        FROM (SELECT DISTINCT series, n FROM x), range(0, 1000) r(j) WHERE j < n),
-spaced AS (SELECT x.series, x.i, x.x AS v FROM x JOIN pts ON x.series = pts.series AND x.i - 1 = pts.i),
+spaced AS (SELECT series, i, x AS v FROM x),
 trend AS (SELECT a.series, abs(avg(sign(b.v - a.v))) > 0.3 AS has_trend FROM spaced a JOIN spaced b ON a.series = b.series AND a.i < b.i GROUP BY 1),
 gap AS (SELECT series, quantile_cont(d, 0.5) AS med FROM (
         SELECT series, epoch(ds - lag(ds) OVER (PARTITION BY series ORDER BY ds)) AS d FROM order_panel) GROUP BY 1),

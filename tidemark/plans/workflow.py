@@ -315,7 +315,7 @@ def forecast(
         df.select(*[col(k) for k in keys], col(job.datetime_column), col(job.target)), job.target, job.datetime_column
     )
     panel = materialize(
-        fix_frequency(dedup_mean(values, job.datetime_column, keys), job.datetime_column, frequency, keys), "panel"
+        fix_frequency(dedup_mean(values, job.datetime_column, keys), job.datetime_column, frequency, keys, strategy=job.strategy), "panel"
     )
     longest = panel.groupBy(*[col(k) for k in keys]).count().agg(F.max("count"), F.min("count"), F.sum("count")).first()
     if not longest[0]:
