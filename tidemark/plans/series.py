@@ -518,7 +518,7 @@ def _(spark, sf):
 @query("prf_10_apply_preparation", f"""WITH {GAPPY},
 p AS (SELECT event_type, CAST(date_trunc('day', ts) AS TIMESTAMP) AS ts, avg(value) AS value FROM gappy WHERE value IS NOT NULL GROUP BY 1, 2),
 b AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, count(value) AS n FROM p GROUP BY 1)
-SELECT event_type, ts, round(CASE WHEN n > 10 AND 4 * (q3 - q1) >= 0.01 THEN least(greatest(value, q1 - 1.5 * (q3 - q1)), q3 + 1.5 * (q3 - q1)) ELSE value END, 3) AS value
+SELECT event_type, ts, round(CASE WHEN n > 10 AND 4 * (q3 - q1) >= 0.01 THEN least(greatest(value, q1 - 1.5 * (q3 - q1)), q3 + 1.5 * (q3 - q1)) ELSE value END, 7) AS value
 FROM p JOIN b USING (event_type)""")
 def _(spark, sf):
     days = gappy(spark, sf).select("event_type", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts"), "value")
@@ -530,7 +530,7 @@ def _(spark, sf):
     ]
     made = apply_preparation(days, steps, "ts", "value", "D", ["event_type"])
     # The offset keeps means that end on an exact half from being rounded either way.
-    return made.select("event_type", "ts", rounded(F.col("value"), 3, "value"))
+    return made.select("event_type", "ts", rounded(F.col("value"), 7, "value"))
 
 
 @query("agg_02_resample_total_kept", """

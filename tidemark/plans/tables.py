@@ -291,15 +291,19 @@ def _(spark, sf):
     return made.select("l_shipdate", "l_returnflag", rounded("l_quantity"), rounded("l_extendedprice", 2))
 
 
-@query("agg_03_dedup_mean", """
-SELECT o_orderdate, round(avg(o_orderkey), 3) AS o_orderkey, round(avg(o_custkey), 3) AS o_custkey,
-       round(avg(o_totalprice), 3) AS o_totalprice
+# The mean of decimals with two digits, rounded half up at six digits in whole numbers.
+DECIMAL_MEAN = "CAST((20000 * sum(CAST(round({c} * 100) AS HUGEINT)) + count({c})) // (2 * count({c})) AS DOUBLE) / 1000000 AS {c}"
+
+
+@query("agg_03_dedup_mean", f"""
+SELECT o_orderdate, {DECIMAL_MEAN.format(c="o_orderkey")}, {DECIMAL_MEAN.format(c="o_custkey")}, {DECIMAL_MEAN.format(c="o_totalprice")}
 FROM orders GROUP BY o_orderdate""")
 def _(spark, sf):
-    made = agg.dedup_mean(table(spark, sf, "orders"), "o_orderdate")
-    # The offset keeps means that end on an exact half from being rounded either way.
+    # Decimals sum without rounding, so both sides agree on every digit.
     names = ("o_orderkey", "o_custkey", "o_totalprice")
-    return made.select("o_orderdate", *[rounded(F.col(c), 3, c) for c in names])
+    orders = table(spark, sf, "orders")
+    made = agg.dedup_mean(orders.withColumns({c: F.col(c).cast("decimal(18,2)") for c in names}), "o_orderdate")
+    return made.select("o_orderdate", *[F.col(c).cast("double").alias(c) for c in names])
 
 
 @query("agg_04_panel_mean", """
