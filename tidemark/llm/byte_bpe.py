@@ -17,6 +17,8 @@ from tidemark.llm.common import chosen, text_or_empty
 
 #: Characters of text that are encoded at a time.
 ENCODE_CHARS = 1 << 18
+#: Words whose tokens are remembered; a small cache stays in the processor's own.
+CACHED_WORDS = 2000
 
 
 def byte_characters() -> list[str]:
@@ -49,7 +51,7 @@ def build_tokenizer(raw: bytes, pattern: str):
         for i in range(1, len(token))
         if token[:i] in ranks and token[i:] in ranks
     ]
-    made = Tokenizer(models.BPE(vocab={spelled[t]: r for t, r in ranks.items()}, merges=merges))
+    made = Tokenizer(models.BPE(vocab={spelled[t]: r for t, r in ranks.items()}, merges=merges, cache_capacity=CACHED_WORDS))
     made.pre_tokenizer = pre_tokenizers.Sequence(
         [pre_tokenizers.Split(Regex(pattern), behavior="isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
     )
