@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chosen, hot_join, smallest_labels, text_or_empty
+from tidemark.llm.common import chosen, hot_join, shuffle_partitions, smallest_labels, text_or_empty
 from tidemark.llm.kernels import LOWER, M2, SLICE, U, buffer_of, scramble, shingles, words
 from tidemark.session import materialize
 
@@ -20,6 +20,8 @@ WIDTH, PERCENT = 4, 85
 FREQUENT = 100_000
 #: Bits of the filter that tells which sets have to be read again; more sets only make it less sharp.
 FILTER_BITS = 1 << 22
+#: Rounds in which a set is compared with one other of its tile before all of different classes are.
+TURNS = 3
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -188,17 +190,79 @@ def _verified(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> Da
     return both.select("a", "b", "e_a", "e_b").mapInArrow(check, "a long, b long")
 
 
+def _open_elements(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """The entries of elements that sets of more than one class share, with the class of each set."""
+    labelled = shared.join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
+    return materialize(labelled.join(mixed, "key", "left_semi").dropDuplicates(["key", "digest"]), "open-elements")
+
+
+def _halves(words_: np.ndarray) -> np.ndarray:
+    half = words_.shape[1] // 2
+    return words_[:, :half] | words_[:, half:]
+
+
+def _tiles(open_: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different classes that share an element, whose sizes and places allow the
+    similarity and whose bitmaps leave it possible. Nothing else leaves a task."""
+    parts = 4 * shuffle_partitions(open_.sparkSession)
+    rows = open_.join(sigs.select("digest", "sig"), "digest").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
+
+    def run(table: pa.Table) -> pa.Table:
+        key, n, digest, at, label = (table[c].to_numpy().astype(np.int64) for c in ("key", "n", "digest", "at", "label"))
+        order = np.lexsort((digest, n, key))
+        key, n, digest, at, label = (x[order] for x in (key, n, digest, at, label))
+        marks = [table["sig"][int(i)].as_buffer() for i in order]
+        edges = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+        left, right = [], []
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if (label[lo:hi] == label[lo]).all():
+                continue
+            size = n[lo:hi]
+            width = np.array([len(m) // 8 for m in marks[lo:hi]])
+            bits, half = {}, {}
+            for w in np.unique(width):
+                own = np.stack([np.frombuffer(m, U) for m, x in zip(marks[lo:hi], width, strict=True) if x == w])
+                bits[w], half[w] = own, _halves(own.view(np.uint8)).view(U) if w > 1 else own
+            place = np.zeros(hi - lo, np.int64)
+            for w in bits:
+                place[width == w] = np.arange((width == w).sum())
+            last = np.searchsorted(size, size * 100 // percent, side="right")
+            for i in range(hi - lo - 1):
+                j = np.arange(i + 1, last[i])
+                j = j[label[lo + j] != label[lo + i]]
+                if len(j):
+                    rest = np.minimum(size[i] - at[lo + i], size[j] - at[lo + j])
+                    most = np.minimum(at[lo + i], at[lo + j]) + rest
+                    j = j[(100 + percent) * most >= percent * (size[i] + size[j])]
+                for w in np.unique(width[j]):
+                    k = j[width[j] == w]
+                    x = bits[width[i]][place[i]]
+                    y = bits[w][place[k]] if w == width[i] else half[w][place[k]]
+                    if y.shape[1] == len(x):
+                        only_x, only_y = np.bitwise_count(x & ~y).sum(axis=1), np.bitwise_count(y & ~x).sum(axis=1)
+                        bound = np.minimum(size[i] - only_x.astype(np.int64), size[k] - only_y.astype(np.int64))
+                        k = k[(100 + percent) * bound >= percent * (size[i] + size[k])]
+                    left.append(np.full(len(k), digest[lo + i]))
+                    right.append(digest[lo + k])
+        none = [np.zeros(0, np.int64)]
+        pairs = np.unique(np.stack([np.concatenate(none + left), np.concatenate(none + right)], axis=1), axis=0)
+        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return rows.groupBy("part").applyInArrow(run, "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id): documents linked by the Jaccard similarity of their ``width``-word shingle sets.
 
     Words are split at ASCII white space, A-Z lower-cased. Equal sets are one
     node. Two linked sets share one of their first elements in a global order
     (frequent elements last); a tile is such an element and a band of sizes
-    within the similarity of each other. In a first round every set of a tile
-    is compared with the tile's smallest, which settles groups of near copies
-    by one link each; in a second, sets of a shared element that are in
-    different classes are compared, also across neighbouring bands. Each
-    comparison first bounds the overlap by the bit counts of hashed bitmaps and
+    within the similarity of each other. In the first rounds every set of a tile
+    is compared with one other of the tile, its smallest and then one drawn by a
+    hash, which settles groups of near copies by a few links each; in the last,
+    all sets of a shared element that are in different classes are compared,
+    also across neighbouring bands. Each comparison first bounds the overlap by the bit counts of hashed bitmaps and
     then intersects the exact sorted arrays. A pair is left out only where both
     are already connected, so components are those of all links.
 
@@ -223,23 +287,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     votes = led.where((F.col("digest") != F.col("leader")) & (100 * F.col("leader_n") >= percent * F.col("n"))).groupBy("digest", "leader").count()
     stars = votes.groupBy("digest").agg(F.max_by("leader", F.struct("count", "leader")).alias("leader"))
     first = materialize(_verified(materialize(_bounded(stars.select(F.col("leader").alias("a"), F.col("digest").alias("b")), sigs, percent), "pairs"), rows, width, percent), "links")
-    labels = smallest_labels(first)
-    labelled = shared.join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
-    open_ = materialize(labelled.join(mixed, "key", "left_semi").dropDuplicates(["key", "digest"]), "open-elements")
-    x, y = open_.alias("x"), open_.alias("y")
-    smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.digest") < F.col("y.digest")))
-    at_most = F.least("x.at", "y.at") + 1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) - 1
-    near = (
-        (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.label") != F.col("y.label"))
-        & smaller
-        & (100 * F.col("x.n") >= percent * F.col("y.n"))
-        & ((100 + percent) * at_most >= percent * (F.col("x.n") + F.col("y.n")))
-    )
-    across = materialize(x.join(y, near).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct(), "pairs")
-    second = _verified(materialize(_bounded(across, sigs, percent), "pairs"), rows, width, percent)
-    classes = smallest_labels(first.union(second))
+    links, labels = first, smallest_labels(first)
+    for turn in range(1, TURNS):
+        open_ = _open_elements(shared, labels)
+        drawn = Window.partitionBy("key", "band").orderBy(F.xxhash64("digest", F.lit(turn)), "digest")
+        other = open_.withColumn("band", band).select("digest", "n", "label", *[F.first(c).over(drawn).alias(f"leader_{c}") for c in ("digest", "n", "label")])
+        fits = (F.col("label") != F.col("leader_label")) & (100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n"))
+        counts = other.where(fits).groupBy("digest", "leader_digest").count()
+        drawn_pairs = counts.groupBy("digest").agg(F.max_by("leader_digest", F.struct("count", "leader_digest")).alias("a")).select("a", F.col("digest").alias("b"))
+        more = materialize(_verified(materialize(_bounded(drawn_pairs, sigs, percent), "pairs"), rows, width, percent), "links")
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        labels = smallest_labels(links)
+    across = materialize(_tiles(_open_elements(shared, labels), sigs, percent).distinct(), "pairs")
+    second = _verified(across, rows, width, percent)
+    classes = smallest_labels(links.union(second))
     ids = sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"))
     member = ids.join(classes.select(F.col("node").alias("digest"), "label"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     least = member.groupBy("label").agg(F.min("id").alias("component"))
