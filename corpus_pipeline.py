@@ -17,6 +17,8 @@ from tidemark.llm.suffix_dedup import remove_repeats
 from tidemark.session import materialize
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+#: Words of a shingle and the least similarity in hundredths of the stage's near copies; op7 has its own.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near copies; equal rows of one id are one document."""
-    groups = jaccard_components(docs)
+    groups = jaccard_components(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     again = Window.partitionBy("doc_id", "_text").orderBy("doc_id")
     kept = docs.join(gone, "doc_id", "left_anti").withColumn("_text", F.xxhash64("text"))

@@ -387,5 +387,15 @@ def test_pipeline_stages(spark, tmp_path):
         assert stage(spark, docs.limit(0), str(tmp_path)).columns == docs.columns, name
 
 
+def test_near_copies_of_the_stage(spark, tmp_path):
+    import corpus_pipeline
+
+    a, b, new = ([f"{k}{i}" for i in range(200)] for k in "abn")
+    # 196 shingles of five words: 196 / 245 is 0.80, 196 / 246 just below
+    texts = [a, a + new[:49], b, b + new[100:150]]
+    kept = corpus_pipeline.keep_one_of_each_group(spark, documents(spark, [" ".join(t) for t in texts]), str(tmp_path))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3]
+
+
 def test_schema_is_the_documents_schema():
     assert SCHEMA.startswith("doc_id long, text string")
