@@ -136,6 +136,25 @@ def test_fingerprint_sees_order_and_edits():
     assert likeness(fingerprint("ab"), fingerprint("ab")) == 1.0 and fingerprint("").max() == 0
 
 
+def test_fingerprint_of_short_swapped_texts():
+    import random
+
+    rng = random.Random(5)
+    for n, most in ((40, 0.15), (60, 0.2), (100, 0.25), (200, 0.3)):
+        texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)) for _ in range(100)]
+        assert np.mean([likeness(fingerprint(t), fingerprint(t[n // 2 :] + t[: n // 2])) for t in texts]) < most
+
+
+def test_fingerprint_takes_the_least_of_all():
+    import tidemark.llm.fingerprints as module
+
+    for n in (1, 2, 3, 24, 25, 100, 5000, 100_000):
+        hashes = np.random.default_rng(n).integers(0, 2**64, n, dtype=np.uint64)
+        ranks = hashes * module._multipliers(64)[:, None]
+        want = np.argsort(ranks, axis=1)[:, :3]
+        assert (module._least(hashes, 3, 64) == want).all()
+
+
 def test_fingerprint_of_one_or_no_document(spark):
     assert compare_with_next(documents(spark, [])).count() == 0
     (row,) = compare_with_next(documents(spark, ["only one"])).collect()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import chosen, id_blocks, text_or_empty
 from tidemark.llm.kernels import M1, M2, U, pair, scramble
 
-#: Characters of a k-mer, k-mers of a tuple, tuples of a fingerprint (a power of two).
+#: Characters of a k-mer, k-mers of a tuple, tuples of a fingerprint.
 K, TUPLE, SLOTS = 6, 3, 64
 _PLACE = U((1 << 21) - 1)
 
@@ -44,40 +44,51 @@ def _numbered(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return scramble(group * M2 + number.astype(U)), place
 
 
+def _multipliers(slots: int) -> np.ndarray:
+    """An odd number for each slot; times the scrambled names it gives the slot its own order of the k-mers."""
+    return scramble(np.arange(1, slots + 1, dtype=U) * M1) | U(1)
+
+
+def _least(hashes: np.ndarray, size: int, slots: int) -> np.ndarray:
+    """Indices of the ``size`` least of all hashes in the order of each slot, one row a slot."""
+    n, by = len(hashes), _multipliers(slots)
+    if n <= 8 * size:
+        return np.argsort(hashes * by[:, None], axis=1, kind="stable")[:, :size]
+    # some five times as many as are needed lie below this bound; a slot that comes out short looks at all
+    bound = U(int(5.0 * size / n * 2.0**64))
+    rows = max(1, (1 << 15) // n)
+    found, values = [], []
+    for i in range(0, slots, rows):
+        ranks = (hashes * by[i : i + rows, None]).ravel()
+        few = np.flatnonzero(ranks < bound)
+        found.append(few + i * n)
+        values.append(ranks[few])
+    at, value = np.concatenate(found), np.concatenate(values)
+    slot = at // n
+    order = np.lexsort((value, slot))
+    at = at[order] % n
+    start = np.searchsorted(slot, np.arange(slots + 1))
+    out = at[np.minimum(start[:-1, None] + np.arange(size), len(at) - 1)] if len(at) else np.zeros((slots, size), np.int64)
+    for j in np.flatnonzero(np.diff(start) < size):
+        out[j] = np.argsort(hashes * by[j], kind="stable")[:size]
+    return out
+
+
 def fingerprint(text: str, k: int = K, size: int = TUPLE, slots: int = SLOTS) -> np.ndarray:
-    """``slots`` numbers of 32 bits. A hash deals the numbered k-mers to the slots; each slot takes its ``size`` least ones, puts them back in text order and hashes that tuple.
+    """``slots`` numbers of 32 bits. Each slot orders all numbered k-mers by a hash of its own, takes the ``size`` least ones, puts them back in text order and hashes that tuple.
 
-    A slot without k-mers takes the next filled slot's number together with the
-    distance. The empty text is all zeros; a text below ``k`` characters is one
-    k-mer; below ``size`` k-mers a tuple is shorter.
+    The empty text is all zeros; a text below ``k`` characters is one k-mer;
+    below ``size`` k-mers a tuple is shorter.
     """
     if not text:
         return np.zeros(slots, np.uint32)
     hashes, place = _numbered(_named_kmers(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), k))
-    low = U(64 - int(slots).bit_length() + 1)
-    if len(hashes) > 32 * size * slots:
-        # the least of a slot lie far below this bound; if a slot comes out short, all are looked at
-        bound = U(int(8.0 * size * slots / len(hashes) * 2.0 ** int(low)))
-        few = np.flatnonzero((hashes & ((U(1) << low) - U(1))) < bound)
-        if np.bincount((hashes[few] >> low).astype(np.int64), minlength=slots).min() >= size:
-            hashes, place = hashes[few], place[few]
-    order = np.argsort(hashes, kind="stable")
-    hashes, place = hashes[order], place[order]
-    slot = (hashes >> low).astype(np.int64)
-    start = np.searchsorted(slot, np.arange(slots + 1))
-    at = start[:-1, None] + np.arange(size)
-    there = at < start[1:, None]
-    at = np.minimum(at, len(hashes) - 1)
-    places = np.where(there, place[at], np.iinfo(np.int64).max)
-    back = np.argsort(places, axis=1, kind="stable")
-    chosen_ = np.take_along_axis(np.where(there, hashes[at], U(0)), back, axis=1)
+    least = _least(hashes, size, slots)
+    back = np.argsort(place[least], axis=1, kind="stable")
+    chosen_ = np.take_along_axis(hashes[least], back, axis=1)
     made = np.zeros(slots, U)
-    for i in range(size):
+    for i in range(chosen_.shape[1]):
         made = pair(made, chosen_[:, i])
-    filled = np.flatnonzero(there[:, 0])
-    donor = filled[np.searchsorted(filled, np.arange(slots)) % len(filled)]
-    away = (donor - np.arange(slots)) % slots
-    made = np.where(away > 0, pair(made[donor], away.astype(U)), made)
     return (made >> U(32)).astype(np.uint32)
 
 
