@@ -71,6 +71,25 @@ def test_licence_score_is_the_cosine(spark):
     assert got[1]["own_license"] is None
 
 
+def test_licences_of_wrapped_texts(spark):
+    import textwrap
+
+    from tidemark.llm.licenses import TEXTS
+
+    whole = {}
+    for k, t in TEXTS:
+        whole[k] = max(whole.get(k, ""), t, key=len)
+    wrap = lambda k, mark="": "\n".join(mark + x for x in textwrap.wrap(whole[k], 60))
+    bsd = " * Redistribution and use in source and binary forms, with or\n * without modification, are permitted provided that the\n * following conditions are met:\n"
+    filler = "\n".join(f"value{i} = compute{i}" for i in range(40))
+    files = [("BSD-3-Clause", "a/x.c", "/*\n" + bsd + " */\n" + filler), ("MIT", "b/LICENSE", "Copyright (c) 2020 A. Person\n\n" + wrap("MIT")), ("MIT", "c/x.py", "Released under MIT.\n" + filler)]
+    files += [(k, f"d{i}/x.py", "first = 1\n" + wrap(k, "# ") + "\n" + filler) for i, k in enumerate(("GPL-3.0", "ISC", "Apache-2.0", "MPL-2.0", "BSD-2-Clause"))]
+    files += [("GPL-3.0", "e/COPYING", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n" + filler), (None, "f/x.py", filler)]
+    df = spark.createDataFrame([(i, p, t) for i, (_, p, t) in enumerate(files)], "id long, path string, text string")
+    got = {r["id"]: r["own_license"] for r in scan_licences(df, "id", F.col("path")).collect()}
+    assert got == {i: k for i, (k, _, _) in enumerate(files)}
+
+
 # ---- URLs
 
 
