@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import archives, byte_bpe, toxicity, url_filter
+from tidemark.llm import archives, byte_bpe, hard_negatives, language_id, toxicity, url_filter, vector_codes
 from tidemark.llm.common import table
 from tidemark.llm.debruijn import remove_repeated_words, word_removal_report
 from tidemark.llm.decontaminate import find_contamination
@@ -69,6 +69,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs, may_learn=~toxicity.held_out(F.col("id")))
+    found = language_id.predict(docs, model)
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "margin", "accepted")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), label=label)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scans": op1_license_scans,
     "op2_url_filters": op2_url_filters,
@@ -80,8 +97,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_language_id": op11_language_id,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_vector_codes": op13_vector_codes,
 }
 
+#: Vectors with finite components only.
+_FINITE = "embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0"
+
+
+def _codebook_sql(rounds: int = 6) -> str:
+    """Exact nearest entries: the distance times 16 plus the index, so that the smallest number has both."""
+    steps = [
+        f"""v AS MATERIALIZED (SELECT vec_id, label, [floor(4096 * CAST(x AS DOUBLE)) for x in embedding] AS q FROM embeddings WHERE {_FINITE}),
+p AS MATERIALIZED (SELECT vec_id, k, q[len(q) // 8 * k + 1 : len(q) // 8 * (k + 1)] AS x FROM v, range(8) r(k)),
+b0 AS MATERIALIZED (SELECT k, e, x FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM v ORDER BY vec_id LIMIT 16) USING (vec_id))"""
+    ]
+    near = "SELECT p.vec_id, p.k, p.x, CAST(min(16 * (list_dot_product(p.x, p.x) - 2 * list_dot_product(p.x, b.x) + list_dot_product(b.x, b.x)) + e) AS BIGINT) AS m FROM p JOIN b{} b ON p.k = b.k GROUP BY ALL"
+    for n in range(rounds):
+        steps.append(
+            f"""a{n} AS MATERIALIZED ({near.format(n)}),
+t{n} AS (SELECT k, m % 16 AS e, generate_subscripts(x, 1) AS i, unnest(x) AS c FROM a{n}),
+s{n} AS (SELECT k, e, list(m ORDER BY i) AS x FROM (SELECT k, e, i, floor(CAST(sum(c) AS BIGINT) / count(*)) AS m FROM t{n} GROUP BY ALL) GROUP BY ALL),
+b{n + 1} AS MATERIALIZED (SELECT k, e, coalesce(s{n}.x, b{n}.x) AS x FROM b{n} LEFT JOIN s{n} USING (k, e))"""
+        )
+    tail = f"""a AS MATERIALIZED ({near.format(rounds)}),
+c AS (SELECT vec_id, string_agg(format('{{:02x}}', m % 16), '' ORDER BY k) AS code, CAST(sum(m // 16) AS BIGINT) AS error FROM a GROUP BY 1),
+h AS (SELECT sha256(string_agg(array_to_string([CAST(y AS BIGINT) for y in x], ','), ',' ORDER BY k, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c JOIN v USING (vec_id), h"""
+    return "WITH " + ",\n".join([*steps, tail])
+
+
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
 SQL: dict[str, str] = {
@@ -123,4 +169,12 @@ m AS (SELECT DISTINCT doc_id, unnest(range(j, j + 35)) AS j FROM k JOIN c USING
 g AS (SELECT u.doc_id, string_agg(word, ' ' ORDER BY u.j) FILTER (WHERE m.j IS NULL) AS kept, count(m.j) AS gone FROM u LEFT JOIN m ON u.doc_id = m.doc_id AND u.j = m.j GROUP BY 1)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN g USING (doc_id)""",
+    "op12_hard_negatives": f"""WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS q
+      FROM embeddings WHERE label IS NOT NULL AND {_FINITE}),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS alike, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT alike AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) QUALIFY row_number() OVER w <= 3""",
+    "op13_vector_codes": _codebook_sql(),
 }
