@@ -63,12 +63,12 @@ def test_season_outside_the_candidates_is_scanned(spark):
 
 
 @pytest.mark.parametrize("n", [2500])
-def test_trend_points_are_evenly_spaced(spark, n):
+def test_trend_compares_all_pairs(spark, n):
     rows = spark.range(n).select(F.lit("a").alias("k"), F.col("id"), (F.col("id") % 17).cast("double").alias("v"))
     got = win.trend_concordance(rows, "v", "id", ["k"], "banded", bands=5, cell_rows=150).first()
     at = np.arange(n)
     v = (at % 17).astype(float)
-    signs = np.sign(v[None, :] - v[:, None])[np.triu_indices(1000, 1)]
+    signs = np.sign(v[None, :] - v[:, None])[np.triu_indices(n, 1)]
     assert got["concordance"] == pytest.approx(signs.mean()) and got["n"] == n
 
 
@@ -167,7 +167,7 @@ def test_boosted_learns_the_week_and_survives_saving(spark, panel, tmp_path):
 def test_boosted_holdout_uses_only_the_past(spark, panel):
     long = panel.where("k <> 'tiny'")
     rows = holdout_boosted(long, config(), strategy="keyed")
-    assert rows.groupBy("k").count().collect()[0]["count"] == 14
+    assert rows.groupBy("k").count().collect()[0]["count"] == 40  # every row past the split
     first = rows.groupBy("k").agg(F.min("ds").alias("d")).collect()
     assert {r["d"] for r in first} == {START + timedelta(days=160)}
     shifted = long.withColumn("v", F.when(F.col("ds") >= START + timedelta(days=160), F.col("v") + 1000).otherwise(F.col("v")))
