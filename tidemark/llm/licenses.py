@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import chosen, hot_join, text_or_empty
+from tidemark.session import materialize
 
 #: Least cosine of a passage to a template.
 THRESHOLD = 0.7
@@ -186,6 +187,7 @@ def scan_licences(files: DataFrame, id_col: str, path: Column, text_col: str = "
     )
     holds = F.coalesce(F.col("best.score") >= threshold, F.lit(False))
     own = own.select("id", "path", "directory", "is_licence", F.when(holds, F.col("best.license")).alias("own_license"), F.when(holds, F.col("best.score")).alias("own_score"))
+    own = materialize(own, "own-licences")  # the scores are read three times
     declared = own.where("is_licence and own_license is not null and directory is not null").groupBy("directory").agg(F.max(F.struct(F.round("own_score", 9).alias("s"), F.translate("own_license", _ASCII, _ASCII[::-1]).alias("k"), "own_license")).alias("d")).select(F.col("directory").alias("above"), F.col("d.own_license").alias("license"))
     # each distinct directory joins its ancestors; the longest path that declares something is the nearest
     parts = F.split("directory", "/")
