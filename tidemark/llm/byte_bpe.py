@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from tidemark.llm.common import chosen, text_or_empty
 
 #: Characters of text that are encoded at a time.
 ENCODE_CHARS = 1 << 18
+#: Tokens that are decoded at a time.
+DECODE_TOKENS = 1 << 18
 #: Words whose tokens are remembered; a small cache stays in the processor's own.
 CACHED_WORDS = 2000
 
@@ -68,6 +71,27 @@ def byte_strings(raw: bytes) -> list[bytes]:
     return [bytes(back[c] for c in spelled.get(i, "")) for i in range(max(spelled) + 1)]
 
 
+@lru_cache(maxsize=4)
+def flat_table(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens' bytes in one array, and where each id's begin and how many they are."""
+    strings = byte_strings(raw)
+    sizes = np.array([len(x) for x in strings], np.int64)
+    return np.frombuffer(b"".join(strings), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
+def joined_bytes(ids: np.ndarray, counts: np.ndarray, raw: bytes) -> pa.BinaryArray:
+    """The bytes of each row's ids; ``counts`` is the number of ids of each row."""
+    flat, starts, sizes = flat_table(raw)
+    ends = np.concatenate([[0], np.cumsum(sizes[ids])])
+    out = np.empty(ends[-1], np.uint8)
+    for i in range(0, len(ids), DECODE_TOKENS):
+        part = ids[i : i + DECODE_TOKENS]
+        lo, hi = ends[i], ends[i + len(part)]
+        out[lo:hi] = flat[np.repeat(starts[part] - ends[i : i + len(part)], sizes[part]) + np.arange(lo, hi)]
+    rows = ends[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(rows), pa.py_buffer(out)])
+
+
 def decode_pieces(pieces: Iterator[bytes]) -> Iterator[str]:
     """Text of token after token; a character split over tokens comes with its last byte, stray bytes as U+FFFD."""
     import codecs
@@ -91,20 +115,23 @@ def _groups(texts: pa.Array) -> Iterator[list[str]]:
         yield group
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), offsets: bool = False) -> DataFrame:
-    """(kept columns, ids array<int>[, starts, stops array<int>]): the token ids of each whole text.
+def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), offsets: bool = False, decoded: bool = False) -> DataFrame:
+    """(kept columns, ids array<int>[, starts, stops array<int>][, decoded binary]): the token ids of each whole text.
 
     Every match of ``pattern`` is encoded separately, without special tokens.
     ``starts`` and ``stops`` are the code points that a token covers; tokens that
-    share a split character share its place. Null and empty texts have no ids;
+    share a split character share its place. ``decoded`` are the bytes of the ids,
+    as ``decode`` gives them, made by the same worker. Kept columns of the names
+    of these results give way to them. Null and empty texts have no ids;
     any row order, repeated rows and empty tables are fine; other columns are
     left behind. The rank file (under 1 MB) is read once and broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Path(rank_file).read_bytes())
-    names = {f"keep_{i}": c for i, c in enumerate(keep)}
+    added = ["ids", "starts", "stops"] if offsets else ["ids"]
+    made_here = [*added, "decoded"] if decoded else added
+    names = {f"keep_{i}": c for i, c in enumerate(keep) if c not in made_here}
     rows = chosen(docs, names | {"text": text_col}).withColumn("text", text_or_empty("text"))
     fields = [(f.name, f.dataType.simpleString()) for f in rows.schema if f.name != "text"]
-    added = ["ids", "starts", "stops"] if offsets else ["ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -126,27 +153,30 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text"
                         found[2].append(places[:, 1])
                 at = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(at, np.concatenate(x)) for x in found]
+                if decoded:
+                    lists.append(joined_bytes(lists[0].values.to_numpy(), np.array(sizes), shared.value))
                 kept = [batch.column(n).slice(done, len(group)) for n in names]
                 done += len(group)
-                yield pa.RecordBatch.from_arrays(kept + lists, names=[*names, *added])
+                yield pa.RecordBatch.from_arrays(kept + lists, names=[*names, *made_here])
 
-    schema = ", ".join([f"{n} {t}" for n, t in fields] + [f"{n} array<int>" for n in added])
-    return rows.mapInArrow(run, schema).select(*[F.col(n).alias(c) for n, c in names.items()], *added)
+    schema = ", ".join([f"{n} {t}" for n, t in fields] + [f"{n} array<int>" for n in added] + ["decoded binary"] * decoded)
+    return rows.mapInArrow(run, schema).select(*[F.col(n).alias(c) for n, c in names.items()], *made_here)
 
 
 def decode(encoded: DataFrame, rank_file: str, ids_col: str = "ids") -> DataFrame:
-    """``encoded`` and ``decoded`` (binary): the bytes of the ids. Null ids give null; ``decode_pieces`` makes text of them."""
+    """``encoded`` and ``decoded`` (binary): the bytes of the ids. Null ids give null; ``decode_pieces`` makes text of them. A column ``decoded`` gives way."""
     shared = encoded.sparkSession.sparkContext.broadcast(Path(rank_file).read_bytes())
-    names = {f"c{i}": c for i, c in enumerate(encoded.columns)}
+    names = {f"c{i}": c for i, c in enumerate(encoded.columns) if c != "decoded"}
     rows = chosen(encoded, names)
     ids = next(n for n, c in names.items() if c == ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.set_memory_pool(pa.system_memory_pool())
-        table = byte_strings(shared.value)
         for batch in batches:
-            out = [None if not x.is_valid else b"".join([table[t] for t in x.values.to_numpy().tolist()]) for x in batch.column(ids)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*names, "decoded"])
+            lists = batch.column(ids)
+            out = joined_bytes(lists.flatten().to_numpy(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(), shared.value)
+            out = pc.if_else(lists.is_valid(), out, pa.scalar(None, pa.binary())) if lists.null_count else out
+            yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*names, "decoded"])
 
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in rows.schema] + ["decoded binary"])
     return rows.mapInArrow(run, schema).select(*[F.col(n).alias(c) for n, c in names.items()], "decoded")
