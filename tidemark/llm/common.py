@@ -44,9 +44,14 @@ def id_blocks(df: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOC
 
     @F.pandas_udf("int")
     def block_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, ids.fillna(-(2**63)).to_numpy(np.int64), side="left").astype(np.int32))
+        return pd.Series(np.searchsorted(edges, ids.to_numpy(np.int64), side="left").astype(np.int32))
 
-    return block_of(F.col(id_col).cast("long")), len(edges) + 1
+    return block_of(least_if_null(F.col(id_col).cast("long"))), len(edges) + 1
+
+
+def least_if_null(ids: Column) -> Column:
+    """Ids for a task: null as the least number, since pandas makes floats of ids beside a null."""
+    return F.coalesce(ids, F.lit(-(2**63)))
 
 
 def chosen(df: DataFrame, names: dict[str, str]) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from functools import cmp_to_key
+from functools import cmp_to_key, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chosen, id_blocks, text_or_empty
+from tidemark.llm.common import chosen, id_blocks, least_if_null, text_or_empty
 from tidemark.llm.kernels import M1, M2, U, pair, scramble
 
 #: Characters of a k-mer, k-mers of a tuple, tuples of a fingerprint.
@@ -44,34 +44,54 @@ def _numbered(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return scramble(group * M2 + number.astype(U)), place
 
 
+@lru_cache(maxsize=4)
 def _multipliers(slots: int) -> np.ndarray:
     """An odd number for each slot; times the scrambled names it gives the slot its own order of the k-mers."""
     return scramble(np.arange(1, slots + 1, dtype=U) * M1) | U(1)
 
 
-def _least(hashes: np.ndarray, size: int, slots: int) -> np.ndarray:
-    """Indices of the ``size`` least of all hashes in the order of each slot, one row a slot."""
-    n, by = len(hashes), _multipliers(slots)
-    if n <= 8 * size:
-        return np.argsort(hashes * by[:, None], axis=1, kind="stable")[:, :size]
-    # some five times as many as are needed lie below this bound; a slot that comes out short looks at all
-    bound = U(int(5.0 * size / n * 2.0**64))
-    rows = max(1, (1 << 15) // n)
+def _bound(n: int, size: int) -> np.uint64:
+    """Some five times as many numbered k-mers as a slot needs lie below."""
+    return U(int(min(1.0, 5.0 * size / n) * (2.0**64 - 2048)))
+
+
+def _below(hashes: np.ndarray, place: np.ndarray, bound: np.uint64, slots: int) -> list[np.ndarray]:
+    """(slot, rank, hash, place) of the numbered k-mers that a slot ranks below the bound, slot after slot."""
+    n, by = max(1, len(hashes)), _multipliers(slots)
+    rows = max(1, (1 << 16) // n)
     found, values = [], []
     for i in range(0, slots, rows):
         ranks = (hashes * by[i : i + rows, None]).ravel()
         few = np.flatnonzero(ranks < bound)
         found.append(few + i * n)
         values.append(ranks[few])
-    at, value = np.concatenate(found), np.concatenate(values)
+    at = np.concatenate(found)
     slot = at // n
-    order = np.lexsort((value, slot))
-    at = at[order] % n
+    at -= slot * n
+    return [slot.astype(np.int16), np.concatenate(values), hashes[at], place[at]]
+
+
+def _marked(parts: list[list[np.ndarray]], hashes: np.ndarray, place: np.ndarray, size: int, slots: int) -> np.ndarray:
+    """The signature from what lies below the bound; a slot that comes out short looks at all numbered k-mers."""
+    slot, value, few, where = (np.concatenate(x) for x in zip(*parts, strict=True))
+    if len(parts) > 1:
+        order = np.argsort(slot, kind="stable")
+        slot, value, few, where = slot[order], value[order], few[order], where[order]
     start = np.searchsorted(slot, np.arange(slots + 1))
-    out = at[np.minimum(start[:-1, None] + np.arange(size), len(at) - 1)] if len(at) else np.zeros((slots, size), np.int64)
-    for j in np.flatnonzero(np.diff(start) < size):
-        out[j] = np.argsort(hashes * by[j], kind="stable")[:size]
-    return out
+    count = np.diff(start)
+    wide = min(size, len(hashes))
+    grid = np.full((slots, max(wide, int(count.max()))), ~U(0))
+    grid[slot, np.arange(len(slot)) - start[slot]] = value
+    first = np.minimum(start[:-1, None] + np.argsort(grid, axis=1, kind="stable")[:, :wide], max(0, len(slot) - 1))
+    drawn, places = (few[first], where[first]) if len(slot) else (np.zeros((slots, wide), U), np.zeros((slots, wide), np.int64))
+    for j in np.flatnonzero(count < wide):
+        least = np.argsort(hashes * _multipliers(slots)[j], kind="stable")[:wide]
+        drawn[j], places[j] = hashes[least], place[least]
+    drawn = np.take_along_axis(drawn, np.argsort(places, axis=1, kind="stable"), axis=1)
+    made = np.zeros(slots, U)
+    for i in range(wide):
+        made = pair(made, drawn[:, i])
+    return (made >> U(32)).astype(np.uint32)
 
 
 def fingerprint(text: str, k: int = K, size: int = TUPLE, slots: int = SLOTS) -> np.ndarray:
@@ -82,14 +102,30 @@ def fingerprint(text: str, k: int = K, size: int = TUPLE, slots: int = SLOTS) ->
     """
     if not text:
         return np.zeros(slots, np.uint32)
-    hashes, place = _numbered(_named_kmers(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), k))
-    least = _least(hashes, size, slots)
-    back = np.argsort(place[least], axis=1, kind="stable")
-    chosen_ = np.take_along_axis(hashes[least], back, axis=1)
-    made = np.zeros(slots, U)
-    for i in range(chosen_.shape[1]):
-        made = pair(made, chosen_[:, i])
-    return (made >> U(32)).astype(np.uint32)
+    hashes, place = _numbered_text(text, k)
+    return _marked([_below(hashes, place, _bound(len(hashes), size), slots)], hashes, place, size, slots)
+
+
+def _numbered_text(text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    return _numbered(_named_kmers(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), k))
+
+
+def fingerprint_both(text: str, changed: str, shared: int, k: int = K, size: int = TUPLE, slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprints of two texts that begin with the same ``shared`` code points.
+
+    The k-mers of that beginning have the same occurrence numbers in both, so
+    their least ones are drawn once and merged with those of either rest.
+    """
+    same = shared - k + 1
+    if same <= 0 or min(len(text), len(changed)) < k:
+        return fingerprint(text, k, size, slots), fingerprint(changed, k, size, slots)
+    numbered = [_numbered_text(whole, k) for whole in (text, changed)]
+    bound = _bound(min(len(hashes) for hashes, _ in numbered), size)
+    hashes, place = numbered[0]
+    begin = _below(hashes[place < same], place[place < same], bound, slots)
+    ends = [_below(hashes[place >= same], place[place >= same], bound, slots) for hashes, place in numbered]
+    first, second = (_marked([begin, end], *whole, size, slots) for end, whole in zip(ends, numbered, strict=True))
+    return first, second
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -132,12 +168,12 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     @F.pandas_udf("int")
     def also_in(ids: pd.Series) -> pd.Series:
-        known = ids.fillna(-(2**63)).to_numpy(np.int64)
+        known = ids.to_numpy(np.int64)
         at = np.minimum(np.searchsorted(heads, known), max(0, len(heads) - 1))
         return pd.Series(np.where(heads[at] == known, goes[at], -1).astype(np.int32)) if len(heads) else pd.Series(np.full(len(ids), -1, np.int32))
 
     own = F.struct(block.alias("b"), F.lit(False).alias("guard"))
-    guest = F.struct(also_in("id").alias("b"), F.lit(True).alias("guard"))
+    guest = F.struct(also_in(least_if_null(F.col("id"))).alias("b"), F.lit(True).alias("guard"))
     placed = rows.select("id", "text", F.explode(F.filter(F.array(own, guest), lambda x: x["b"] >= 0)).alias("x")).select(F.col("x.b").alias("b"), "id", "text", F.col("x.guard").alias("guard"))
 
     def run(part: pa.Table) -> pa.Table:
@@ -146,15 +182,19 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         rows_of = list(zip(ids, part["text"].to_pylist(), part["guard"].to_pylist(), strict=True))
         mine = sorted((r for r in rows_of if not r[2]), key=cmp_to_key(_before))
         after = sorted((r for r in rows_of if r[2]), key=cmp_to_key(_before))
-        out: list[tuple] = []
-        mark = fingerprint(mine[0][1], k, size, slots) if mine else None
+        out: list[list] = []
+        before = None
         for i, (own_id, text, _) in enumerate(mine):
             following = mine[i + 1][1] if i + 1 < len(mine) else after[0][1]
             changed = edited(text, following)
-            theirs, second = fingerprint(following, k, size, slots), fingerprint(changed, k, size, slots)
+            mark, second = fingerprint_both(text, changed, len(text) - len(text) // 2, k, size, slots)
+            if before is not None:
+                out[-1][-1] = likeness(before, mark)
             digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-            out.append((own_id if own_id != -(2**63) else None, len(text), digest, spelled(mark), spelled(second), likeness(mark, second), likeness(mark, theirs)))
-            mark = theirs
+            out.append([own_id if own_id != -(2**63) else None, len(text), digest, spelled(mark), spelled(second), likeness(mark, second), None])
+            before = mark
+        if mine:
+            out[-1][-1] = likeness(before, fingerprint(after[0][1], k, size, slots))
         columns = list(zip(*out, strict=True)) if out else [[] for _ in schema]
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
