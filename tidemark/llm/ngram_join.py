@@ -20,8 +20,9 @@ WIDTH, PERCENT = 4, 85
 FREQUENT = 100_000
 #: Bits of the filter that tells which sets have to be read again; more sets only make it less sharp.
 FILTER_BITS = 1 << 22
-#: Rounds in which a set is compared with one other of its tile before all of different classes are.
-TURNS = 3
+#: Rounds in which each class proposes its likeliest links before all sets of different classes are compared,
+#: and the following sets of a tile that a set looks at in such a round. Neither changes the result.
+TURNS, NEIGHBOURS = 4, 32
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -202,9 +203,11 @@ def _halves(words_: np.ndarray) -> np.ndarray:
     return words_[:, :half] | words_[:, half:]
 
 
-def _tiles(open_: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different classes that share an element, whose sizes and places allow the
-    similarity and whose bitmaps leave it possible. Nothing else leaves a task."""
+def _tiles(open_: DataFrame, sigs: DataFrame, percent: int, neighbours: int | None = None) -> DataFrame:
+    """Pairs (a, b, label_a, label_b, most) of different classes that share an element, whose sizes and
+    places allow the similarity and whose bitmaps leave it possible; ``most`` is the largest similarity
+    that they leave. With ``neighbours`` a set looks at so many following sets of its tile only, and of
+    what a class finds there one pair, the likeliest, leaves the task: no more rows than sets."""
     parts = 4 * shuffle_partitions(open_.sparkSession)
     rows = open_.join(sigs.select("digest", "sig"), "digest").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
 
@@ -214,7 +217,8 @@ def _tiles(open_: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
         key, n, digest, at, label = (x[order] for x in (key, n, digest, at, label))
         marks = [table["sig"][int(i)].as_buffer() for i in order]
         edges = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-        left, right = [], []
+        none = np.zeros(0, np.int64)
+        left, right, likely = [none], [none], [np.zeros(0)]
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             if (label[lo:hi] == label[lo]).all():
                 continue
@@ -228,6 +232,8 @@ def _tiles(open_: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
             for w in bits:
                 place[width == w] = np.arange((width == w).sum())
             last = np.searchsorted(size, size * 100 // percent, side="right")
+            if neighbours is not None:
+                last = np.minimum(last, np.arange(hi - lo) + 1 + neighbours)
             for i in range(hi - lo - 1):
                 j = np.arange(i + 1, last[i])
                 j = j[label[lo + j] != label[lo + i]]
@@ -239,17 +245,36 @@ def _tiles(open_: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
                     k = j[width[j] == w]
                     x = bits[width[i]][place[i]]
                     y = bits[w][place[k]] if w == width[i] else half[w][place[k]]
+                    bound = np.minimum(size[i], size[k])
                     if y.shape[1] == len(x):
                         only_x, only_y = np.bitwise_count(x & ~y).sum(axis=1), np.bitwise_count(y & ~x).sum(axis=1)
                         bound = np.minimum(size[i] - only_x.astype(np.int64), size[k] - only_y.astype(np.int64))
-                        k = k[(100 + percent) * bound >= percent * (size[i] + size[k])]
-                    left.append(np.full(len(k), digest[lo + i]))
-                    right.append(digest[lo + k])
-        none = [np.zeros(0, np.int64)]
-        pairs = np.unique(np.stack([np.concatenate(none + left), np.concatenate(none + right)], axis=1), axis=0)
-        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    return rows.groupBy("part").applyInArrow(run, "a long, b long")
+                        fits = (100 + percent) * bound >= percent * (size[i] + size[k])
+                        k, bound = k[fits], bound[fits]
+                    left.append(np.full(len(k), lo + i))
+                    right.append(lo + k)
+                    likely.append(bound / (size[i] + size[k] - bound))
+        i, j, most = np.concatenate(left), np.concatenate(right), np.concatenate(likely)
+        if neighbours is not None and len(i):
+            # the likeliest pair of each class, seen from both of its ends
+            ends = np.concatenate([label[i], label[j]])
+            pair = np.concatenate([np.arange(len(i))] * 2)
+            best = np.lexsort((digest[j][pair], digest[i][pair], -most[pair], ends))
+            first = np.concatenate([[True], ends[best][1:] != ends[best][:-1]])
+            kept = np.unique(pair[best][first])
+            i, j, most = i[kept], j[kept], most[kept]
+        _, one = np.unique(np.stack([digest[i], digest[j]], axis=1), axis=0, return_index=True)
+        i, j, most = i[one], j[one], most[one]
+        return pa.table([digest[i], digest[j], label[i], label[j], most], names=["a", "b", "label_a", "label_b", "most"])
+
+    return rows.groupBy("part").applyInArrow(run, "a long, b long, label_a long, label_b long, most double")
+
+
+def _likeliest(found: DataFrame) -> DataFrame:
+    """(a, b): of each class's pairs the likeliest, over all tasks."""
+    ends = found.select("*", F.explode(F.array("label_a", "label_b")).alias("label"))
+    best = ends.groupBy("label").agg(F.max_by(F.struct("a", "b"), F.struct("most", "a", "b")).alias("p"))
+    return best.select("p.a", "p.b").distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -258,11 +283,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Words are split at ASCII white space, A-Z lower-cased. Equal sets are one
     node. Two linked sets share one of their first elements in a global order
     (frequent elements last); a tile is such an element and a band of sizes
-    within the similarity of each other. In the first rounds every set of a tile
-    is compared with one other of the tile, its smallest and then one drawn by a
-    hash, which settles groups of near copies by a few links each; in the last,
-    all sets of a shared element that are in different classes are compared,
-    also across neighbouring bands. Each comparison first bounds the overlap by the bit counts of hashed bitmaps and
+    within the similarity of each other. In the first round every set of a tile
+    is compared with its smallest. In the following ones each class proposes one
+    pair, the one that bitmaps leave the largest similarity, and classes that
+    are linked by it become one, which settles groups of near copies by about a
+    link a member; in the last, all sets of a shared element that are still in
+    different classes are compared, also across neighbouring bands. Each comparison first bounds the overlap by the bit counts of hashed bitmaps and
     then intersects the exact sorted arrays. A pair is left out only where both
     are already connected, so components are those of all links.
 
@@ -288,19 +314,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stars = votes.groupBy("digest").agg(F.max_by("leader", F.struct("count", "leader")).alias("leader"))
     first = materialize(_verified(materialize(_bounded(stars.select(F.col("leader").alias("a"), F.col("digest").alias("b")), sigs, percent), "pairs"), rows, width, percent), "links")
     links, labels = first, smallest_labels(first)
-    for turn in range(1, TURNS):
-        open_ = _open_elements(shared, labels)
-        drawn = Window.partitionBy("key", "band").orderBy(F.xxhash64("digest", F.lit(turn)), "digest")
-        other = open_.withColumn("band", band).select("digest", "n", "label", *[F.first(c).over(drawn).alias(f"leader_{c}") for c in ("digest", "n", "label")])
-        fits = (F.col("label") != F.col("leader_label")) & (100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n"))
-        counts = other.where(fits).groupBy("digest", "leader_digest").count()
-        drawn_pairs = counts.groupBy("digest").agg(F.max_by("leader_digest", F.struct("count", "leader_digest")).alias("a")).select("a", F.col("digest").alias("b"))
-        more = materialize(_verified(materialize(_bounded(drawn_pairs, sigs, percent), "pairs"), rows, width, percent), "links")
+    tried = None
+    for _ in range(TURNS):
+        found = _tiles(_open_elements(shared, labels), sigs, percent, NEIGHBOURS)
+        pairs = materialize(_likeliest(found if tried is None else found.join(tried, ["a", "b"], "left_anti")), "pairs")
+        more = materialize(_verified(pairs, rows, width, percent), "links")
         if more.isEmpty():
             break
+        tried = pairs if tried is None else tried.union(pairs)
         links = links.union(more)
         labels = smallest_labels(links)
-    across = materialize(_tiles(_open_elements(shared, labels), sigs, percent).distinct(), "pairs")
+    across = _tiles(_open_elements(shared, labels), sigs, percent).select("a", "b").distinct()
+    across = materialize(across if tried is None else across.join(tried, ["a", "b"], "left_anti"), "pairs")
     second = _verified(across, rows, width, percent)
     classes = smallest_labels(links.union(second))
     ids = sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"))
