@@ -20,9 +20,8 @@ WIDTH, PERCENT = 4, 85
 FREQUENT = 100_000
 #: Bits of the filter that tells which sets have to be read again; more sets only make it less sharp.
 FILTER_BITS = 1 << 22
-#: Rounds in which each class proposes its likeliest links before all sets of different classes are compared,
-#: and the following sets of a tile that a set looks at in such a round. Neither changes the result.
-TURNS, NEIGHBOURS = 4, 32
+#: Rounds in which each class proposes its likeliest link before all sets of different classes are compared. Changes no result.
+TURNS = 4
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -153,9 +152,9 @@ def _bounded(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs whose exact sets reach the similarity. The sets are built again from the texts, for those that the pairs name."""
-    slots = pairs.select(F.explode(F.array("a", "b")).alias("d")).select(F.pmod("d", F.lit(FILTER_BITS)).cast("int").alias("s")).distinct()
+def _arrays(named: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """(digest, elements): the exact sets of the distinct digests that ``named`` holds, built again from the texts."""
+    slots = named.select(F.pmod("digest", F.lit(FILTER_BITS)).cast("int").alias("s")).distinct()
     wanted = np.zeros(FILTER_BITS, bool)
     wanted[slots.toPandas()["s"].to_numpy(np.int64)] = True
     packed = np.packbits(wanted)
@@ -175,8 +174,11 @@ def _verified(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> Da
 
     built = rows.select("text").mapInArrow(build, "digest long, elements binary")
     # equal sets of different batches are the same bytes; one of them goes on
-    named = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    once = materialize(built.join(named, "digest", "left_semi").dropDuplicates(["digest"]), "sets")
+    return materialize(built.join(named, "digest", "left_semi").dropDuplicates(["digest"]), "sets")
+
+
+def _verified(pairs: DataFrame, once: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose exact sets, as ``_arrays`` gives them, reach the similarity."""
     both = pairs.join(once.select(F.col("digest").alias("b"), F.col("elements").alias("e_b")), "b").join(once.select(F.col("digest").alias("a"), F.col("elements").alias("e_a")), "a")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,22 +205,27 @@ def _halves(words_: np.ndarray) -> np.ndarray:
     return words_[:, :half] | words_[:, half:]
 
 
-def _tiles(open_: DataFrame, sigs: DataFrame, percent: int, neighbours: int | None = None) -> DataFrame:
-    """Pairs (a, b, label_a, label_b, most) of different classes that share an element, whose sizes and
-    places allow the similarity and whose bitmaps leave it possible; ``most`` is the largest similarity
-    that they leave. With ``neighbours`` a set looks at so many following sets of its tile only, and of
-    what a class finds there one pair, the likeliest, leaves the task: no more rows than sets."""
+def _tiles(open_: DataFrame, sigs: DataFrame, percent: int, every: bool) -> DataFrame:
+    """What sets of different classes that share an element leave possible by their sizes, places and bitmaps.
+
+    With ``every`` all such pairs (a, b). Otherwise one row for each entry that
+    has such a partner: (key, digest, n, at, a, b, label_a, label_b, most) with
+    its likeliest pair, that of the largest similarity ``most`` that the bitmaps
+    leave. An entry without a partner never has one later, since classes only grow.
+    """
     parts = 4 * shuffle_partitions(open_.sparkSession)
     rows = open_.join(sigs.select("digest", "sig"), "digest").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
 
     def run(table: pa.Table) -> pa.Table:
+        pa.set_memory_pool(pa.system_memory_pool())
         key, n, digest, at, label = (table[c].to_numpy().astype(np.int64) for c in ("key", "n", "digest", "at", "label"))
         order = np.lexsort((digest, n, key))
         key, n, digest, at, label = (x[order] for x in (key, n, digest, at, label))
         marks = [table["sig"][int(i)].as_buffer() for i in order]
         edges = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
         none = np.zeros(0, np.int64)
-        left, right, likely = [none], [none], [np.zeros(0)]
+        left, right = [none], [none]
+        top, partner = np.zeros(len(key)), np.full(len(key), -1)
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             if (label[lo:hi] == label[lo]).all():
                 continue
@@ -232,8 +239,6 @@ def _tiles(open_: DataFrame, sigs: DataFrame, percent: int, neighbours: int | No
             for w in bits:
                 place[width == w] = np.arange((width == w).sum())
             last = np.searchsorted(size, size * 100 // percent, side="right")
-            if neighbours is not None:
-                last = np.minimum(last, np.arange(hi - lo) + 1 + neighbours)
             for i in range(hi - lo - 1):
                 j = np.arange(i + 1, last[i])
                 j = j[label[lo + j] != label[lo + i]]
@@ -251,28 +256,31 @@ def _tiles(open_: DataFrame, sigs: DataFrame, percent: int, neighbours: int | No
                         bound = np.minimum(size[i] - only_x.astype(np.int64), size[k] - only_y.astype(np.int64))
                         fits = (100 + percent) * bound >= percent * (size[i] + size[k])
                         k, bound = k[fits], bound[fits]
-                    left.append(np.full(len(k), lo + i))
-                    right.append(lo + k)
-                    likely.append(bound / (size[i] + size[k] - bound))
-        i, j, most = np.concatenate(left), np.concatenate(right), np.concatenate(likely)
-        if neighbours is not None and len(i):
-            # the likeliest pair of each class, seen from both of its ends
-            ends = np.concatenate([label[i], label[j]])
-            pair = np.concatenate([np.arange(len(i))] * 2)
-            best = np.lexsort((digest[j][pair], digest[i][pair], -most[pair], ends))
-            first = np.concatenate([[True], ends[best][1:] != ends[best][:-1]])
-            kept = np.unique(pair[best][first])
-            i, j, most = i[kept], j[kept], most[kept]
-        _, one = np.unique(np.stack([digest[i], digest[j]], axis=1), axis=0, return_index=True)
-        i, j, most = i[one], j[one], most[one]
-        return pa.table([digest[i], digest[j], label[i], label[j], most], names=["a", "b", "label_a", "label_b", "most"])
-
-    return rows.groupBy("part").applyInArrow(run, "a long, b long, label_a long, label_b long, most double")
+                    if every:
+                        left.append(np.full(len(k), digest[lo + i]))
+                        right.append(digest[lo + k])
+                    elif len(k):
+                        most = bound / (size[i] + size[k] - bound)
+                        better = most > top[lo + k]
+                        top[lo + k[better]], partner[lo + k[better]] = most[better], lo + i
+                        j_best = int(np.argmax(most))
+                        if most[j_best] > top[lo + i]:
+                            top[lo + i], partner[lo + i] = most[j_best], lo + k[j_best]
+        if every:
+            pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
+            return pa.table([pairs[:, 0], pairs[:, 1]], names=["a", "b"])
+        here = np.flatnonzero(partner >= 0)
+        i, j = np.minimum(here, partner[here]), np.maximum(here, partner[here])
+        found = [key[here], digest[here], n[here].astype(np.int32), at[here].astype(np.int32), digest[i], digest[j], label[i], label[j], top[here]]
+        return pa.table(found, names=["key", "digest", "n", "at", "a", "b", "label_a", "label_b", "most"])
+
+    likeliest = "key long, digest long, n int, at int, a long, b long, label_a long, label_b long, most double"
+    return rows.groupBy("part").applyInArrow(run, "a long, b long" if every else likeliest)
 
 
 def _likeliest(found: DataFrame) -> DataFrame:
     """(a, b): of each class's pairs the likeliest, over all tasks."""
-    ends = found.select("*", F.explode(F.array("label_a", "label_b")).alias("label"))
+    ends = found.select("a", "b", "label_a", "label_b", "most").distinct().select("*", F.explode(F.array("label_a", "label_b")).alias("label"))
     best = ends.groupBy("label").agg(F.max_by(F.struct("a", "b"), F.struct("most", "a", "b")).alias("p"))
     return best.select("p.a", "p.b").distinct()
 
@@ -312,21 +320,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     led = shared.withColumn("band", band).select("digest", "n", F.first("digest").over(tile).alias("leader"), F.first("n").over(tile).alias("leader_n"))
     votes = led.where((F.col("digest") != F.col("leader")) & (100 * F.col("leader_n") >= percent * F.col("n"))).groupBy("digest", "leader").count()
     stars = votes.groupBy("digest").agg(F.max_by("leader", F.struct("count", "leader")).alias("leader"))
-    first = materialize(_verified(materialize(_bounded(stars.select(F.col("leader").alias("a"), F.col("digest").alias("b")), sigs, percent), "pairs"), rows, width, percent), "links")
-    links, labels = first, smallest_labels(first)
-    tried = None
+    proposed = materialize(_bounded(stars.select(F.col("leader").alias("a"), F.col("digest").alias("b")), sigs, percent), "pairs")
+    arrays = _arrays(proposed.select(F.explode(F.array("a", "b")).alias("digest")).distinct(), rows, width)
+    links = materialize(_verified(proposed, arrays, percent), "links")
+    labels, tried = smallest_labels(links), proposed
+    # entries with a possible partner of another class: the only ones that matter from here on
+    live = materialize(_tiles(_open_elements(shared, labels), sigs, percent, False), "live")
+    entered, found = live.select("key", "digest", "n", "at"), live
+    arrays = _arrays(live.select("digest").distinct(), rows, width)
     for _ in range(TURNS):
-        found = _tiles(_open_elements(shared, labels), sigs, percent, NEIGHBOURS)
-        pairs = materialize(_likeliest(found if tried is None else found.join(tried, ["a", "b"], "left_anti")), "pairs")
-        more = materialize(_verified(pairs, rows, width, percent), "links")
+        pairs = materialize(_likeliest(found.join(tried, ["a", "b"], "left_anti")), "pairs")
+        more = materialize(_verified(pairs, arrays, percent), "links")
         if more.isEmpty():
             break
-        tried = pairs if tried is None else tried.union(pairs)
-        links = links.union(more)
+        links, tried = links.union(more), tried.union(pairs)
         labels = smallest_labels(links)
-    across = _tiles(_open_elements(shared, labels), sigs, percent).select("a", "b").distinct()
-    across = materialize(across if tried is None else across.join(tried, ["a", "b"], "left_anti"), "pairs")
-    second = _verified(across, rows, width, percent)
+        found = materialize(_tiles(_open_elements(entered, labels), sigs, percent, False), "live")
+    across = _tiles(_open_elements(entered, labels), sigs, percent, True).distinct()
+    second = _verified(materialize(across.join(tried, ["a", "b"], "left_anti"), "pairs"), arrays, percent)
     classes = smallest_labels(links.union(second))
     ids = sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"))
     member = ids.join(classes.select(F.col("node").alias("digest"), "label"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
