@@ -21,7 +21,7 @@ FREQUENT = 100_000
 #: Bits of the filter that tells which sets have to be read again; more sets only make it less sharp.
 FILTER_BITS = 1 << 22
 #: Rounds in which each class proposes its likeliest link before all sets of different classes are compared. Changes no result.
-TURNS = 4
+TURNS = 2
 
 
 def prefix_length(n: int, percent: int) -> int:
