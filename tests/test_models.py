@@ -2,6 +2,7 @@
 
 import math
 import random
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -10,7 +11,11 @@ from pyspark.sql import functions as F
 
 from tidemark.diagnostics import health
 from tidemark.models import baseline, evaluate, seasonal
-from tidemark.models.boosted import BoostedConfig, BoostedModel, fit_boosted, holdout_boosted
+from tidemark.models.boosted import (
+    BoostedConfig, BoostedModel, feature_vectors, fit_boosted, holdout_boosted, holdout_tables, rounds_curve,
+    tried_settings, tune_boosted,
+)
+from tidemark.models.stored import KINDS, ModelSettings, StoredModel, fit_model
 from tidemark.operators import features as fea
 from tidemark.operators import profile as prf
 from tidemark.operators import series as win
@@ -177,6 +182,65 @@ def test_boosted_holdout_uses_only_the_past(spark, panel):
     assert a == pytest.approx(b)
 
 
+def test_rounds_curve_is_the_error_of_each_prefix(spark, panel):
+    long, c = panel.where("k <> 'tiny'"), config()
+    held = holdout_tables(long, c, strategy="keyed")
+    sides = feature_vectors(held.training, c), feature_vectors(held.test, c)
+    curve = rounds_curve(*sides, {"maxIter": 6}, first_rounds=6)
+    assert len(curve) == 6
+    for rounds in (2, 6):
+        made = holdout_boosted(long, replace(c, params={"maxIter": rounds}), strategy="keyed", tables=held)
+        assert curve[rounds - 1] == pytest.approx(evaluate.holdout_metrics(made).first()["rmse"])
+    # Doubling ends with the same curve, or with a best round that as many rounds again did not beat.
+    grown = rounds_curve(*sides, {"maxIter": 6}, first_rounds=1)
+    assert grown == pytest.approx(curve[: len(grown)])
+    assert len(grown) == 6 or 2 * (grown.index(min(grown)) + 1) <= len(grown)
+
+
+def test_tuning_takes_the_least_error_and_its_rounds(spark, panel):
+    long, grid = panel.where("k <> 'tiny'"), ({"maxIter": 30, "stepSize": 0.3}, {"maxIter": 3, "stepSize": 0.01})
+    tried = tried_settings(long, config(), grid, strategy="keyed", first_rounds=4)
+    assert all(t.rmse == min(t.curve) and t.curve[t.params["maxIter"] - 1] == t.rmse for t in tried)
+    assert len(tried[1].curve) == 3 and tried[1].rounds == 3  # slow steps want all rounds they may have
+    params, error = tune_boosted(long, config(), grid, strategy="keyed", first_rounds=4)
+    assert error <= min(t.rmse for t in tried)
+    if error == tried[0].rmse:
+        assert params == tried[0].params
+    with pytest.raises(ValueError):
+        tune_boosted(panel.where("k = 'tiny'").limit(0), config(), grid, strategy="keyed")
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_any_model_predicts_again_from_its_files(spark, panel, tmp_path, kind):
+    settings = ModelSettings(kind, "ds", "v", 7, "D", ("k",), gap=2, strategy="keyed")
+    model = fit_model(panel, settings, config(gap=2) if kind == "boosted" else None)
+    made = model.predict().orderBy("k", "step").collect()
+    assert len(made) == 21 and {r["model_name"] for r in made} == {kind}
+    model.save(str(tmp_path / "m"))
+    again = StoredModel.load(spark, str(tmp_path / "m"))
+    assert again.settings == settings
+    assert [tuple(r)[:3] for r in again.predict().orderBy("k", "step").collect()] == [tuple(r)[:3] for r in made]
+    close = [r["prediction"] for r in again.predict().orderBy("k", "step").collect()]
+    assert close == pytest.approx([r["prediction"] for r in made])
+    assert again.predict(3).count() == 9
+    # The same rows leave it where it is; a later row moves the forecasts on by its days.
+    assert [r["ds"] for r in again.moved_to(panel).predict().orderBy("k", "step").collect()] == [r["ds"] for r in made]
+    last = panel.where("k = 'a'").agg(F.max("ds")).first()[0]
+    newer = panel.unionByName(spark.createDataFrame([("a", last + timedelta(days=1), 100.0)], panel.schema))
+    first = again.moved_to(newer).predict().where("k = 'a' AND step = 1").first()
+    assert first["ds"] == last + timedelta(days=4) and first["prediction"] is not None
+    with pytest.raises(ValueError):
+        replace(settings, kind="other")
+
+
+def test_moved_seasonal_model_is_saved_with_its_place(spark, panel, tmp_path):
+    model = fit_model(panel, ModelSettings("seasonal", "ds", "v", 3, "D", ("k",), strategy="keyed"))
+    cut = panel.where(F.col("ds") < START + timedelta(days=10))
+    model.moved_to(cut).save(str(tmp_path / "m"))
+    again = StoredModel.load(spark, str(tmp_path / "m")).predict()
+    assert again.agg(F.max("ds")).first()[0] <= START + timedelta(days=12)
+
+
 def test_boosted_exogenous_values(spark):
     rng = random.Random(5)
     rows = []

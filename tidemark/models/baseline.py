@@ -81,9 +81,24 @@ def forecast_baseline(
     bands: int | None = None,
 ) -> DataFrame:
     """Keys, ``step``, ``ds`` and ``prediction`` for every series."""
+    fitted = fit_all_rows(df, datetime_column, target, keys, tiebreak, span, strategy, bands)
+    return predict_baseline(fitted, horizon, model, frequency, keys, gap)
+
+
+def fit_all_rows(
+    df: DataFrame, datetime_column: str, target: str, keys: Sequence[str] = (), tiebreak: Sequence[str] = (),
+    span: float = DEFAULT_SPAN, strategy: str = "banded", bands: int | None = None,
+) -> DataFrame:
+    """Coefficients and last time of every series from all its rows with a value."""
     values = df.where(col(target).isNotNull() & col(datetime_column).isNotNull())
     indexed = sequence(values, [datetime_column, *tiebreak], keys, strategy, bands).with_index("__idx", "__total")
-    fitted = fit_baselines(indexed, target, keys, "__idx", F.col("__total"), span, datetime_column)
+    return fit_baselines(indexed, target, keys, "__idx", F.col("__total"), span, datetime_column)
+
+
+def predict_baseline(
+    fitted: DataFrame, horizon: int, model: str, frequency: str = "D", keys: Sequence[str] = (), gap: int = 0
+) -> DataFrame:
+    """The horizon after the last row of every series, from its row of coefficients."""
     grid = future_grid(fitted.where(F.col("n_train") > 0), "last_time", horizon, frequency, keys, gap)
     position = F.col("n_train") + F.lit(gap) + F.col("step") - 1
     return grid.select(

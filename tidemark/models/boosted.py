@@ -8,33 +8,35 @@ an origin that sees its own past and the following ``horizon`` values as labels.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import date_part
 from tidemark.functions.columns import col
 from tidemark.functions.frequency import shift_periods
-from tidemark.models.evaluate import holdout_metrics
 from tidemark.operators.join import join_future_exog
 from tidemark.operators.keys import attach, key_columns
 from tidemark.operators.sequence import sequence
 from tidemark.operators.series import ewm_mean
-from tidemark.session import materialize
+from tidemark.session import materialize, point_checkpoints
 
-# Relative sizes of four tried settings: few fast trees, many slow ones, deep ones, sampled ones.
+# The most rounds and the step sizes of four tried settings. Depths hold 32, 64, 128 and 32 leaves.
 TUNING_GRID: tuple[dict[str, Any], ...] = (
-    {"maxIter": 10, "stepSize": 0.2, "maxDepth": 5},
-    {"maxIter": 30, "stepSize": 0.1, "maxDepth": 6},
-    {"maxIter": 40, "stepSize": 0.05, "maxDepth": 7},
-    {"maxIter": 15, "stepSize": 0.15, "maxDepth": 5, "subsamplingRate": 0.7},
+    {"maxIter": 200, "stepSize": 0.1, "maxDepth": 5},
+    {"maxIter": 800, "stepSize": 0.03, "maxDepth": 6},
+    {"maxIter": 1000, "stepSize": 0.01, "maxDepth": 7},
+    {"maxIter": 300, "stepSize": 0.08, "maxDepth": 5, "subsamplingRate": 0.7},
 )
+#: Rounds of a setting's first fit when its best number of rounds is searched.
+FIRST_ROUNDS = 25
 DEFAULT_PARAMS: dict[str, Any] = {"maxIter": 20, "stepSize": 0.1, "maxDepth": 5, "seed": 42}
 MIN_TUNING_ROWS = 500
 EWM_ALPHA = 0.3
@@ -100,6 +102,12 @@ def origins(df: DataFrame, c: BoostedConfig, steps: int, strategy: str = "banded
     return ordered.over(made, lookback, lookahead)
 
 
+def last_origins(df: DataFrame, c: BoostedConfig, strategy: str = "banded", bands: int | None = None) -> DataFrame:
+    """One row per series: its last time as ``__last`` and the features that a forecast starts from."""
+    last = origins(df, c, 1, strategy, bands).where("__is_last")
+    return last.select(*key_columns(c.keys), col(c.datetime_column).alias("__last"), *_origin_columns(c))
+
+
 def _with_step_features(rows: DataFrame, c: BoostedConfig) -> DataFrame:
     parts = {p: date_part(F.col("ds"), p).cast("double") for p in c.date_features}
     return rows.withColumns({**parts, "step": F.col("step").cast("double")})
@@ -123,16 +131,27 @@ def labelled_rows(found: DataFrame, c: BoostedConfig, condition: Column | None =
     return _with_step_features(exploded, c)
 
 
-def fit_rows(rows: DataFrame, c: BoostedConfig) -> PipelineModel:
-    params = {**DEFAULT_PARAMS, **c.params}
-    assembler = VectorAssembler(inputCols=c.feature_names(), outputCol="features", handleInvalid="keep")
-    booster = GBTRegressor(featuresCol="features", labelCol="label", predictionCol="prediction", **params)
+def _assembler(c: BoostedConfig) -> VectorAssembler:
+    return VectorAssembler(inputCols=c.feature_names(), outputCol="features", handleInvalid="keep")
+
+
+def feature_vectors(rows: DataFrame, c: BoostedConfig) -> DataFrame:
+    """``features`` and ``label`` of the labelled rows; boosting reads them many times, so they are written."""
     needed = rows.select(*[F.col(n).cast("double").alias(n) for n in c.feature_names()], "label").where(
         F.col("label").isNotNull()
     )
-    # Boosting reads its rows many times: keep them as a written, column-pruned table.
-    stored = materialize(assembler.transform(needed).select("features", "label"), "boosting")
-    return PipelineModel(stages=[assembler, booster.fit(stored)])
+    return materialize(_assembler(c).transform(needed).select("features", "label"), "boosting")
+
+
+def _boost(vectors: DataFrame, params: Mapping[str, Any]) -> GBTRegressionModel:
+    # Long fits cut their lineage every ten rounds (checkpointInterval) in the shared folder.
+    point_checkpoints(vectors.sparkSession)
+    made = GBTRegressor(featuresCol="features", labelCol="label", predictionCol="prediction", **{**DEFAULT_PARAMS, **params})
+    return made.fit(vectors)
+
+
+def fit_rows(rows: DataFrame, c: BoostedConfig) -> PipelineModel:
+    return PipelineModel(stages=[_assembler(c), _boost(feature_vectors(rows, c), c.params)])
 
 
 @dataclass(frozen=True)
@@ -145,11 +164,14 @@ class BoostedModel:
         strategy: str = "banded", bands: int | None = None,
     ) -> DataFrame:
         """Keys, ``step``, ``ds``, ``prediction`` after the last row of every series."""
+        return self.predict_from(last_origins(df, self.config, strategy, bands), horizon, future_exog)
+
+    def predict_from(self, last: DataFrame, horizon: int | None = None, future_exog: DataFrame | None = None) -> DataFrame:
+        """The same from the rows of ``last_origins``; their order does not matter."""
         c = self.config
         h = horizon or c.horizon
-        last = origins(df, c, 1, strategy, bands).where("__is_last")
         steps = F.explode(F.sequence(F.lit(1), F.lit(h))).alias("step")
-        grid = last.select(*key_columns(c.keys), *_origin_columns(c), col(c.datetime_column).alias("__last"), steps)
+        grid = last.select(*key_columns(c.keys), *_origin_columns(c), F.col("__last"), steps)
         grid = grid.withColumn("ds", shift_periods(F.col("__last"), F.col("step") + c.gap, c.frequency))
         if c.exog:
             if future_exog is None:
@@ -232,27 +254,70 @@ def holdout_boosted(
     )
 
 
+@dataclass(frozen=True)
+class Trial:
+    """One setting: ``curve[i]`` is the RMSE on the test rows after ``i + 1`` rounds of a single fit."""
+
+    setting: Mapping[str, Any]
+    curve: tuple[float, ...]
+
+    @property
+    def rounds(self) -> int:
+        return min(range(len(self.curve)), key=self.curve.__getitem__) + 1
+
+    @property
+    def rmse(self) -> float:
+        return self.curve[self.rounds - 1]
+
+    @property
+    def params(self) -> dict[str, Any]:
+        """The setting with the number of rounds that its curve asks for."""
+        return {**self.setting, "maxIter": self.rounds}
+
+
+def rounds_curve(
+    training: DataFrame, test: DataFrame, params: Mapping[str, Any], first_rounds: int = FIRST_ROUNDS
+) -> tuple[float, ...]:
+    """Test RMSE after each round, from feature vectors of both sides.
+
+    The rounds of a fit are a prefix of those of a longer one, so one fit gives the
+    whole curve in one pass over the test rows. Fits double their rounds up to
+    ``maxIter`` while the best round lies in the second half of the curve; a setting
+    is done when as many rounds again have brought nothing.
+    """
+    most = {**DEFAULT_PARAMS, **params}["maxIter"]
+    rounds = min(first_rounds, most)
+    while True:
+        model = _boost(training, {**params, "maxIter": rounds})
+        curve = tuple(math.sqrt(e) for e in model.evaluateEachIteration(test, "squared"))
+        best = curve.index(min(curve)) + 1
+        if rounds == most or 2 * best <= rounds:
+            return curve
+        rounds = min(2 * rounds, most)
+
+
 def tried_settings(
     df: DataFrame, c: BoostedConfig, grid: Sequence[Mapping[str, Any]] = TUNING_GRID,
-    train_fraction: float = 0.8, strategy: str = "banded",
-) -> list[tuple[dict[str, Any], float | None]]:
-    """Holdout RMSE of every setting, over all series together. Only the fit depends on the setting."""
+    train_fraction: float = 0.8, strategy: str = "banded", first_rounds: int = FIRST_ROUNDS,
+) -> list[Trial]:
+    """Every setting with its error curve over all series together, on the same written rows."""
     held = holdout_tables(df, c, train_fraction, strategy)
-    out = []
-    for params in grid:
-        tried = BoostedConfig(**{**asdict(c), "params": {**c.params, **params}})
-        error = holdout_metrics(holdout_boosted(df, tried, train_fraction, strategy, tables=held)).first()["rmse"]
-        out.append((dict(params), error))
-    return out
+    training, test = feature_vectors(held.training, c), feature_vectors(held.test, c)
+    if training.isEmpty() or test.isEmpty():
+        return []
+    return [Trial(dict(p), rounds_curve(training, test, {**c.params, **p}, first_rounds)) for p in grid]
 
 
 def tune_boosted(
     df: DataFrame, c: BoostedConfig, grid: Sequence[Mapping[str, Any]] = TUNING_GRID,
-    train_fraction: float = 0.8, strategy: str = "banded",
+    train_fraction: float = 0.8, strategy: str = "banded", first_rounds: int = FIRST_ROUNDS,
 ) -> tuple[dict[str, Any], float]:
-    """The setting with the smallest holdout RMSE, and that RMSE. A handful of fits, each distributed."""
-    errors = [t for t in tried_settings(df, c, grid, train_fraction, strategy) if t[1] is not None]
-    best = min(errors, key=lambda t: t[1], default=None)
-    if best is None:
+    """The setting, rounds included, with the smallest holdout RMSE, and that RMSE.
+
+    The configured setting itself is tried first, so a winner is better on the same rows.
+    """
+    tried = tried_settings(df, c, ({}, *grid), train_fraction, strategy, first_rounds)
+    if not tried:
         raise ValueError("no series long enough to tune on")
-    return best
+    best = min(tried, key=lambda t: t.rmse)
+    return best.params, best.rmse

@@ -154,7 +154,19 @@ def forecast_seasonal(
 ) -> DataFrame:
     c = config or SeasonalConfig.for_frequency(frequency, holidays is not None)
     fitted = fit_seasonal(df, datetime_column, target, keys, c, holidays, strategy, bands)
-    grid = future_grid(fitted.select(*key_columns(keys), "end"), "end", horizon, frequency, keys, gap)
+    return predict_seasonal(fitted, c, horizon, frequency, keys, gap, holidays)
+
+
+def predict_seasonal(
+    fitted: DataFrame, c: SeasonalConfig, horizon: int, frequency: str = "D", keys: Sequence[str] = (), gap: int = 0,
+    holidays: DataFrame | None = None, last: DataFrame | None = None,
+) -> DataFrame:
+    """The horizon after the training part of every series, or after the times ``end`` of ``last``.
+
+    A series of ``last`` that was not fitted has null predictions.
+    """
+    ends = fitted if last is None else last
+    grid = future_grid(ends.select(*key_columns(keys), "end"), "end", horizon, frequency, keys, gap)
     if c.with_holidays:
         grid = holiday_flag(grid, "ds", holidays)
     out = predict_rows(grid, "ds", fitted, keys, c)

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from tidemark.diagnostics import health
 from tidemark.models import baseline, evaluate
-from tidemark.models.boosted import BoostedConfig, BoostedModel, fit_boosted, tried_settings
+from tidemark.models.boosted import BoostedConfig, fit_boosted, tried_settings
 from tidemark.models.seasonal import SeasonalConfig, design, fit_seasonal, forecast_seasonal, holdout_seasonal
+from tidemark.models.stored import ModelSettings, StoredModel, fit_model
 from tidemark.operators.aggregate import resample
 from tidemark.operators.features import create_features
 from tidemark.operators.profile import data_quality
@@ -382,8 +383,9 @@ def _(spark, sf):
 @query("mdl_08_tune")
 def _(spark, sf):
     tried = tried_settings(order_panel(spark, sf), _boosted_config(), strategy="keyed")
-    rows = [(str(sorted(params.items())), float(error)) for params, error in tried]
-    return spark.createDataFrame(rows, "params string, rmse double")
+    best = min(t.rmse for t in tried)
+    rows = [(str(sorted(t.params.items())), len(t.curve), t.rmse, t.rmse == best) for t in tried]
+    return spark.createDataFrame(rows, "params string, rounds_fitted int, rmse double, chosen boolean")
 
 
 GRIDDED = f"""WITH {ORDER_PANEL},
@@ -440,14 +442,46 @@ def _(spark, sf):
     return made.join(diagnosed.select("series", "health_score", "health_band", _codes("warnings")), "series")
 
 
+def _reloaded(spark, days, kind):
+    """A fitted model and the same one from its files."""
+    settings = ModelSettings(kind, "ds", "value", 7, "D", ("series",), strategy="keyed")
+    model = fit_model(days, settings, _boosted_config() if kind == "boosted" else None)
+    path = fresh_path(spark, "model")
+    model.save(path)
+    return model, StoredModel.load(spark, path)
+
+
+@query("mdl_14_predict_closed_forms", f"""WITH {ORDER_PANEL},
+x AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY series) AS n FROM order_panel WINDOW w AS (PARTITION BY series ORDER BY ds)),
+f AS (SELECT series, max(ds) AS last, max(n) AS n, arg_max(value, i) AS naive, regr_slope(value, i) AS s, regr_intercept(value, i) AS b,
+        sum(value * CASE WHEN i = 0 THEN 1 ELSE 2 / 21.0::DOUBLE END * pow(19 / 21.0::DOUBLE, n - 1 - i)) AS level FROM x GROUP BY 1),
+g AS (SELECT *, CAST(h AS INTEGER) AS step FROM f, range(1, 11) r(h))
+SELECT series, step, last + to_days(step) AS ds, model_name,
+  round(CASE model_name WHEN 'naive' THEN naive WHEN 'linear' THEN b + s * (n + step - 1) ELSE level END, 2) AS prediction
+FROM g, (VALUES ('naive'), ('linear'), ('simple_ewm')) m(model_name)""")
+def _(spark, sf):
+    days = order_panel(spark, sf)
+    made = [predict_existing(_reloaded(spark, days, kind)[1], horizon=10) for kind in baseline.BASELINES]
+    rows = made[0].unionByName(made[1]).unionByName(made[2])
+    return rows.select("series", "step", "ds", "model_name", rounded("prediction", 2))
+
+
+@query("mdl_14_predict_seasonal", STEPS.format(model="seasonal", steps=11))
+def _(spark, sf):
+    days = order_panel(spark, sf)
+    again = predict_existing(_reloaded(spark, days, "seasonal")[1], days, 10)
+    direct = forecast_seasonal(days, "ds", "value", 10, "D", ["series"], strategy="keyed")
+    first = direct.select("series", "step", F.col("prediction").alias("first"))
+    same = F.abs(F.col("prediction") - F.col("first")) <= 1e-9 * (1 + F.abs("first"))
+    return again.join(first, ["series", "step"]).select("series", "step", "ds", "model_name", same.alias("finite"))
+
+
 @query("mdl_14_predict_existing", STEPS.format(model="boosted", steps=11))
 def _(spark, sf):
     days = order_panel(spark, sf)
-    path = fresh_path(spark, "model")
-    model = fit_boosted(days, _boosted_config(), "keyed")
-    model.save(path)
-    again = predict_existing(BoostedModel.load(spark, path), days, 10)
-    first = model.predict(days, 10, strategy="keyed").select("series", "step", F.col("prediction").alias("first"))
+    model, again = _reloaded(spark, days, "boosted")
+    again = predict_existing(again, days, 10)
+    first = model.predict(10).select("series", "step", F.col("prediction").alias("first"))
     same = F.round(F.abs(F.col("prediction") - F.col("first")), 6) == 0
     return again.join(first, ["series", "step"]).select("series", "step", "ds", "model_name", same.alias("finite"))
 

@@ -16,12 +16,10 @@ from pyspark.sql import functions as F
 
 from tidemark.diagnostics.health import diagnose, forecast_sanity
 from tidemark.functions.columns import col, is_non_negative_name, is_numeric, numeric_columns, require
-from tidemark.models.baseline import BASELINES, default_span, forecast_baseline
+from tidemark.models.baseline import BASELINES, default_span
 from tidemark.models.boosted import (
     MIN_TUNING_ROWS,
     BoostedConfig,
-    BoostedModel,
-    fit_boosted,
     holdout_boosted,
     tune_boosted,
 )
@@ -33,7 +31,8 @@ from tidemark.models.evaluate import (
     matched_predictions,
     series_status,
 )
-from tidemark.models.seasonal import forecast_seasonal, holdout_seasonal
+from tidemark.models.seasonal import holdout_seasonal
+from tidemark.models.stored import ModelSettings, StoredModel, fit_model
 from tidemark.operators.features import EWM_ROWS, configure_features
 from tidemark.operators.fill import fix_frequency
 from tidemark.operators.join import join_external
@@ -73,7 +72,7 @@ class WorkflowResult:
     best_params: dict[str, Any] = field(default_factory=dict)
     forecast: DataFrame | None = None
     diagnostics: DataFrame | None = None
-    model: BoostedModel | None = None
+    model: StoredModel | None = None
     series: DataFrame | None = None
 
     @property
@@ -113,22 +112,14 @@ def series_frequency(df: DataFrame, job: Job) -> str:
 def forecast_with(
     prepared: DataFrame, job: Job, model: str, frequency: str, features: Mapping[str, Any],
     holidays: DataFrame | None = None, future_exog: DataFrame | None = None, span: int = 20,
-) -> tuple[DataFrame, BoostedModel | None]:
+) -> tuple[DataFrame, StoredModel]:
     """Fit one model on everything and predict the horizon."""
-    if model in BASELINES:
-        made = forecast_baseline(
-            prepared, job.datetime_column, job.target, job.horizon, model, frequency, job.keys, job.gap,
-            span=span, strategy=job.strategy,
-        )
-        return made, None
-    if model == "seasonal":
-        made = forecast_seasonal(
-            prepared, job.datetime_column, job.target, job.horizon, frequency, job.keys, job.gap,
-            holidays=holidays, strategy=job.strategy,
-        )
-        return made, None
-    fitted = fit_boosted(prepared, boosted_config(job, frequency, features), job.strategy)
-    return fitted.predict(prepared, job.horizon, future_exog, job.strategy), fitted
+    settings = ModelSettings(
+        model, job.datetime_column, job.target, job.horizon, frequency, tuple(job.keys), job.gap, span, job.strategy
+    )
+    boosted = boosted_config(job, frequency, features) if model == "boosted" else None
+    fitted = fit_model(prepared, settings, boosted, holidays=holidays)
+    return fitted.predict(future_exog=future_exog, holidays=holidays), fitted
 
 
 def boosted_config(job: Job, frequency: str, features: Mapping[str, Any]) -> BoostedConfig:
@@ -199,8 +190,8 @@ def run_workflow(
 ) -> WorkflowResult:
     """All six stages. A panel is trained with the global model next to the naive baseline.
 
-    With ``store``, a new folder, the steps and the forecast are written below it; a stage
-    that fails leaves a ``failed`` step there.
+    With ``store``, a new folder, the steps, the forecast and the model are written below it;
+    a stage that fails leaves a ``failed`` step there.
     """
     result = WorkflowResult()
     begun = time.monotonic()
@@ -208,6 +199,7 @@ def run_workflow(
         _run_stages(result, df, job, as_of, holidays, future_exog, external)
         if store and result.forecast is not None:
             result.forecast.write.parquet(f"{store}/forecast")
+            result.model.save(f"{store}/model")
     except Exception as error:
         result.steps.append(Step(STAGES[min(len(result.steps), len(STAGES) - 1)], "failed", time.monotonic() - begun, str(error)[:500]))
         raise
@@ -282,10 +274,8 @@ def _run_stages(
     test = materialize(holdout_of(prepared, job, candidates, frequency, features, holidays, span), "holdout")
     metrics = holdout_metrics(test, keys=["model"])
     if job.tune and "boosted" in candidates and result.analysis["n_rows"] >= job.min_tuning_rows:
-        params, error = tune_boosted(prepared, boosted_config(job, frequency, features), strategy=job.strategy)
-        default = metrics.where(F.col("model") == "boosted").first()["rmse"]
-        if error < default:
-            result.best_params = params
+        # The job's own setting is one of the tried, so all errors are of the same rows.
+        result.best_params, _ = tune_boosted(prepared, boosted_config(job, frequency, features), strategy=job.strategy)
     done("training", ", ".join(candidates))
 
     result.metrics = board = leaderboard(metrics)
@@ -330,7 +320,8 @@ def forecast(
 
 
 def predict_existing(
-    model: BoostedModel, df: DataFrame, horizon: int | None = None, future_exog: DataFrame | None = None
+    model: StoredModel, df: DataFrame | None = None, horizon: int | None = None,
+    future_exog: DataFrame | None = None, holidays: DataFrame | None = None,
 ) -> DataFrame:
-    """Predict again with a reloaded model on current data."""
-    return model.predict(df, horizon, future_exog)
+    """Predict again with a reloaded model of any kind: after its stored state, or after the rows of ``df``."""
+    return (model if df is None else model.moved_to(df)).predict(horizon, future_exog, holidays)

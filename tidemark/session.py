@@ -41,6 +41,13 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+def point_checkpoints(spark: SparkSession) -> None:
+    """Let jobs that checkpoint by themselves, such as boosting, do so below the shared folder."""
+    folder = shared_folder(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, never reused path below the shared folder."""
     return f"{shared_folder(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
