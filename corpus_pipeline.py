@@ -21,19 +21,32 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 NEAR_WIDTH, NEAR_PERCENT = 5, 80
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column of ``docs`` has it in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below a half; it learns from the labels outside the held-out fold."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), may_learn=~toxicity.held_out(F.col("id")))
-    return toxicity.score(docs, model, score_col="_toxicity").where("_toxicity < 0.5").select(*docs.columns)
+    score = _free(docs, "_toxicity")
+    return toxicity.score(docs, model, score_col=score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies; equal rows of one id are one document."""
+    """The document of the smallest id of each group of near copies.
+
+    An id is one document: its texts stay or go together, and equal texts of it are one row.
+    """
     groups = jaccard_components(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    again = Window.partitionBy("doc_id", "_text").orderBy("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").withColumn("_text", F.xxhash64("text"))
-    return kept.withColumn("_again", F.row_number().over(again)).where("_again = 1").select(*docs.columns)
+    digest, place = _free(docs, "_digest"), _free(docs, "_place")
+    again = Window.partitionBy("doc_id", digest).orderBy("doc_id")
+    kept = docs.join(gone, "doc_id", "left_anti").withColumn(digest, F.sha2("text", 256))
+    return kept.withColumn(place, F.row_number().over(again)).where(F.col(place) == 1).select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,11 +63,21 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their token ids, and whether decoding gives the text back."""
-    encoded = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN, keep=tuple(docs.columns))
-    decoded = byte_bpe.decode(encoded, RANKS)
-    intact = F.coalesce(F.col("text"), F.lit("")).cast("binary") == F.col("decoded")
-    return decoded.select(*docs.columns, F.size("ids").cast("long").alias("n_tokens"), "ids", intact.alias("intact"))
+    """Documents with their token ids, and whether decoding gives the text back.
+
+    The results are ``n_tokens``, ``ids`` and ``intact``; where a column of the documents
+    has such a name it stays, and the result's gets an underscore.
+    """
+    plain = {f"in_{i}": c for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in plain.items()])
+    text = next(n for n, c in plain.items() if c == "text")
+    done = byte_bpe.encode(rows, RANKS, public_tokenizers.PATTERN, text, tuple(plain), decoded=True)
+    results = {
+        "n_tokens": F.size("ids").cast("long"),
+        "ids": F.col("ids"),
+        "intact": F.coalesce(F.col(text), F.lit("")).cast("binary") == F.col("decoded"),
+    }
+    return done.select(*[F.col(n).alias(c) for n, c in plain.items()], *[v.alias(_free(docs, n)) for n, v in results.items()])
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
