@@ -78,10 +78,10 @@ class BlockBundles:
         self.windows, self.rule, self.buckets = windows, rule, buckets
         self.text, self.start, self.count, anchor, digest = windows.bundles()
         self.ids = ids
-        # 48 bits of the anchor beside its bucket and 39 of the digest; an anchor met by chance only costs a comparison
+        # 48 bits of the anchor beside its bucket and 63 of the digest; an anchor met by chance only costs a comparison
         self.key, bucket = anchor, _buckets(anchor, buckets)
         self.anchor = anchor & np.uint64((1 << 48) - 1)
-        self.digest = digest & np.uint64((1 << 40) - 2)
+        self.digest = digest & np.uint64((1 << 64) - 2)
         self.order = _sorted(anchor, self.digest)
         head = _heads(anchor[self.order], self.digest[self.order])
         self.entry = np.empty(len(self.order), np.int64)
@@ -92,10 +92,10 @@ class BlockBundles:
         self.states = np.zeros(len(self.first), np.uint8)
 
     def packed(self, block: int) -> pa.Table:
-        """Round 1: 11 bytes an entry, by bucket."""
+        """Round 1: 14 bytes an entry, by bucket; the digest's last bit says whether the block has it again."""
         f = self.first
         many = (self.times > 1).astype(np.uint64)
-        body = np.concatenate([_bytes_of(self.anchor[f], 0, 6), _bytes_of(self.digest[f] | many, 0, 5)], axis=1)
+        body = np.concatenate([_bytes_of(self.anchor[f], 0, 6), _bytes_of(self.digest[f] | many, 0, 8)], axis=1)
         return _by_bucket(block, 1, self.bucket, body)
 
     def told(self, answers: dict[tuple[int, int], bytes]) -> None:
@@ -199,7 +199,7 @@ def _answers(rows: pa.Table, step: int, states: np.ndarray, at: np.ndarray) -> p
 
 def _rank_bundles(rule: str) -> Callable[[pa.Table], pa.Table]:
     def rank(rows: pa.Table) -> pa.Table:
-        body, block, at = _unpacked(rows, 11)
+        body, block, at = _unpacked(rows, 14)
         anchor, digest = _number(body[:, :6]), _number(body[:, 6:])
         many, digest = (digest & np.uint64(1)).astype(bool), digest >> np.uint64(1)
         order = _sorted(anchor, digest, block)
