@@ -19,7 +19,7 @@ from tidemark.llm.common import smallest_labels
 from tidemark.llm.decontaminate import find_contamination, simhash, variants
 from tidemark.llm.fingerprints import compare_with_next, edited, fingerprint, likeness
 from tidemark.llm.licenses import TEMPLATES, scan_licences
-from tidemark.llm.ngram_join import jaccard_components, overlap_bound, signature
+from tidemark.llm.ngram_join import jaccard_components, overlap_bound, part_keys, signature
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.001"
@@ -337,6 +337,46 @@ def test_bit_counts_bound_the_overlap():
         assert len(np.intersect1d(a, b)) <= overlap_bound(signature(a), len(a), signature(b), len(b)) <= min(len(a), len(b))
 
 
+def test_linked_sets_share_a_key_and_random_ones_do_not():
+    rng = np.random.default_rng(4)
+    for percent in (60, 80, 85, 95):
+        for n in (1, 4, 7, 12, 30, 75, 200, 530):
+            base = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            sets = [base]
+            for _ in range(20):  # without some elements, with some others, or both
+                kept = base[rng.random(len(base)) > rng.uniform(0, 1 - percent / 100)]
+                more = rng.integers(0, 2**64, int(rng.integers(0, 1 + n * (100 - percent) // 100)), dtype=np.uint64)
+                sets.append(np.unique(np.concatenate([kept, more])))
+            sets += [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for _ in range(5)]
+            sets = [x for x in sets if len(x)]
+            keys, owner = part_keys(np.concatenate(sets), np.cumsum([0, *map(len, sets)]), percent)
+            keys = [set(keys[owner == i].tolist()) for i in range(len(sets))]
+            for i, a in enumerate(sets):
+                for j, b in enumerate(sets[:i]):
+                    shared = len(np.intersect1d(a, b))
+                    if not np.array_equal(a, b) and 100 * shared >= percent * (len(a) + len(b) - shared):
+                        assert keys[i] & keys[j]
+            assert not any(a & b for i, a in enumerate(keys[-5:]) for b in keys[-5:][:i])
+
+
+def test_large_groups_meet_tile_by_tile(spark, monkeypatch):
+    import tidemark.llm.ngram_join as module
+
+    monkeypatch.setattr(module, "TILE", 8)
+    base, texts = prose(50, 120).split(" "), []
+    for i in range(60):  # copies of one text about the least similarity apart: some pairs link, most do not
+        words = list(base)
+        for k in range(2 + i % 3):
+            words[(i * 17 + k * 41) % 120] = f"w{i}x{k}"
+        texts.append(" ".join(words))
+    rows = []
+    verified = module._verified
+    monkeypatch.setattr(module, "_verified", lambda *a: rows.append(verified(*a)) or rows[-1])
+    assert sorted(map(tuple, jaccard_components(documents(spark, texts)).collect())) == components(list(enumerate(texts)))
+    # what leaves a comparison is a link a set, not a row a pair
+    assert len(rows) == 2 + module.TURNS and rows[0].count() < len(texts)
+
+
 def test_labels_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, i) for i in range(501, 600)] + [(7, 7)]
     got = {r[0]: r[1] for r in smallest_labels(spark.createDataFrame(edges, "a long, b long")).collect()}

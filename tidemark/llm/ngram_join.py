@@ -1,26 +1,34 @@
-"""N-gram Jaccard join: size-banded tiles, bitmap bounds, then exact sorted-array intersection."""
+"""N-gram Jaccard join: keys of equal parts of sets give groups, in which sorted arrays are intersected exactly."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.bundles import _bytes_of, _heads, _number
 from tidemark.llm.common import chosen, hot_join, shuffle_partitions, smallest_labels, text_or_empty
-from tidemark.llm.kernels import LOWER, M2, SLICE, U, buffer_of, scramble, shingles, words
+from tidemark.llm.kernels import LOWER, M2, SLICE, U, buffer_of, pair, runs_of, scramble, shingles, words
 from tidemark.session import materialize
 
 #: Words of a shingle, and the least similarity in hundredths.
 WIDTH, PERCENT = 4, 85
-#: Shingles that go last in the global order because they are frequent, at most. Any order gives the same links.
-FREQUENT = 100_000
-#: Bits of the filter that tells which sets have to be read again; more sets only make it less sharp.
-FILTER_BITS = 1 << 22
-#: Rounds in which each class proposes its likeliest link before all sets of different classes are compared. Changes no result.
+#: Ratio of the sizes at the two ends of a band. Changes no result, like all numbers below.
+BAND = 1.4
+#: Elements of the sets whose keys meet inside their task before they are sent on.
+BLOCK = 1 << 19
+#: Ranges of the key space at least, and elements of sets for which there is one more.
+BUCKETS, BUCKET_ELEMENTS = 512, 3 << 20
+#: Bits of a digest that name a set while groups are found; a clash only makes a group larger.
+NODE = (1 << 40) - 1
+#: Sets and elements that are compared in one go; a larger group is cut into tiles.
+TILE, TILE_ELEMENTS = 1024, 1 << 20
+#: Times the sets of a large group are dealt into tiles anew before all tiles of different classes meet.
 TURNS = 2
 
 
@@ -61,284 +69,304 @@ def digest_of(ordered: np.ndarray) -> int:
     return int(scramble(parts.sum(dtype=U, keepdims=True))[0].astype(np.int64))
 
 
-def first_elements(ordered: np.ndarray, count: int, frequent: np.ndarray) -> np.ndarray:
-    """The first ``count`` elements in the global order: ascending, frequent ones after all others."""
-    take = min(len(ordered), 2 * count)
-    head = ordered[:take]
-    rare = head[~_among(head, frequent)]
-    if len(rare) < count and take < len(ordered):
-        rare = ordered[~_among(ordered, frequent)]
-    if len(rare) >= count:
-        return rare[:count]
-    common = ordered[_among(ordered, frequent)]
-    return np.concatenate([rare, common[: count - len(rare)]])
-
-
-def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    if not len(ordered):
-        return np.zeros(len(values), bool)
-    at = np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)
-    return ordered[at] == values
-
-
 def signature(ordered: np.ndarray) -> bytes:
     bits = np.zeros(signature_bits(len(ordered)), bool)
     bits[(scramble(ordered ^ M2) & U(len(bits) - 1)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
 
 
-def overlap_bound(a: bytes, n_a: int, b: bytes, n_b: int) -> int:
-    """No more shared elements than this: each bit that only one side has stands for an element that the other lacks."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] | x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] | y[len(y) // 2 :]
-    return min(n_a - int(np.bitwise_count(x & ~y).sum()), n_b - int(np.bitwise_count(y & ~x).sum()))
+def _folded(bits: np.ndarray, width: int) -> np.ndarray:
+    while len(bits) > width:
+        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+    return bits
 
 
-def _frequent(rows: DataFrame, width: int, percent: int, limit: int) -> np.ndarray:
-    """First elements that several sets of one task share, the most frequent ``limit`` of them, over all rows."""
+def overlap_bounds(x: np.ndarray, n: int, ys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """No more shared elements than this with each row of ``ys``: each bit that only one side has stands for an element that the other lacks."""
+    return np.minimum(n - np.bitwise_count(x & ~ys).sum(axis=1, dtype=np.int64), sizes - np.bitwise_count(ys & ~x).sum(axis=1, dtype=np.int64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.zeros(0, U)
-        times = np.zeros(0, np.int64)
-        for batch in batches:
-            parts = [x[: prefix_length(len(x), percent)] for x in Sets(width).of(batch.column("text")) if len(x)]
-            value, n = np.unique(np.concatenate([np.zeros(0, U), *parts]), return_counts=True)
-            known, back = np.unique(np.concatenate([known, value[n > 2]]), return_inverse=True)
-            times = np.bincount(back, np.concatenate([times, n[n > 2]]), len(known)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(known.astype(np.int64)), pa.array(times)], names=["key", "n"])
 
-    counted = rows.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "key").limit(limit).select("key").toPandas()["key"].to_numpy(np.int64)
-    return np.sort(top.astype(np.int64).view(U))
+def overlap_bound(a: bytes, n_a: int, b: bytes, n_b: int) -> int:
+    x, y = (_folded(np.frombuffer(s, np.uint8), min(len(a), len(b))) for s in (a, b))
+    return int(overlap_bounds(x, n_a, y[None, :], np.array([n_b]))[0])
+
 
+@lru_cache(maxsize=8)
+def _bands(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First size, number of parts and spare parts of each band of sizes.
 
-def _described(rows: DataFrame, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """(id, n, digest, prefix, sig): within a batch only the first of equal sets carries prefix and signature."""
+    Two linked sets differ in so many elements at most, and each of these
+    changes one part: with one part more than that, some part is equal. Parts
+    that are empty on both sides say nothing; so many may be, the spare ones.
+    A band with no parts has sizes at which only equal sets link.
+    """
+    lows = [1]
+    while lows[-1] < 1 << 31:
+        lows.append(max(lows[-1] + 1, math.ceil(lows[-1] * BAND)))
+    parts, spare = [], []
+    for low, high in zip(lows[:-1], lows[1:], strict=True):
+        n = high - 1
+        differ = (100 - percent) * (n + 100 * n // percent) // (100 + percent)
+        more = 0
+        for _ in range(4):
+            empty = (differ + 1 + more) * math.exp(-low / (differ + 1 + more))
+            more = min(differ, math.ceil(empty + 2 * math.sqrt(empty)))
+        parts.append(differ + 1 + more if differ else 0)
+        spare.append(more)
+    return np.array(lows[:-1]), np.array(parts), np.array(spare)
+
+
+def part_keys(flat: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the sets ``flat[at[i] : at[i + 1]]``, and the set of each. Two different sets that link share a key.
+
+    A pair belongs to the band of its smaller set. For each band whose sets it
+    may link with, a set is cut into that band's parts by ranges of the
+    elements; a key names a part and all elements in it. A set with more empty
+    parts than the spare ones has its first elements as keys besides.
+    """
+    size = np.diff(at)
+    lows, parts, spare = _bands(percent)
+    own = np.searchsorted(lows, size, side="right") - 1
+    least = np.searchsorted(lows, -(-size * percent // 100), side="right") - 1
+    mixed = scramble(flat * M2)
+    keys, owners = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+    sparse = np.zeros(len(size), bool)
+    for back in range(int((own - least).max(initial=0)) + 1):
+        band = np.maximum(own - back, 0)
+        use = (size > 0) & (own - back >= least) & (parts[band] > 0)
+        if not use.any():
+            continue
+        inside = np.repeat(use, size)
+        owner = np.repeat(np.flatnonzero(use), size[use])
+        part = ((flat[inside] >> U(32)) * np.repeat(parts[band[use]].astype(U), size[use])) >> U(32)
+        head = np.flatnonzero(_heads(owner, part))
+        who = owner[head]
+        keys.append(pair(np.add.reduceat(mixed[inside], head), part[head] | (band[who].astype(U) + U(1)) << U(40)))
+        owners.append(who)
+        sparse |= use & (parts[band] - np.bincount(who, minlength=len(size)) > spare[band])
+    if sparse.any():
+        count = prefix_length(size[sparse], percent)
+        places = np.repeat(at[:-1][sparse], count) + runs_of(count)
+        keys.append(pair(flat[places], np.zeros(len(places), U)))
+        owners.append(np.repeat(np.flatnonzero(sparse), count))
+    return np.concatenate(keys), np.concatenate(owners)
+
+
+def _grouped(keys: np.ndarray, owner: np.ndarray, count: int) -> np.ndarray:
+    """For each owner the least one that is reachable over equal keys."""
+    label = np.arange(count)
+    order = np.argsort(keys, kind="stable")
+    head = _heads(keys[order])
+    size = np.diff(np.append(np.flatnonzero(head), len(head)))
+    many = np.repeat(size > 1, size)
+    who, size = owner[order[many]], size[size > 1]
+    if not len(size):
+        return label
+    first = np.cumsum(size) - size
+    while True:
+        new = label.copy()
+        np.minimum.at(new, who, np.repeat(np.minimum.reduceat(label[who], first), size))
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _described(rows: DataFrame, width: int) -> DataFrame:
+    """(id, h, n, digest): the size and name of each row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.set_memory_pool(pa.system_memory_pool())
         for batch in batches:
-            sizes, digests, prefixes, sigs, seen = [], [], [], [], set()
-            for x in Sets(width).of(batch.column("text")):
-                d = digest_of(x) if len(x) else 0
-                first = len(x) > 0 and d not in seen
-                seen.add(d)
-                sizes.append(len(x))
-                digests.append(d)
-                prefixes.append(first_elements(x, prefix_length(len(x), percent), frequent).astype(np.int64) if first else np.zeros(0, np.int64))
-                sigs.append(signature(x) if first else None)
-            at = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(at), np.concatenate([np.zeros(0, np.int64), *prefixes]))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int32()), pa.array(digests, pa.int64()), lists, pa.array(sigs, pa.binary())], names=["id", "n", "digest", "prefix", "sig"])
-
-    return rows.mapInArrow(run, "id long, n int, digest long, prefix array<long>, sig binary")
-
-
-def _bounded(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that the bit counts of their signatures leave possible."""
-    left = sigs.select(F.col("digest").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("s_a"))
-    right = sigs.select(F.col("digest").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("s_b"))
-    both = pairs.join(left, "a").join(right, "b")
+            found = [(len(x), digest_of(x) if len(x) else 0) for x in Sets(width).of(batch.column("text"))]
+            n, digest = (np.array([r[i] for r in found], np.int64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(n), pa.array(digest)], names=["id", "h", "n", "digest"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c = batch.to_pydict()
-            keep = [(100 + percent) * overlap_bound(s, n, t, m) >= percent * (n + m) for s, n, t, m in zip(c["s_a"], c["n_a"], c["s_b"], c["n_b"], strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    return rows.mapInArrow(run, "id long, h long, n long, digest long")
 
-    return both.select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(run, "a long, b long")
 
+def _candidates(rows: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
+    """(a, b): links between names of sets, over which all sets that share a key can reach each other.
 
-def _arrays(named: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """(digest, elements): the exact sets of the distinct digests that ``named`` holds, built again from the texts."""
-    slots = named.select(F.pmod("digest", F.lit(FILTER_BITS)).cast("int").alias("s")).distinct()
-    wanted = np.zeros(FILTER_BITS, bool)
-    wanted[slots.toPandas()["s"].to_numpy(np.int64)] = True
-    packed = np.packbits(wanted)
+    Sets of one block that share a key are linked inside its task, and each
+    distinct key of a block goes on once, with the least set that its set is
+    linked with. A shuffled row holds all keys of a block in one range.
+    """
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.set_memory_pool(pa.system_memory_pool())
-        open_ = np.unpackbits(packed).astype(bool)
         for batch in batches:
-            digests, sets, seen = [], [], set()
+            block, seen, held = [], set(), 0
             for x in Sets(width).of(batch.column("text")):
-                d = digest_of(x) if len(x) else 0
-                if len(x) and d not in seen and open_[d % FILTER_BITS]:
+                if len(x) and (d := digest_of(x)) not in seen:
                     seen.add(d)
-                    digests.append(d)
-                    sets.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.int64()), pa.array(sets, pa.binary())], names=["digest", "elements"])
-
-    built = rows.select("text").mapInArrow(build, "digest long, elements binary")
-    # equal sets of different batches are the same bytes; one of them goes on
-    return materialize(built.join(named, "digest", "left_semi").dropDuplicates(["digest"]), "sets")
-
-
-def _verified(pairs: DataFrame, once: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose exact sets, as ``_arrays`` gives them, reach the similarity."""
-    both = pairs.join(once.select(F.col("digest").alias("b"), F.col("elements").alias("e_b")), "b").join(once.select(F.col("digest").alias("a"), F.col("elements").alias("e_a")), "a")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("e_a"), batch.column("e_b"), strict=True):
-                s, t = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                shared = int(_among(s, t).sum())
-                keep.append((100 + percent) * shared >= percent * (len(s) + len(t)))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", "e_a", "e_b").mapInArrow(check, "a long, b long")
-
-
-def _open_elements(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """The entries of elements that sets of more than one class share, with the class of each set."""
-    labelled = shared.join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
-    return materialize(labelled.join(mixed, "key", "left_semi").dropDuplicates(["key", "digest"]), "open-elements")
-
+                    block.append((d, x))
+                    held += len(x)
+                if held >= BLOCK:
+                    yield packed(block)
+                    block, held = [], 0
+            if block:
+                yield packed(block)
+
+    def packed(block: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        node = np.array([d & NODE for d, _ in block], np.int64)
+        at = np.concatenate([[0], np.cumsum([len(x) for _, x in block])])
+        keys, owner = part_keys(np.concatenate([x for _, x in block]), at, percent)
+        label = _grouped(keys, owner, len(block))
+        keys, first = np.unique(keys, return_index=True)
+        body = np.concatenate([_bytes_of(keys, 0, 5), _bytes_of(node[label[owner[first]]], 0, 5)], axis=1)
+        bucket, start = np.unique((keys >> U(32)) * U(buckets) >> U(32), return_index=True)
+        ends = np.append(start, len(keys))
+        blobs = [body[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        moved = np.flatnonzero(node[label] != node)
+        links = np.stack([node[moved], node[label[moved]]], axis=1).astype("<i8").tobytes()
+        bucket = np.append(bucket.astype(np.int32), np.int32(int(node[0]) % buckets))
+        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array([*blobs, b""], pa.binary()), pa.array([b""] * len(blobs) + [links], pa.binary())], names=["bucket", "entries", "links"])
+
+    def match(rows: pa.Table) -> pa.Table:
+        pa.set_memory_pool(pa.system_memory_pool())
+        body = np.frombuffer(b"".join(rows["entries"].to_pylist()), np.uint8).reshape(-1, 10)
+        node, owner = np.unique(_number(body[:, 5:]).astype(np.int64), return_inverse=True)
+        label = _grouped(_number(body[:, :5]), owner, len(node))
+        moved = np.flatnonzero(label != np.arange(len(node)))
+        inner = np.frombuffer(b"".join(rows["links"].to_pylist()), "<i8").reshape(-1, 2)
+        return pa.table([np.concatenate([node[moved], inner[:, 0]]), np.concatenate([node[label[moved]], inner[:, 1]])], names=["a", "b"])
 
-def _halves(words_: np.ndarray) -> np.ndarray:
-    half = words_.shape[1] // 2
-    return words_[:, :half] | words_[:, half:]
+    return rows.select("text").mapInArrow(pack, "bucket int, entries binary, links binary").groupBy("bucket").applyInArrow(match, "a long, b long")
 
 
-def _tiles(open_: DataFrame, sigs: DataFrame, percent: int, every: bool) -> DataFrame:
-    """What sets of different classes that share an element leave possible by their sizes, places and bitmaps.
+def linked(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
+    """The classes of sets that the similarity links, named by their least label; sets of equal ``label`` are in one class already.
 
-    With ``every`` all such pairs (a, b). Otherwise one row for each entry that
-    has such a partner: (key, digest, n, at, a, b, label_a, label_b, most) with
-    its likeliest pair, that of the largest similarity ``most`` that the bitmaps
-    leave. An entry without a partner never has one later, since classes only grow.
+    Where there are two sides, only sets of different sides are compared.
+    """
+    order = np.argsort([len(x) for x in sets], kind="stable")
+    sets, label, side = [sets[i] for i in order], label[order].copy(), side[order]
+    size = np.array([len(x) for x in sets])
+    at = np.concatenate([[0], np.cumsum(size)])
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark = np.zeros(at[-1], bool)
+    last = np.searchsorted(size, size * 100 // percent, side="right")
+    both = side.min() < side.max()
+    marks = None
+    if len(sets) > 16:
+        width = signature_bits(size[0]) // 8
+        marks = np.stack([_folded(np.frombuffer(signature(x), np.uint8), width) for x in sets])
+    for i in range(len(sets) - 1):
+        j = np.arange(i + 1, last[i])
+        j = j[label[j] != label[i]]
+        if both:
+            j = j[side[j] != side[i]]
+        if marks is not None and len(j):
+            j = j[(100 + percent) * overlap_bounds(marks[i], size[i], marks[j], size[j]) >= percent * (size[i] + size[j])]
+        if not len(j):
+            continue
+        own = flat[at[i] : at[i + 1]]
+        mark[own] = True
+        hit = mark[flat[np.repeat(at[j], size[j]) + runs_of(size[j])]]
+        shared = np.add.reduceat(hit, np.cumsum(size[j]) - size[j], dtype=np.int64)
+        mark[own] = False
+        alike = j[(100 + percent) * shared >= percent * (size[i] + size[j])]
+        if len(alike):
+            classes = np.unique(label[np.append(alike, i)])
+            label[np.isin(label, classes)] = classes[0]
+    out = np.empty(len(order), np.int64)
+    out[order] = label
+    return out
+
+
+def _verified(rows: DataFrame, wanted: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): links that the exact sets give within each (component, tile) of ``wanted``, at most one a row.
+
+    ``wanted`` has (h, digest, class, n, component, tile, side); ``h`` finds a
+    text of the set, of which equal ones are read once.
     """
-    parts = 4 * shuffle_partitions(open_.sparkSession)
-    rows = open_.join(sigs.select("digest", "sig"), "digest").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
+    total = wanted.agg(F.sum("n")).first()[0] or 0
+    slots = max(4 * shuffle_partitions(rows.sparkSession), math.ceil(total / TILE_ELEMENTS))
+    texts = rows.select("h", "text").dropDuplicates(["h"])
+    placed = texts.join(wanted, "h").select(F.pmod(F.xxhash64("component", "tile"), F.lit(slots)).alias("slot"), "component", "tile", "side", "digest", "class", "text")
 
     def run(table: pa.Table) -> pa.Table:
         pa.set_memory_pool(pa.system_memory_pool())
-        key, n, digest, at, label = (table[c].to_numpy().astype(np.int64) for c in ("key", "n", "digest", "at", "label"))
-        order = np.lexsort((digest, n, key))
-        key, n, digest, at, label = (x[order] for x in (key, n, digest, at, label))
-        marks = [table["sig"][int(i)].as_buffer() for i in order]
-        edges = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-        none = np.zeros(0, np.int64)
-        left, right = [none], [none]
-        top, partner = np.zeros(len(key)), np.full(len(key), -1)
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            if (label[lo:hi] == label[lo]).all():
-                continue
-            size = n[lo:hi]
-            width = np.array([len(m) // 8 for m in marks[lo:hi]])
-            bits, half = {}, {}
-            for w in np.unique(width):
-                own = np.stack([np.frombuffer(m, U) for m, x in zip(marks[lo:hi], width, strict=True) if x == w])
-                bits[w], half[w] = own, _halves(own.view(np.uint8)).view(U) if w > 1 else own
-            place = np.zeros(hi - lo, np.int64)
-            for w in bits:
-                place[width == w] = np.arange((width == w).sum())
-            last = np.searchsorted(size, size * 100 // percent, side="right")
-            for i in range(hi - lo - 1):
-                j = np.arange(i + 1, last[i])
-                j = j[label[lo + j] != label[lo + i]]
-                if len(j):
-                    rest = np.minimum(size[i] - at[lo + i], size[j] - at[lo + j])
-                    most = np.minimum(at[lo + i], at[lo + j]) + rest
-                    j = j[(100 + percent) * most >= percent * (size[i] + size[j])]
-                for w in np.unique(width[j]):
-                    k = j[width[j] == w]
-                    x = bits[width[i]][place[i]]
-                    y = bits[w][place[k]] if w == width[i] else half[w][place[k]]
-                    bound = np.minimum(size[i], size[k])
-                    if y.shape[1] == len(x):
-                        only_x, only_y = np.bitwise_count(x & ~y).sum(axis=1), np.bitwise_count(y & ~x).sum(axis=1)
-                        bound = np.minimum(size[i] - only_x.astype(np.int64), size[k] - only_y.astype(np.int64))
-                        fits = (100 + percent) * bound >= percent * (size[i] + size[k])
-                        k, bound = k[fits], bound[fits]
-                    if every:
-                        left.append(np.full(len(k), digest[lo + i]))
-                        right.append(digest[lo + k])
-                    elif len(k):
-                        most = bound / (size[i] + size[k] - bound)
-                        better = most > top[lo + k]
-                        top[lo + k[better]], partner[lo + k[better]] = most[better], lo + i
-                        j_best = int(np.argmax(most))
-                        if most[j_best] > top[lo + i]:
-                            top[lo + i], partner[lo + i] = most[j_best], lo + k[j_best]
-        if every:
-            pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
-            return pa.table([pairs[:, 0], pairs[:, 1]], names=["a", "b"])
-        here = np.flatnonzero(partner >= 0)
-        i, j = np.minimum(here, partner[here]), np.maximum(here, partner[here])
-        found = [key[here], digest[here], n[here].astype(np.int32), at[here].astype(np.int32), digest[i], digest[j], label[i], label[j], top[here]]
-        return pa.table(found, names=["key", "digest", "n", "at", "a", "b", "label_a", "label_b", "most"])
-
-    likeliest = "key long, digest long, n int, at int, a long, b long, label_a long, label_b long, most double"
-    return rows.groupBy("part").applyInArrow(run, "a long, b long" if every else likeliest)
-
-
-def _likeliest(found: DataFrame) -> DataFrame:
-    """(a, b): of each class's pairs the likeliest, over all tasks."""
-    ends = found.select("a", "b", "label_a", "label_b", "most").distinct().select("*", F.explode(F.array("label_a", "label_b")).alias("label"))
-    best = ends.groupBy("label").agg(F.max_by(F.struct("a", "b"), F.struct("most", "a", "b")).alias("p"))
-    return best.select("p.a", "p.b").distinct()
+        component, tile, side, digest, label = (table[c].to_numpy() for c in ("component", "tile", "side", "digest", "class"))
+        order = np.lexsort((digest, tile, component))
+        edges = np.append(np.flatnonzero(_heads(component[order], tile[order])), len(order))
+        new = label.copy()
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            here = order[a:b]
+            if (label[here] != label[here[0]]).any():
+                new[here] = linked(list(Sets(width).of(table["text"].take(here).combine_chunks())), label[here], side[here], percent)
+        moved = new != label
+        return pa.table([label[moved], new[moved]], names=["a", "b"])
+
+    return placed.groupBy("slot").applyInArrow(run, "a long, b long").distinct()
+
+
+def _open(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``members`` of components that the links have not made one class, with their classes."""
+    classes = smallest_labels(links).select(F.col("node").alias("digest"), F.col("label").alias("class"))
+    now = members.join(classes, "digest", "left").withColumn("class", F.coalesce("class", "digest"))
+    mixed = now.groupBy("component").agg(F.min("class").alias("l"), F.max("class").alias("h_")).where("l <> h_").select("component")
+    return materialize(hot_join(now, mixed, "component", "inner"), "open")
+
+
+def _tiles(count: Column, elements: Column) -> Column:
+    return F.greatest(F.ceil(count / F.lit(TILE)), F.ceil(elements / F.lit(TILE_ELEMENTS))).cast("long")
+
+
+def _tile_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """``members`` for each pair of tiles of a component in which sets of different classes may link."""
+    ordered = Window.partitionBy("component").orderBy("class", "n", "digest")
+    before = F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    tile = F.greatest(F.floor((F.row_number().over(ordered) - 1) / TILE), F.floor(F.coalesce(before, F.lit(0)) / TILE_ELEMENTS))
+    tiled = materialize(members.withColumn("tile", tile.cast("long")), "tiles")
+    ends = tiled.groupBy("component", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("class").alias("c"), F.max("class").alias("d"))
+    x, y = ends.alias("x"), ends.alias("y")
+    apart = (F.col("x.c") != F.col("x.d")) | (F.col("y.c") != F.col("y.d")) | (F.col("x.c") != F.col("y.c"))
+    near = (100 * F.col("x.high") >= percent * F.col("y.low")) & (100 * F.col("y.high") >= percent * F.col("x.low"))
+    pairs = x.join(y, F.col("x.component") == F.col("y.component")).where((F.col("x.tile") <= F.col("y.tile")) & apart & near)
+    pairs = pairs.select(F.col("x.component").alias("component"), F.col("x.tile").alias("i"), F.col("y.tile").alias("j"))
+    sides = pairs.select("component", F.xxhash64("i", "j").alias("pair"), F.explode(F.array(F.struct(F.col("i").alias("tile"), F.lit(0).alias("side")), F.struct(F.col("j").alias("tile"), (F.col("i") < F.col("j")).cast("int").alias("side")))).alias("s"))
+    sides = sides.select("component", "pair", "s.tile", "s.side").distinct()
+    return tiled.join(sides, ["component", "tile"]).drop("tile").withColumnRenamed("pair", "tile")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id): documents linked by the Jaccard similarity of their ``width``-word shingle sets.
 
     Words are split at ASCII white space, A-Z lower-cased. Equal sets are one
-    node. Two linked sets share one of their first elements in a global order
-    (frequent elements last); a tile is such an element and a band of sizes
-    within the similarity of each other. In the first round every set of a tile
-    is compared with its smallest. In the following ones each class proposes one
-    pair, the one that bitmaps leave the largest similarity, and classes that
-    are linked by it become one, which settles groups of near copies by about a
-    link a member; in the last, all sets of a shared element that are still in
-    different classes are compared, also across neighbouring bands. Each comparison first bounds the overlap by the bit counts of hashed bitmaps and
-    then intersects the exact sorted arrays. A pair is left out only where both
-    are already connected, so components are those of all links.
+    node. Two linked sets share a key of ``part_keys``, so all links lie within
+    groups over shared keys. One text of each set goes to its group's task,
+    where sorted arrays are intersected exactly, pair by pair, but for pairs that
+    are in one class already or whose bitmaps leave too little overlap; a row of
+    links a set comes out. A large group is cut into tiles, dealt anew some
+    times to find its classes, and what is still in different classes meets
+    tile by tile.
 
     Null and empty texts and texts without words have no shingles and are
     their own component; a text of fewer words has one shingle; repeated rows
     share a component; null ids keep a row and never name a component with
     others; an empty table gives an empty one; other columns are left behind.
     """
-    rows = chosen(docs, {"id": id_col, "text": text_col}).withColumn("text", text_or_empty("text")).withColumn("id", F.col("id").cast("long"))
-    frequent = _frequent(rows, width, percent, FREQUENT)
-    sets = materialize(_described(rows, width, percent, frequent), "shingle-sets")
-    sigs = sets.where("sig is not null").select("digest", "n", "sig").dropDuplicates(["digest"])
-    entries = sets.select("digest", "n", F.posexplode("prefix").alias("at", "key"))
-    # a key of one set only links nothing; the rest, some tens of a hundred, is written once
-    whole = Window.partitionBy("key")
-    shared = materialize(
-        entries.select("*", F.min("digest").over(whole).alias("low"), F.max("digest").over(whole).alias("high")).where("low <> high").select("key", "digest", "n", "at"), "shared-elements"
-    )
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent)))
-    tile = Window.partitionBy("key", "band").orderBy("n", "digest")
-    led = shared.withColumn("band", band).select("digest", "n", F.first("digest").over(tile).alias("leader"), F.first("n").over(tile).alias("leader_n"))
-    votes = led.where((F.col("digest") != F.col("leader")) & (100 * F.col("leader_n") >= percent * F.col("n"))).groupBy("digest", "leader").count()
-    stars = votes.groupBy("digest").agg(F.max_by("leader", F.struct("count", "leader")).alias("leader"))
-    proposed = materialize(_bounded(stars.select(F.col("leader").alias("a"), F.col("digest").alias("b")), sigs, percent), "pairs")
-    arrays = _arrays(proposed.select(F.explode(F.array("a", "b")).alias("digest")).distinct(), rows, width)
-    links = materialize(_verified(proposed, arrays, percent), "links")
-    labels, tried = smallest_labels(links), proposed
-    # entries with a possible partner of another class: the only ones that matter from here on
-    live = materialize(_tiles(_open_elements(shared, labels), sigs, percent, False), "live")
-    entered, found = live.select("key", "digest", "n", "at"), live
-    arrays = _arrays(live.select("digest").distinct(), rows, width)
-    for _ in range(TURNS):
-        pairs = materialize(_likeliest(found.join(tried, ["a", "b"], "left_anti")), "pairs")
-        more = materialize(_verified(pairs, arrays, percent), "links")
-        if more.isEmpty():
-            break
-        links, tried = links.union(more), tried.union(pairs)
-        labels = smallest_labels(links)
-        found = materialize(_tiles(_open_elements(entered, labels), sigs, percent, False), "live")
-    across = _tiles(_open_elements(entered, labels), sigs, percent, True).distinct()
-    second = _verified(materialize(across.join(tried, ["a", "b"], "left_anti"), "pairs"), arrays, percent)
-    classes = smallest_labels(links.union(second))
+    rows = chosen(docs, {"id": id_col, "text": text_col}).withColumn("text", text_or_empty("text")).withColumn("id", F.col("id").cast("long")).withColumn("h", F.xxhash64("text"))
+    sets = materialize(_described(rows, width), "shingle-sets")
+    buckets = max(BUCKETS, math.ceil((sets.agg(F.sum("n")).first()[0] or 0) / BUCKET_ELEMENTS))
+    groups = smallest_labels(_candidates(rows, width, percent, buckets))
+    once = sets.where("n > 0").groupBy("digest").agg(F.min("h").alias("h"), F.min("n").alias("n"))
+    grouped = once.withColumn("node", F.col("digest").bitwiseAND(F.lit(NODE))).join(groups, "node").select("digest", "h", "n", F.col("label").alias("component"))
+    tiles = grouped.groupBy("component").agg(_tiles(F.count("*"), F.sum("n")).alias("tiles"))
+    members = materialize(hot_join(grouped, tiles, "component", "inner"), "members")
+
+    def dealt(rows_: DataFrame, turn: int) -> DataFrame:
+        return rows_.withColumn("tile", F.pmod(F.xxhash64("digest", F.lit(turn)), F.col("tiles"))).withColumn("side", F.lit(0))
+
+    links = materialize(_verified(rows, dealt(members.withColumn("class", F.col("digest")), 0), width, percent), "links")
+    large = members.where("tiles > 1")
+    if not large.isEmpty():
+        for turn in range(1, TURNS + 1):
+            links = links.union(materialize(_verified(rows, dealt(_open(large, links), turn), width, percent), "links"))
+        links = links.union(_verified(rows, _tile_pairs(_open(large, links), percent), width, percent))
+    classes = smallest_labels(links)
     ids = sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"))
     member = ids.join(classes.select(F.col("node").alias("digest"), "label"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     least = member.groupBy("label").agg(F.min("id").alias("component"))
