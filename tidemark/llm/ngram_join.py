@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -235,43 +235,53 @@ def _candidates(rows: DataFrame, width: int, percent: int, buckets: int) -> Data
     return rows.select("text").mapInArrow(pack, "bucket int, entries binary, links binary").groupBy("bucket").applyInArrow(match, "a long, b long")
 
 
+def _joined(size: np.ndarray, marks: np.ndarray | None, label: np.ndarray, side: np.ndarray, percent: int, shared: Callable[[int, np.ndarray], np.ndarray] | None) -> np.ndarray:
+    """Classes over sets of ascending ``size`` that their bitmaps and, where given, the counts of shared elements link."""
+    label = label.copy()
+    last = np.searchsorted(size, size * 100 // percent, side="right")
+    both = side.min() < side.max()
+    for i in range(len(size) - 1):
+        j = np.arange(i + 1, last[i])
+        j = j[label[j] != label[i]]
+        if both:
+            j = j[side[j] != side[i]]
+        if marks is not None and len(j):
+            j = j[(100 + percent) * overlap_bounds(marks[i], size[i], marks[j], size[j]) >= percent * (size[i] + size[j])]
+        if shared is not None and len(j):
+            j = j[(100 + percent) * shared(i, j) >= percent * (size[i] + size[j])]
+        if len(j):
+            classes = np.unique(label[np.append(j, i)])
+            label[np.isin(label, classes)] = classes[0]
+    return label
+
+
+def _marks(signatures: list[bytes]) -> np.ndarray:
+    width = min(map(len, signatures))
+    return np.stack([_folded(np.frombuffer(x, np.uint8), width) for x in signatures])
+
+
 def linked(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
     """The classes of sets that the similarity links, named by their least label; sets of equal ``label`` are in one class already.
 
     Where there are two sides, only sets of different sides are compared.
     """
     order = np.argsort([len(x) for x in sets], kind="stable")
-    sets, label, side = [sets[i] for i in order], label[order].copy(), side[order]
+    sets = [sets[i] for i in order]
     size = np.array([len(x) for x in sets])
     at = np.concatenate([[0], np.cumsum(size)])
     flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
     mark = np.zeros(at[-1], bool)
-    last = np.searchsorted(size, size * 100 // percent, side="right")
-    both = side.min() < side.max()
-    marks = None
-    if len(sets) > 16:
-        width = signature_bits(size[0]) // 8
-        marks = np.stack([_folded(np.frombuffer(signature(x), np.uint8), width) for x in sets])
-    for i in range(len(sets) - 1):
-        j = np.arange(i + 1, last[i])
-        j = j[label[j] != label[i]]
-        if both:
-            j = j[side[j] != side[i]]
-        if marks is not None and len(j):
-            j = j[(100 + percent) * overlap_bounds(marks[i], size[i], marks[j], size[j]) >= percent * (size[i] + size[j])]
-        if not len(j):
-            continue
+
+    def shared(i: int, j: np.ndarray) -> np.ndarray:
         own = flat[at[i] : at[i + 1]]
         mark[own] = True
         hit = mark[flat[np.repeat(at[j], size[j]) + runs_of(size[j])]]
-        shared = np.add.reduceat(hit, np.cumsum(size[j]) - size[j], dtype=np.int64)
         mark[own] = False
-        alike = j[(100 + percent) * shared >= percent * (size[i] + size[j])]
-        if len(alike):
-            classes = np.unique(label[np.append(alike, i)])
-            label[np.isin(label, classes)] = classes[0]
+        return np.add.reduceat(hit, np.cumsum(size[j]) - size[j], dtype=np.int64)
+
+    marks = _marks([signature(x) for x in sets]) if len(sets) > 16 else None
     out = np.empty(len(order), np.int64)
-    out[order] = label
+    out[order] = _joined(size, marks, label[order], side[order], percent, shared)
     return out
 
 
@@ -305,7 +315,10 @@ def _verified(rows: DataFrame, wanted: DataFrame, width: int, percent: int) -> D
 def _open(members: DataFrame, links: DataFrame) -> DataFrame:
     """``members`` of components that the links have not made one class, with their classes."""
     classes = smallest_labels(links).select(F.col("node").alias("digest"), F.col("label").alias("class"))
-    now = members.join(classes, "digest", "left").withColumn("class", F.coalesce("class", "digest"))
+    return _mixed(members.join(classes, "digest", "left").withColumn("class", F.coalesce("class", "digest")))
+
+
+def _mixed(now: DataFrame) -> DataFrame:
     mixed = now.groupBy("component").agg(F.min("class").alias("l"), F.max("class").alias("h_")).where("l <> h_").select("component")
     return materialize(hot_join(now, mixed, "component", "inner"), "open")
 
@@ -316,10 +329,12 @@ def _tiles(count: Column, elements: Column) -> Column:
 
 def _tile_pairs(members: DataFrame, percent: int) -> DataFrame:
     """``members`` for each pair of tiles of a component in which sets of different classes may link."""
-    ordered = Window.partitionBy("component").orderBy("class", "n", "digest")
+    # classes stay together; sets that are alone go by size, so that few of their tiles are near each other
+    shared = members.groupBy("class").count().where("count > 1").select("class", F.col("class").alias("home"))
+    ordered = Window.partitionBy("component").orderBy("home", "n", "digest")
     before = F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
     tile = F.greatest(F.floor((F.row_number().over(ordered) - 1) / TILE), F.floor(F.coalesce(before, F.lit(0)) / TILE_ELEMENTS))
-    tiled = materialize(members.withColumn("tile", tile.cast("long")), "tiles")
+    tiled = materialize(hot_join(members, shared, "class").withColumn("tile", tile.cast("long")).drop("home"), "tiles")
     ends = tiled.groupBy("component", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("class").alias("c"), F.max("class").alias("d"))
     x, y = ends.alias("x"), ends.alias("y")
     apart = (F.col("x.c") != F.col("x.d")) | (F.col("y.c") != F.col("y.d")) | (F.col("x.c") != F.col("y.c"))
@@ -331,6 +346,40 @@ def _tile_pairs(members: DataFrame, percent: int) -> DataFrame:
     return tiled.join(sides, ["component", "tile"]).drop("tile").withColumnRenamed("pair", "tile")
 
 
+def _refined(rows: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+    """``members`` in smaller components: those that bitmaps make of their classes, tile by tile. Bitmaps move instead of texts."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        for batch in batches:
+            sigs = pa.array([signature(x) for x in Sets(width).of(batch.column("text"))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("component", "h", "digest", "class", "n")), sigs], names=["component", "h", "digest", "class", "n", "sig"])
+
+    def run(table: pa.Table) -> pa.Table:
+        pa.set_memory_pool(pa.system_memory_pool())
+        component, tile, side, label, n = (table[c].to_numpy() for c in ("component", "tile", "side", "class", "n"))
+        order = np.lexsort((n, tile, component))
+        edges = np.append(np.flatnonzero(_heads(component[order], tile[order])), len(order))
+        sigs = table["sig"].to_pylist()
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            here = order[a:b]
+            new = _joined(n[here], _marks([sigs[i] for i in here]), label[here], side[here], percent, None)
+            moved = new != label[here]
+            left.append(label[here][moved])
+            right.append(new[moved])
+        return pa.table([np.concatenate(left), np.concatenate(right)], names=["a", "b"])
+
+    texts = rows.select("h", "text").dropDuplicates(["h"])
+    named = texts.join(members.select("component", "h", "digest", "class", "n"), "h").select("component", "h", "digest", "class", "n", "text")
+    marked = named.mapInArrow(mark, "component long, h long, digest long, class long, n long, sig binary")
+    slots = 16 * shuffle_partitions(rows.sparkSession)
+    met = _tile_pairs(materialize(marked, "bitmaps"), percent).withColumn("slot", F.pmod(F.xxhash64("component", "tile"), F.lit(slots)))
+    links = met.groupBy("slot").applyInArrow(run, "a long, b long").distinct()
+    found = smallest_labels(links).select(F.col("node").alias("class"), "label")
+    return _mixed(hot_join(members.drop("component"), found, "class", "inner").withColumnRenamed("label", "component"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id): documents linked by the Jaccard similarity of their ``width``-word shingle sets.
 
@@ -340,8 +389,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     where sorted arrays are intersected exactly, pair by pair, but for pairs that
     are in one class already or whose bitmaps leave too little overlap; a row of
     links a set comes out. A large group is cut into tiles, dealt anew some
-    times to find its classes, and what is still in different classes meets
-    tile by tile.
+    times to find its classes; of what is still in different classes the bitmaps
+    meet tile by tile, and then the sets of what those leave.
 
     Null and empty texts and texts without words have no shingles and are
     their own component; a text of fewer words has one shingle; repeated rows
@@ -365,7 +414,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if not large.isEmpty():
         for turn in range(1, TURNS + 1):
             links = links.union(materialize(_verified(rows, dealt(_open(large, links), turn), width, percent), "links"))
-        links = links.union(_verified(rows, _tile_pairs(_open(large, links), percent), width, percent))
+        rest = _refined(rows, _open(large, links), width, percent)
+        links = links.union(_verified(rows, _tile_pairs(rest, percent), width, percent))
     classes = smallest_labels(links)
     ids = sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"))
     member = ids.join(classes.select(F.col("node").alias("digest"), "label"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
