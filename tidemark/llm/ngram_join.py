@@ -235,7 +235,31 @@ def _candidates(rows: DataFrame, width: int, percent: int, buckets: int) -> Data
     return rows.select("text").mapInArrow(pack, "bucket int, entries binary, links binary").groupBy("bucket").applyInArrow(match, "a long, b long")
 
 
-def _joined(size: np.ndarray, marks: np.ndarray | None, label: np.ndarray, side: np.ndarray, percent: int, shared: Callable[[int, np.ndarray], np.ndarray] | None) -> np.ndarray:
+class Marks:
+    """The bitmaps of sets of ascending size, those of one width in one array; each is compared at the narrower width of a pair."""
+
+    def __init__(self, signatures: list[bytes]):
+        self.width = np.array([len(x) for x in signatures])
+        self.first, self.bits = {}, {}
+        for w in np.unique(self.width):
+            self.first[w] = int(np.searchsorted(self.width, w))
+            own = [np.frombuffer(x, np.uint8) for x in signatures if len(x) == w]
+            self.bits[w, w], self.bits[w, w // 2] = np.stack(own), np.stack([_folded(x, w // 2) for x in own])
+
+    def fitting(self, i: int, j: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
+        """Those of ``j`` whose overlap with ``i`` may be enough."""
+        w, kept = self.width[i], [j[:0]]
+        x = self.bits[w, w][i - self.first[w]]
+        for v in np.unique(self.width[j]):
+            k = j[self.width[j] == v]
+            if (v, w) in self.bits:
+                bound = overlap_bounds(x, size[i], self.bits[v, w][k - self.first[v]], size[k])
+                k = k[(100 + percent) * bound >= percent * (size[i] + size[k])]
+            kept.append(k)
+        return np.concatenate(kept)
+
+
+def _joined(size: np.ndarray, marks: Marks | None, label: np.ndarray, side: np.ndarray, percent: int, shared: Callable[[int, np.ndarray], np.ndarray] | None) -> np.ndarray:
     """Classes over sets of ascending ``size`` that their bitmaps and, where given, the counts of shared elements link."""
     label = label.copy()
     last = np.searchsorted(size, size * 100 // percent, side="right")
@@ -246,7 +270,7 @@ def _joined(size: np.ndarray, marks: np.ndarray | None, label: np.ndarray, side:
         if both:
             j = j[side[j] != side[i]]
         if marks is not None and len(j):
-            j = j[(100 + percent) * overlap_bounds(marks[i], size[i], marks[j], size[j]) >= percent * (size[i] + size[j])]
+            j = marks.fitting(i, j, size, percent)
         if shared is not None and len(j):
             j = j[(100 + percent) * shared(i, j) >= percent * (size[i] + size[j])]
         if len(j):
@@ -255,11 +279,6 @@ def _joined(size: np.ndarray, marks: np.ndarray | None, label: np.ndarray, side:
     return label
 
 
-def _marks(signatures: list[bytes]) -> np.ndarray:
-    width = min(map(len, signatures))
-    return np.stack([_folded(np.frombuffer(x, np.uint8), width) for x in signatures])
-
-
 def linked(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
     """The classes of sets that the similarity links, named by their least label; sets of equal ``label`` are in one class already.
 
@@ -279,7 +298,7 @@ def linked(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray, percent:
         mark[own] = False
         return np.add.reduceat(hit, np.cumsum(size[j]) - size[j], dtype=np.int64)
 
-    marks = _marks([signature(x) for x in sets]) if len(sets) > 16 else None
+    marks = Marks([signature(x) for x in sets]) if len(sets) > 16 else None
     out = np.empty(len(order), np.int64)
     out[order] = _joined(size, marks, label[order], side[order], percent, shared)
     return out
@@ -364,7 +383,7 @@ def _refined(rows: DataFrame, members: DataFrame, width: int, percent: int) -> D
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             here = order[a:b]
-            new = _joined(n[here], _marks([sigs[i] for i in here]), label[here], side[here], percent, None)
+            new = _joined(n[here], Marks([sigs[i] for i in here]), label[here], side[here], percent, None)
             moved = new != label[here]
             left.append(label[here][moved])
             right.append(new[moved])
