@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -19,7 +20,7 @@ from tidemark.llm.common import smallest_labels
 from tidemark.llm.decontaminate import find_contamination, simhash, variants
 from tidemark.llm.fingerprints import compare_with_next, edited, fingerprint, likeness
 from tidemark.llm.licenses import TEMPLATES, scan_licences
-from tidemark.llm.ngram_join import jaccard_components, overlap_bound, part_keys, signature
+from tidemark.llm.ngram_join import Sets, jaccard_components, overlap_bound, part_keys, signature
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.001"
@@ -377,6 +378,38 @@ def test_large_groups_meet_tile_by_tile(spark, monkeypatch):
     assert len(rows) == 2 + module.TURNS and rows[0].count() < len(texts)
 
 
+def test_only_sets_that_may_link_are_grouped(spark, monkeypatch):
+    import tidemark.llm.ngram_join as module
+
+    shared = [prose(200 + k, 8) for k in range(4)]
+    # texts of a few words with a line of others each: equal parts tie them together, no pair is similar
+    texts = [" ".join([prose(300 + i, 6 + i % 5), shared[i % 4], shared[(i + 1 + i // 4) % 4]]) for i in range(80)]
+    twins = [prose(700 + i, 60) for i in range(6)]
+    texts += [t + end for t in twins for end in ("", " end")]
+    wanted = []
+    verified = module._verified
+    monkeypatch.setattr(module, "_verified", lambda rows, sets, *a: wanted.append(sets.count()) or verified(rows, sets, *a))
+    assert sorted(map(tuple, jaccard_components(documents(spark, texts)).collect())) == components(list(enumerate(texts)))
+    assert wanted == [2 * len(twins)]
+
+
+def test_sets_that_link_meet_enough_of_other_classes(spark):
+    from tidemark.llm.ngram_join import _meeting, digest_of
+
+    base = prose(60, 120).split(" ")
+    texts = [" ".join(base[:i] + ["x%d" % i] + base[i + 1 :]) for i in range(0, 120, 10)] + [prose(90 + i, 1 + i) for i in range(30)]
+    digests = [digest_of(x) for x in Sets(4).of(pa.array(texts))]
+    alone, classes = set(digests[12:]), [1] * 12 + list(range(2, 32))
+    for half in (True, False):
+        rows = spark.createDataFrame([(t,) for t in texts], "text string")
+        assert {r[0] for r in _meeting(rows, 4, 85, 5000, half).collect()} >= set(digests[:12])
+    assert not {r[0] for r in _meeting(rows, 4, 85, 5000).collect()} & alone
+    # sets of one class do not meet each other; of two classes they do
+    for k, want in ((12, set()), (6, set(digests[:12]))):
+        rows = spark.createDataFrame([(t, c if i < k or i >= 12 else 0) for i, (t, c) in enumerate(zip(texts, classes, strict=True))], "text string, class long")
+        assert {r[0] for r in _meeting(rows, 4, 85, 5000).collect()} == want
+
+
 def test_labels_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, i) for i in range(501, 600)] + [(7, 7)]
     got = {r[0]: r[1] for r in smallest_labels(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,10 @@ BAND = 1.4
 BLOCK = 1 << 19
 #: Ranges of the key space at least, and elements of sets for which there is one more.
 BUCKETS, BUCKET_ELEMENTS = 512, 3 << 20
+#: Texts whose bytes are copied at a time.
+TEXTS = 256
+#: Sets of a block at most, so that two bytes tell them apart.
+BLOCK_SETS = 1 << 16
 #: Bits of a digest that name a set while groups are found; a clash only makes a group larger.
 NODE = (1 << 40) - 1
 #: Sets and elements that are compared in one go; a larger group is cut into tiles.
@@ -49,6 +54,10 @@ class Sets:
         self.width = width
 
     def of(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        for first in range(0, len(texts), TEXTS):  # copies of the bytes exist for so many texts at a time
+            yield from self._of(texts.slice(first, TEXTS))
+
+    def _of(self, texts: pa.Array) -> Iterator[np.ndarray]:
         buf, offsets = buffer_of(texts)
         buf = LOWER[buf]
         i, n = 0, len(offsets) - 1
@@ -185,6 +194,100 @@ def _described(rows: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, h long, n long, digest long")
 
 
+def _buckets(elements: int) -> int:
+    return max(BUCKETS, math.ceil(elements / BUCKET_ELEMENTS))
+
+
+def _meeting(texts: DataFrame, width: int, percent: int, elements: int, half: bool = False) -> DataFrame:
+    """(digest): the sets that may link with one of another class, by how many of their elements other classes have.
+
+    What a set has beyond one that it links with is less than its prefix, and
+    so is what it has alone. Sets with more elements that no other class has
+    cannot link; all others come out. Classes are a column ``class`` of
+    ``texts``; where there is none, each row is its own. With ``half`` only the
+    elements in the lower half of the hash space are sent: sets with too many
+    lone ones among these are out as well, and the rest come out undecided.
+    A shuffled row holds the elements of a block in one range, with the set of
+    each; the sets whose elements are met go back to their block.
+    """
+    classed = "class" in texts.columns
+    wide, bits = 14 if classed else 6, (_buckets(elements) - 1).bit_length()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        name, seen, block, held = TaskContext.get().partitionId() << 32, set(), [], 0
+        for batch in batches:
+            labels = batch.column("class").to_numpy() if classed else np.zeros(batch.num_rows, np.int64)
+            for x, label in zip(Sets(width).of(batch.column("text")), labels, strict=True):
+                if len(x) and (d := digest_of(x)) not in seen:
+                    seen.add(d)
+                    sent = x[: np.searchsorted(x, U(1 << 63))].copy() if half else x
+                    block.append((d, len(sent) - prefix_length(len(x), percent) + 1, label, sent))
+                    held += len(sent)
+                if held >= BLOCK or len(block) == BLOCK_SETS:
+                    yield packed(block, name)
+                    name, block, held = name + 1, [], 0
+        if block:
+            yield packed(block, name)
+
+    def packed(block: list[tuple[int, int, int, np.ndarray]], name: int) -> pa.RecordBatch:
+        keys = np.concatenate([x for *_, x in block]) << U(half)
+        owner = np.repeat(np.arange(len(block)), [len(x) for *_, x in block])
+        order = np.argsort(keys)
+        keys, owner = keys[order], owner[order]
+        parts = [_bytes_of(keys << U(bits) >> U(32), 0, 4), _bytes_of(owner, 0, 2)]
+        if classed:
+            parts.append(_bytes_of(np.array([c for _, _, c, _ in block], np.int64)[owner], 0, 8))
+        body = np.concatenate(parts, axis=1)
+        bucket, start = np.unique(keys >> U(64 - bits), return_index=True)
+        ends = np.append(start, len(keys))
+        blobs = [body[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        sets = np.array([(d, least) for d, least, *_ in block], "<i8").tobytes()
+        bucket = np.append(bucket.astype(np.int32), np.int32(block[0][0] % (1 << bits)))
+        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(len(bucket), name)), pa.array([*blobs, b""], pa.binary()), pa.array([b""] * len(blobs) + [sets], pa.binary())], names=["bucket", "block", "entries", "sets"])
+
+    def meet(rows: pa.Table) -> pa.Table:
+        pa.set_memory_pool(pa.system_memory_pool())
+        blobs = rows["entries"].to_pylist()
+        body = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, wide)
+        key = np.ascontiguousarray(body[:, :4]).view("<u4").reshape(-1)
+        label = np.ascontiguousarray(body[:, 6:]).view("<i8").reshape(-1) if classed else np.arange(len(body))
+        met = np.zeros(len(body), bool)
+        if len(body):
+            order = np.argsort(key)
+            head = np.flatnonzero(_heads(key[order]))
+            several = np.minimum.reduceat(label[order], head) != np.maximum.reduceat(label[order], head)
+            met[order] = np.repeat(several, np.diff(np.append(head, len(body))))
+        ends = np.cumsum([0] + [len(x) // wide for x in blobs])
+        found = [body[a:b, 4:6][met[a:b]].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return pa.table([rows["block"], pa.array(found, pa.binary()), rows["sets"]], names=["block", "found", "sets"])
+
+    def tally(rows: pa.Table) -> pa.Table:
+        pa.set_memory_pool(pa.system_memory_pool())
+        sets = np.frombuffer(b"".join(rows["sets"].to_pylist()), "<i8").reshape(-1, 2)
+        found = np.frombuffer(b"".join(rows["found"].to_pylist()), "<u2")
+        return pa.table([sets[np.bincount(found, minlength=len(sets)) >= sets[:, 1], 0]], names=["digest"])
+
+    sent = texts.select("text", *["class"] * classed).mapInArrow(pack, "bucket int, block long, entries binary, sets binary")
+    met = sent.groupBy("bucket").applyInArrow(meet, "block long, found binary, sets binary").where((F.octet_length("found") > 0) | (F.octet_length("sets") > 0))
+    return met.groupBy("block").applyInArrow(tally, "digest long").distinct()
+
+
+def _elements(texts: DataFrame) -> int:
+    return texts.agg(F.sum("n")).first()[0] or 0
+
+
+def _meeting_texts(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """``texts`` of the sets that meet enough of the others that do, as far as rounds drop many."""
+    before = _elements(texts)
+    while True:
+        texts = materialize(texts.join(_meeting(texts, width, percent, before), "digest", "left_semi"), "texts")
+        left = _elements(texts)
+        if 4 * left >= 3 * before:
+            return texts
+        before = left
+
+
 def _candidates(rows: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
     """(a, b): links between names of sets, over which all sets that share a key can reach each other.
 
@@ -304,16 +407,19 @@ def linked(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray, percent:
     return out
 
 
-def _verified(rows: DataFrame, wanted: DataFrame, width: int, percent: int) -> DataFrame:
+def _groups(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """``texts`` without the text, with the component of the sets that share keys with others."""
+    groups = smallest_labels(_candidates(texts, width, percent, _buckets(_elements(texts))))
+    return texts.drop("text").withColumn("node", F.col("digest").bitwiseAND(F.lit(NODE))).join(groups, "node").drop("node").withColumnRenamed("label", "component")
+
+
+def _verified(texts: DataFrame, wanted: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b): links that the exact sets give within each (component, tile) of ``wanted``, at most one a row.
 
-    ``wanted`` has (h, digest, class, n, component, tile, side); ``h`` finds a
-    text of the set, of which equal ones are read once.
+    ``wanted`` has (digest, class, n, component, tile, side).
     """
-    total = wanted.agg(F.sum("n")).first()[0] or 0
-    slots = max(4 * shuffle_partitions(rows.sparkSession), math.ceil(total / TILE_ELEMENTS))
-    texts = rows.select("h", "text").dropDuplicates(["h"])
-    placed = texts.join(wanted, "h").select(F.pmod(F.xxhash64("component", "tile"), F.lit(slots)).alias("slot"), "component", "tile", "side", "digest", "class", "text")
+    slots = max(4 * shuffle_partitions(texts.sparkSession), math.ceil(_elements(wanted) / TILE_ELEMENTS))
+    placed = texts.select("digest", "text").join(wanted, "digest").select(F.pmod(F.xxhash64("component", "tile"), F.lit(slots)).alias("slot"), "component", "tile", "side", "digest", "class", "text")
 
     def run(table: pa.Table) -> pa.Table:
         pa.set_memory_pool(pa.system_memory_pool())
@@ -365,14 +471,14 @@ def _tile_pairs(members: DataFrame, percent: int) -> DataFrame:
     return tiled.join(sides, ["component", "tile"]).drop("tile").withColumnRenamed("pair", "tile")
 
 
-def _refined(rows: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+def _refined(texts: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
     """``members`` in smaller components: those that bitmaps make of their classes, tile by tile. Bitmaps move instead of texts."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.set_memory_pool(pa.system_memory_pool())
         for batch in batches:
             sigs = pa.array([signature(x) for x in Sets(width).of(batch.column("text"))], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("component", "h", "digest", "class", "n")), sigs], names=["component", "h", "digest", "class", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("component", "digest", "class", "n")), sigs], names=["component", "digest", "class", "n", "sig"])
 
     def run(table: pa.Table) -> pa.Table:
         pa.set_memory_pool(pa.system_memory_pool())
@@ -389,10 +495,9 @@ def _refined(rows: DataFrame, members: DataFrame, width: int, percent: int) -> D
             right.append(new[moved])
         return pa.table([np.concatenate(left), np.concatenate(right)], names=["a", "b"])
 
-    texts = rows.select("h", "text").dropDuplicates(["h"])
-    named = texts.join(members.select("component", "h", "digest", "class", "n"), "h").select("component", "h", "digest", "class", "n", "text")
-    marked = named.mapInArrow(mark, "component long, h long, digest long, class long, n long, sig binary")
-    slots = 16 * shuffle_partitions(rows.sparkSession)
+    named = texts.select("digest", "text").join(members, "digest").select("component", "digest", "class", "n", "text")
+    marked = named.mapInArrow(mark, "component long, digest long, class long, n long, sig binary")
+    slots = 16 * shuffle_partitions(texts.sparkSession)
     met = _tile_pairs(materialize(marked, "bitmaps"), percent).withColumn("slot", F.pmod(F.xxhash64("component", "tile"), F.lit(slots)))
     links = met.groupBy("slot").applyInArrow(run, "a long, b long").distinct()
     found = smallest_labels(links).select(F.col("node").alias("class"), "label")
@@ -403,13 +508,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(id, n_shingles, component_id): documents linked by the Jaccard similarity of their ``width``-word shingle sets.
 
     Words are split at ASCII white space, A-Z lower-cased. Equal sets are one
-    node. Two linked sets share a key of ``part_keys``, so all links lie within
-    groups over shared keys. One text of each set goes to its group's task,
+    node. Sets with too many elements that no other has are left out by
+    ``_meeting``. Two linked sets share a key of ``part_keys``, so all links lie
+    within groups over shared keys. One text of each set goes to its group's task,
     where sorted arrays are intersected exactly, pair by pair, but for pairs that
     are in one class already or whose bitmaps leave too little overlap; a row of
     links a set comes out. A large group is cut into tiles, dealt anew some
-    times to find its classes; of what is still in different classes the bitmaps
-    meet tile by tile, and then the sets of what those leave.
+    times to find its classes; what is still in different classes is left out
+    where other classes have too few of its elements and grouped anew; then the
+    bitmaps meet tile by tile, and then the sets of what those leave.
 
     Null and empty texts and texts without words have no shingles and are
     their own component; a text of fewer words has one shingle; repeated rows
@@ -418,23 +525,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows = chosen(docs, {"id": id_col, "text": text_col}).withColumn("text", text_or_empty("text")).withColumn("id", F.col("id").cast("long")).withColumn("h", F.xxhash64("text"))
     sets = materialize(_described(rows, width), "shingle-sets")
-    buckets = max(BUCKETS, math.ceil((sets.agg(F.sum("n")).first()[0] or 0) / BUCKET_ELEMENTS))
-    groups = smallest_labels(_candidates(rows, width, percent, buckets))
     once = sets.where("n > 0").groupBy("digest").agg(F.min("h").alias("h"), F.min("n").alias("n"))
-    grouped = once.withColumn("node", F.col("digest").bitwiseAND(F.lit(NODE))).join(groups, "node").select("digest", "h", "n", F.col("label").alias("component"))
+    wanted = materialize(once.join(_meeting(rows, width, percent, _elements(sets) // 2, half=True), "digest"), "meeting")
+    texts = materialize(rows.select("h", "text").dropDuplicates(["h"]).join(wanted, "h").select("digest", "n", "text"), "texts")
+    texts = _meeting_texts(texts, width, percent)
+    grouped = _groups(texts, width, percent)
     tiles = grouped.groupBy("component").agg(_tiles(F.count("*"), F.sum("n")).alias("tiles"))
     members = materialize(hot_join(grouped, tiles, "component", "inner"), "members")
 
     def dealt(rows_: DataFrame, turn: int) -> DataFrame:
         return rows_.withColumn("tile", F.pmod(F.xxhash64("digest", F.lit(turn)), F.col("tiles"))).withColumn("side", F.lit(0))
 
-    links = materialize(_verified(rows, dealt(members.withColumn("class", F.col("digest")), 0), width, percent), "links")
+    links = materialize(_verified(texts, dealt(members.withColumn("class", F.col("digest")), 0), width, percent), "links")
     large = members.where("tiles > 1")
     if not large.isEmpty():
         for turn in range(1, TURNS + 1):
-            links = links.union(materialize(_verified(rows, dealt(_open(large, links), turn), width, percent), "links"))
-        rest = _refined(rows, _open(large, links), width, percent)
-        links = links.union(_verified(rows, _tile_pairs(rest, percent), width, percent))
+            links = links.union(materialize(_verified(texts, dealt(_open(large, links), turn), width, percent), "links"))
+        open_ = _open(large, links).select("digest", "n", "class")
+        apart = _meeting_texts(texts.select("digest", "text").join(open_, "digest"), width, percent)
+        rest = _refined(texts, _mixed(_groups(apart, width, percent)), width, percent)
+        links = links.union(_verified(texts, _tile_pairs(rest, percent), width, percent))
     classes = smallest_labels(links)
     ids = sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"))
     member = ids.join(classes.select(F.col("node").alias("digest"), "label"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
