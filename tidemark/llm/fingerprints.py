@@ -71,8 +71,8 @@ def _below(hashes: np.ndarray, place: np.ndarray, bound: np.uint64, slots: int)
     return [slot.astype(np.int16), np.concatenate(values), hashes[at], place[at]]
 
 
-def _marked(parts: list[list[np.ndarray]], hashes: np.ndarray, place: np.ndarray, size: int, slots: int) -> np.ndarray:
-    """The signature from what lies below the bound; a slot that comes out short looks at all numbered k-mers."""
+def _drawn(parts: list[list[np.ndarray]], hashes: np.ndarray, place: np.ndarray, size: int, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of each slot's least, from what lies below the bound; a slot that comes out short looks at all numbered k-mers."""
     slot, value, few, where = (np.concatenate(x) for x in zip(*parts, strict=True))
     if len(parts) > 1:
         order = np.argsort(slot, kind="stable")
@@ -87,9 +87,20 @@ def _marked(parts: list[list[np.ndarray]], hashes: np.ndarray, place: np.ndarray
     for j in np.flatnonzero(count < wide):
         least = np.argsort(hashes * _multipliers(slots)[j], kind="stable")[:wide]
         drawn[j], places[j] = hashes[least], place[least]
+    return drawn, places
+
+
+def _least(hashes: np.ndarray, size: int, slots: int) -> np.ndarray:
+    """Indices of the ``size`` least of all hashes in the order of each slot, one row a slot."""
+    index = np.arange(len(hashes))
+    return _drawn([_below(hashes, index, _bound(len(hashes), size), slots)], hashes, index, size, slots)[1]
+
+
+def _marked(drawn: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The signature of what the slots have drawn, put back in text order."""
     drawn = np.take_along_axis(drawn, np.argsort(places, axis=1, kind="stable"), axis=1)
-    made = np.zeros(slots, U)
-    for i in range(wide):
+    made = np.zeros(len(drawn), U)
+    for i in range(drawn.shape[1]):
         made = pair(made, drawn[:, i])
     return (made >> U(32)).astype(np.uint32)
 
@@ -103,7 +114,8 @@ def fingerprint(text: str, k: int = K, size: int = TUPLE, slots: int = SLOTS) ->
     if not text:
         return np.zeros(slots, np.uint32)
     hashes, place = _numbered_text(text, k)
-    return _marked([_below(hashes, place, _bound(len(hashes), size), slots)], hashes, place, size, slots)
+    least = _least(hashes, size, slots)
+    return _marked(hashes[least], place[least])
 
 
 def _numbered_text(text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +136,7 @@ def fingerprint_both(text: str, changed: str, shared: int, k: int = K, size: int
     hashes, place = numbered[0]
     begin = _below(hashes[place < same], place[place < same], bound, slots)
     ends = [_below(hashes[place >= same], place[place >= same], bound, slots) for hashes, place in numbered]
-    first, second = (_marked([begin, end], *whole, size, slots) for end, whole in zip(ends, numbered, strict=True))
+    first, second = (_marked(*_drawn([begin, end], *whole, size, slots)) for end, whole in zip(ends, numbered, strict=True))
     return first, second
 
 
